@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import sstable
+from . import curriculum, sstable, topk
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
+    "op7_curriculum_mix": curriculum.op7_curriculum_mix,
+    "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_curriculum_mix": curriculum.OP7_SQL, "op8_uniform_threshold_topk": topk.OP8_SQL}
