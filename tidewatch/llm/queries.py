@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import curriculum, sstable, topk
+from . import chat, curriculum, sstable, topk
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
     "op7_curriculum_mix": curriculum.op7_curriculum_mix,
     "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
+    "op9_grammar_round_trip": chat.op9_grammar_round_trip,
 }
 
-ORACLES: dict[str, str] = {"op7_curriculum_mix": curriculum.OP7_SQL, "op8_uniform_threshold_topk": topk.OP8_SQL}
+ORACLES: dict[str, str] = {"op7_curriculum_mix": curriculum.OP7_SQL, "op8_uniform_threshold_topk": topk.OP8_SQL, "op9_grammar_round_trip": chat.OP9_SQL}
