@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, curriculum, langid, sstable, topk
+from . import chat, curriculum, langid, sstable, topk, toxicity
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
+    "op3_convolutional_toxicity": toxicity.op3_convolutional_toxicity,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
     "op7_curriculum_mix": curriculum.op7_curriculum_mix,
     "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
