@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, curriculum, langid, sstable, topk, toxicity
+from . import chat, chosenpath, curriculum, langid, sstable, topk, toxicity
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
     "op3_convolutional_toxicity": toxicity.op3_convolutional_toxicity,
+    "op5_chosen_path_join": chosenpath.op5_chosen_path_join,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
     "op7_curriculum_mix": curriculum.op7_curriculum_mix,
     "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
