@@ -33,11 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, ranges, small_batches, split_words, table
+from .common import MARKS, materialize, partitions, plain_hashes, ranges, small_batches, table
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -50,28 +49,8 @@ _B = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
 def plain(word: str) -> str:
-    """Lower case, without what isn't a letter or digit at either end."""
-    w = word.lower()
-    if w.isalnum():
-        return w
-    a, b = 0, len(w)
-    while a < b and not w[a].isalnum():
-        a += 1
-    while b > a and not w[b - 1].isalnum():
-        b -= 1
-    return w[a:b]
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all texts' words, and the texts' bounds in them."""
-    codes, bounds, words = split_words(texts)
-    low = [plain(w) for w in words]
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in low), np.uint64, len(low))
-    real = np.fromiter(map(bool, low), bool, len(low))
-    if not real.all():
-        keep = real[codes]
-        bounds, codes = np.concatenate([[0], np.cumsum(keep)])[bounds], codes[keep]
-    return h[codes], bounds
+    """A word as the shingles have it."""
+    return word.lower().strip(MARKS)
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +94,7 @@ def _class_keys(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, a hash of the text, its class (null: no words) and the class's signature."""
     for batch in batches:
-        h, bounds = word_hashes(batch.column("text"))
+        h, bounds = plain_hashes(batch.column("text"))
         sig = signatures(*shingles(h, bounds)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(_class_keys(h, bounds), pa.binary()), lists], names=["doc_id", "th", "key", "sig"])
@@ -309,7 +288,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h, bounds = word_hashes(batch.column("text"))
+        h, bounds = plain_hashes(batch.column("text"))
         s, at = shingles(h, bounds)
         sets = [np.unique(s[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(_class_keys(h, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])

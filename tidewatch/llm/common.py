@@ -44,7 +44,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words (runs without ASCII white space) of a batch of texts; null is empty.
 
     Returns the words' numbers in order, the bounds of each text in them, and
@@ -53,19 +53,62 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
-        return np.empty(0, np.int32), np.zeros(1, np.int64), []
+        return np.empty(0, np.int32), np.zeros(1, np.int64), pa.array([], pa.string())
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     found = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    codes, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+    codes, words = found.indices.to_numpy(), found.dictionary
     offsets = offsets - offsets[0]
-    if "" in words:  # of empty texts
-        keep = codes != words.index("")
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # of empty texts
+        keep = codes != empty
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
     return codes, offsets, words
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    codes, offsets, words = split_codes(texts)
+    return codes, offsets, words.to_pylist()
+
+
+MARKS = ".,;:!?\"'()[]{}<>|/\\*_~`^=+#@&%$-\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00bf\u00a1"
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def hash_plain(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words in lower case without marks at either end, and which words have something left."""
+    low = pc.utf8_trim(pc.utf8_lower(words), characters=MARKS)
+    if pa.types.is_large_string(low.type):
+        low = low.cast(pa.string())
+    n = len(low)
+    offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = low.buffers()[2] if n else None
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets, sizes = offsets - offsets[0], np.diff(offsets)
+    real, out = sizes > 0, np.zeros(n, np.uint64)
+    if real.any():
+        place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+        # a sum over bytes and their places, mixed before and after
+        out[real] = mix64(np.add.reduceat(mix64(data.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)), offsets[:-1][real], dtype=np.uint64))
+    return out, real
+
+
+def plain_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts and the texts' bounds in them; words of marks alone are left out."""
+    codes, bounds, words = split_codes(texts)
+    h, real = hash_plain(words)
+    if not real.all():
+        keep = real[codes]
+        bounds, codes = np.concatenate([[0], np.cumsum(keep)])[bounds], codes[keep]
+    return h[codes], bounds
+
+
 class Memo(dict):
     """A cache of at most about 2 x ``most`` entries; what wasn't asked for lately goes."""
 
