@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, chosenpath, curriculum, langid, sstable, topk, toxicity
+from . import chat, chosenpath, curriculum, langid, latent, sstable, topk, toxicity
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
+    "op2_latent_decontamination": latent.op2_latent_decontamination,
     "op3_convolutional_toxicity": toxicity.op3_convolutional_toxicity,
     "op5_chosen_path_join": chosenpath.op5_chosen_path_join,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
