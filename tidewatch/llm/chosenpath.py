@@ -7,9 +7,10 @@ root: a node samples one or two tokens of a set (a minhash coordinate chosen
 by the node, consistent between sets that share the token) and hands the set
 to the child of that token. Two sets of similarity s stay together with
 probability s a level for each sample; 1.25 samples a node on average make up
-for 0.8. Nodes of at most ``SMALL`` sets, or of the greatest depth, are
-buckets; larger buckets are cut in pairs of parts of that size, so one task
-never holds more than two parts.
+for 0.8. A node of more than twice ``SMALL`` sets takes two tokens at once.
+Nodes of at most ``SMALL`` sets, or of the greatest depth, are buckets; larger
+buckets are cut in pairs of parts of that size, so one task never holds more
+than two parts.
 
 A bucket is compared by brute force: first minhash signatures (a loose bound,
 so that only sets with a likely new partner fetch their shingles), then whole
@@ -228,23 +229,37 @@ def buckets(classes: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int
     run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
     live = classes.select("key", "sig", run.alias("run"))
     live = live.select(node_of(F.col("run"), F.element_at("sig", F.element_at(pick, F.col("run") + 1) + 1)).alias("node"), "key")
+    live = live.withColumn("deep", F.lit(1))
     found = None
     for level in range(1, depth + 1):
         sizes = live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         live = materialize(live.join(sizes, "node"), f"path-{level}")
-        done = live if level == depth else live.where(F.col("size") <= small)
-        found = done if found is None else found.unionByName(done)
-        big = live.where(F.col("size") > small)
-        if level == depth or big.isEmpty():
+        end = (F.col("size") <= small) | (F.col("deep") >= depth)
+        found = live.where(end) if found is None else found.unionByName(live.where(end))
+        big = live.where(~end)
+        if big.isEmpty():
             break
-        # one or two sampled coordinates for each node, 1.25 on average
-        samples = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(4)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        big = big.join(classes.select("key", "sig"), "key").withColumn("j", F.explode(samples))
-        at = F.pmod(F.xxhash64("node", "j", F.lit(level)), F.lit(COORDINATES)).cast("int")
-        live = big.select(node_of(F.shiftrightunsigned("node", 56).cast("int"), F.col("node"), at, F.element_at("sig", at + 1)).alias("node"), "key").distinct()
+        live = split(big.join(classes.select("key", "sig"), "key"), small, depth)
     return found.select(F.col("node").alias("leaf"), "size", "key")
 
 
+def split(big: DataFrame, small: int, depth: int) -> DataFrame:
+    """The children of nodes: by one sampled token, or by two where halving once is too little.
+
+    A token is one of one or two samples (1.25 on average), so a path of two is one of up to four.
+    """
+    coordinate = lambda *what: F.pmod(F.xxhash64("node", "deep", *what), F.lit(COORDINATES)).cast("int") + 1
+    samples = lambda salt: F.when(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(4)) == 0, 2).otherwise(1)
+    two = (F.col("size") > 2 * small) & (F.col("deep") + 1 < depth)
+    paths = samples(1) * F.when(two, samples(2)).otherwise(1)
+    big = big.withColumn("two", two).withColumn("n2", samples(2)).withColumn("j", F.explode(F.sequence(F.lit(0), paths - 1)))
+    first, second = F.when(F.col("two"), F.floor(F.col("j") / F.col("n2")).cast("int")).otherwise(F.col("j")), F.col("j") % F.col("n2")
+    at, then = coordinate(first, F.lit(1)), coordinate(first, second, F.lit(2))
+    tokens = (at, F.element_at("sig", at), F.when(F.col("two"), then), F.when(F.col("two"), F.element_at("sig", then)))
+    child = node_of(F.shiftrightunsigned("node", 56).cast("int"), F.col("node"), *tokens)
+    return big.select(child.alias("node"), "key", (F.col("deep") + F.when(F.col("two"), 2).otherwise(1)).alias("deep")).distinct()
+
+
 def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, th = hash of the text, key) and classes (key, first_id, copies, links, component).
 
