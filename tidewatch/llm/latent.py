@@ -92,25 +92,39 @@ def _sparse(words: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def singular_vectors(rows: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The right singular vectors (TERMS x at most ``rank``) of the passages' TF-IDF matrix, by distributed randomised SVD.
 
-    Each step is one job: every partition multiplies its rows, A_p' (A_p Q),
-    and the partial products, in blocks of rows, are added up by block.
+    The matrix has a column for each term that occurs, which one job finds.
+    Each further step is one job: every partition multiplies its rows,
+    A_p' (A_p Q), and the partial products, in blocks of rows, are added up by block.
     """
-    spark = rows.sparkSession
-    width, block = rank + EXTRA, 4096
-    w = spark.sparkContext.broadcast(weights)
+    context = rows.sparkSession.sparkContext
+    block = 4096
+    w = context.broadcast(weights)
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(TERMS, bool)
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                seen[_term(np.frombuffer(words, np.uint64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["term"])
+
+    terms = np.sort(np.array([r.term for r in rows.mapInArrow(occurring, "term long").distinct().collect()], np.int64))
+    width = min(rank + EXTRA, len(terms))
+    if not width:
+        return np.zeros((TERMS, 0), np.float32)
 
     def gram_times(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(q)
+        shared = context.broadcast((terms, q))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, touched = np.zeros((TERMS, q.shape[1]), np.float32), np.zeros(TERMS, bool)
+            known, q = shared.value
+            out, touched = np.zeros(q.shape, np.float32), np.zeros(len(q), bool)
             for batch in batches:
                 for words in batch.column("words").to_pylist():
-                    terms, v = _sparse(words, w.value)
-                    out[terms] += np.outer(v, v @ shared.value[terms])
-                    touched[terms] = True
-            blocks = np.flatnonzero(touched.reshape(-1, block).any(1))
-            for b in blocks:
+                    own, v = _sparse(words, w.value)
+                    at = np.searchsorted(known, own)
+                    out[at] += np.outer(v, v @ q[at])
+                    touched[at] = True
+            for b in np.unique(np.flatnonzero(touched) // block):
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([out[b * block : (b + 1) * block].tobytes()], pa.binary())], names=["block", "part"])
 
         def add(key, pdf):
@@ -120,25 +134,23 @@ def singular_vectors(rows: DataFrame, weights: np.ndarray, rank: int = RANK) ->
             return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
 
         parts = rows.mapInArrow(multiply, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect()
-        z = np.zeros((TERMS, q.shape[1]), np.float32)
+        z = np.zeros(q.shape, np.float32)
         for r in parts:
-            z[r.block * block : (r.block + 1) * block] = np.frombuffer(r.part, np.float32).reshape(block, -1)
-        shared.unpersist()
+            z[r.block * block : (r.block + 1) * block] = np.frombuffer(r.part, np.float32).reshape(-1, q.shape[1])
+        shared.destroy()
         return z
 
-    q = np.random.default_rng(3).normal(size=(TERMS, width)).astype(np.float32)
+    q = np.random.default_rng(3).normal(size=(len(terms), width)).astype(np.float32)
     for _ in range(POWER):
-        z = gram_times(q)
-        some = np.flatnonzero(np.abs(z).sum(1))
-        if not len(some):
-            return np.zeros((TERMS, 0), np.float32)
-        q = np.zeros((TERMS, min(width, len(some))), np.float32)
-        q[some] = np.linalg.qr(z[some].astype(float))[0]
+        q = np.linalg.qr(gram_times(q).astype(float))[0].astype(np.float32)
     # the small problem: Q' A' A Q
     values, vectors = np.linalg.eigh((q.T @ gram_times(q)).astype(float))
+    w.destroy()
     keep = np.argsort(-values)[:rank]
     keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-12)]
-    return (q @ vectors[:, keep]).astype(np.float32)
+    out = np.zeros((TERMS, len(keep)), np.float32)
+    out[terms] = q @ vectors[:, keep]
+    return out
 
 
 @dataclass
