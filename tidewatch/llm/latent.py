@@ -161,6 +161,7 @@ class Index:
     latent: np.ndarray  # of each passage, of length one
     item_of: np.ndarray  # of each passage
     masks: list[dict[int, int]]  # of each item: where each word is
+    words: list[tuple[np.ndarray, np.ndarray]]  # of each item: its distinct words in order, and how often each occurs
     sizes: list[int]
     answers: list[set[int]]
     names: list
@@ -179,16 +180,17 @@ def build_index(items: list[tuple], cut: list[tuple[int, bytes]], v: np.ndarray,
         if (n := np.linalg.norm(y)) > 1e-9:
             latent.append(y / n)
             item_of.append(place[nr])
-    masks, answers = [], []
+    masks, distinct, answers = [], [], []
     for _, _, words in items:
         m: dict[int, int] = {}
         for i, w in enumerate(words.tolist()):
             m[w] = m.get(w, 0) | 1 << i
         masks.append(m)
-        own = np.unique(words)
+        own, times = np.unique(words, return_counts=True)
+        distinct.append((own, times))
         rare = own[np.argsort(-weights[_cell(own, COUNTS)], kind="stable")]
         answers.append(set(rare[: max(1, int(np.ceil(ANSWER_SHARE * len(rare))))].tolist()))
-    return Index(weights, row_of, v[some], np.array(latent, np.float32).reshape(-1, v.shape[1]), np.array(item_of, np.int64), masks, [len(w) for *_, w in items], answers, [i for _, i, _ in items])
+    return Index(weights, row_of, v[some], np.array(latent, np.float32).reshape(-1, v.shape[1]), np.array(item_of, np.int64), masks, distinct, [len(w) for *_, w in items], answers, [i for _, i, _ in items])
 
 
 def common_words(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -217,8 +219,8 @@ def search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[in
     x = np.zeros((blocks, index.vectors.shape[1]), np.float32)
     row = index.row_of[_term(h)]
     active = np.flatnonzero(row >= 0)
-    for at in range(0, len(active), 32_768):
-        a = active[at : at + 32_768]
+    for at in range(0, len(active), 4096):
+        a = active[at : at + 4096]
         g = index.vectors[row[a]]
         g *= weight[a, None]
         own, first = np.unique(block_of[a], return_index=True)
@@ -231,8 +233,8 @@ def search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[in
     after = np.minimum(starts + 1, blocks - 1)
     size = np.sqrt(norm[starts] + np.where(two, norm[after], 0)).astype(np.float32)
     found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for at in range(0, len(starts), 8192):
-        s, nx, t, z = starts[at : at + 8192], after[at : at + 8192], two[at : at + 8192], size[at : at + 8192]
+    for at in range(0, len(starts), 2048):
+        s, nx, t, z = starts[at : at + 2048], after[at : at + 2048], two[at : at + 2048], size[at : at + 2048]
         y = x[s] + np.where(t[:, None], x[nx], 0)
         near = np.flatnonzero(np.einsum("ij,ij->i", y, y) >= (COSINE * z) ** 2)  # no cosine can be larger
         if len(near):
@@ -245,7 +247,15 @@ def search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[in
         for cosine, w in sorted(windows, reverse=True):
             size, first = index.sizes[item], int((w - block0[text]) * STEP)
             a, b = max(0, first - size), min(int(n[text]), first + 2 * STEP + size)
-            words = h[bounds[text] + a : bounds[text] + b].tolist()
+            words = h[bounds[text] + a : bounds[text] + b]
+            own, times = index.words[item]
+            at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+            here = own[at] == words
+            seen = np.zeros(len(own), bool)
+            seen[at[here]] = True
+            if times @ seen < PARTLY * size:  # no more words can be in order
+                continue
+            words = words[here].tolist()
             order = common_words(index.masks[item], size, words) / size
             answer = len(index.answers[item].intersection(words)) / len(index.answers[item])
             if (order >= WHOLE or order >= PARTLY and answer >= ANSWERED) and (best is None or order > best[4]):
