@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("judging", "search")
 
 
 def load() -> None:
