@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("judging", "search")
+MODULES: tuple[str, ...] = ("judging", "linking", "search")
 
 
 def load() -> None:
