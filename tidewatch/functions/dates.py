@@ -35,9 +35,11 @@ def parse_deadline(text: Column, published: Column) -> Column:
         year = _part(text, pattern, y) if y else F.year(published)
         month = _part(text, pattern, m) if m else F.lit(12)
         day = _part(text, pattern, d) if d else F.lit(31)
-        return F.when(text.rlike(pattern), _day(year, month, day))
+        return _day(year, month, day)
 
-    found = F.coalesce(*(read(*x) for x in DEADLINES))
+    found = F.lit(None).cast("date")
+    for x in reversed(DEADLINES):
+        found = F.when(text.rlike(x[0]), read(*x)).otherwise(found)
     return F.when((found >= published) & (found <= F.add_months(published, 180)) & (F.year(found) >= 2000), found)
 
 
