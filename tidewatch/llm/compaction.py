@@ -26,6 +26,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import fresh_dir, table
 
@@ -67,6 +68,11 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/version={found[-1] if version is None else version}")
 
 
+def _with_shard(schema: StructType) -> StructType:
+    """A new schema: ``StructType.add`` would change the caller's."""
+    return StructType([*schema.fields, StructField("shard", StringType())])
+
+
 def append(docs: DataFrame, root: str, *, batch: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", run_bytes: int = RUN_BYTES) -> DataFrame:
     """Add documents as runs ``<batch>-<source's md5>-<number>`` and commit them; returns the new manifest."""
     spark = docs.sparkSession
@@ -103,7 +109,7 @@ def compact(spark: SparkSession, root: str, schema, *, text_col: str = "text", t
     n = todo.select("into").distinct().count()
     if not n:
         return now
-    data = spark.read.schema(schema.add("shard", "string") if "shard" not in schema.names else schema).parquet(f"{root}/data")
+    data = spark.read.schema(_with_shard(schema)).parquet(f"{root}/data")
     merged = data.join(todo, "shard").drop("shard").withColumnRenamed("into", "shard")
     merged.repartition(n, "shard").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(f"{root}/data")
     new = now.join(todo, "shard").groupBy("into").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
@@ -116,18 +122,16 @@ def read(spark: SparkSession, root: str, schema, version: int | None = None) ->
     """The documents of a version (the newest) with their shard's row of the manifest."""
     if not versions(spark, root):
         return spark.createDataFrame([], schema)
-    data = spark.read.schema(schema.add("shard", "string") if "shard" not in schema.names else schema).parquet(f"{root}/data")
+    data = spark.read.schema(_with_shard(schema)).parquet(f"{root}/data")
     return data.join(manifest(spark, root, version), "shard")
 
 
 def op4_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import copy
-
     docs = table(spark, sf_dir, "documents")
     root = fresh_dir(spark, "shards")
     append(docs, root, batch="a1")
-    compact(spark, root, copy.deepcopy(docs.schema))
-    out = read(spark, root, copy.deepcopy(docs.schema))
+    compact(spark, root, docs.schema)
+    out = read(spark, root, docs.schema)
     return out.select("doc_id", F.length("text").cast("long").alias("text_chars"), "shard", "tier", "n_docs", "n_bytes")
 
 
