@@ -119,7 +119,8 @@ def learn(docs: DataFrame, may_learn: Column, *, per_language: int = PER_LANGUAG
         return None
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.i,) for r in chosen], "i long").distinct()
-    got = docs.where(has).join(F.broadcast(ids), F.col(id_col) == F.col("i")).select("i", F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64("i").alias("h"))
+    own = docs.where(has).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
+    got = own.join(F.broadcast(ids), "i")
     sample = sorted({(r.h, r.i, r.l, r.t) for r in got.collect()})
     return fit([t for *_, t in sample], [x for *_, x, _ in sample])
 
