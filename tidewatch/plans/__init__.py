@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("judging", "linking", "reporting", "search")
+MODULES: tuple[str, ...] = ("extracting", "judging", "linking", "reporting", "search")
 
 
 def load() -> None:
