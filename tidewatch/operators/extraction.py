@@ -70,33 +70,36 @@ def promises(quotes: DataFrame, words: Commitment, deadline: Callable[[Column],
     return rows.withColumns({"confidence": confidence, "trackable": F.col("strength").isin("firm", "plan") & F.col("action").isNotNull()})
 
 
-def classify(text: Column, terms: Column, words: Expressions, weight: Callable[[Column], Column], *, eligible: int = 3) -> Column:
-    """struct(signal, conf, overlap, span) of a text held against a promise's ``terms``.
+def classify(docs: DataFrame, words: Expressions, weight: Callable[[Column], Column], *, text_col: str = "text", terms_col: str = "terms", eligible: int = 3) -> DataFrame:
+    """The other columns and signal, conf, overlap, span of each text held against a promise's terms.
 
     The ``eligible`` sentences of the greatest relevance (share of the terms,
     plus ``weight``, both in thousandths) may decide. One without a term needs
     a weight of 800. Best is (terms up to 2, problem > done > progress,
-    relevance, first).
+    relevance, first). Each step is a projection of its own, so that none is worked out twice.
     """
-    found = F.filter(X.sentences(F.lower(text)), lambda s: F.length(s) > 0)
-
-    def score(s: Column, i: Column) -> Column:
-        hits = F.size(F.filter(terms, lambda t: F.contains(s, t)))
-        done = F.when(s.rlike(words.partial) & ~s.rlike(words.whole), 1).otherwise(2)
-        rank = F.when(s.rlike(words.problem), 3).when(s.rlike(words.done), done).when(s.rlike(words.progress), 1).otherwise(0)
-        share = F.when(F.size(terms) > 0, F.floor(hits * 1000 / F.size(terms))).otherwise(0)
-        return F.struct((-(share + weight(s))).cast("long").alias("far"), i.alias("i"), hits.alias("hits"), rank.alias("rank"), weight(s).cast("long").alias("weight"), s.alias("s"))
-
-    scored = F.array_sort(F.transform(found, score))
-    may = F.filter(F.slice(scored, 1, eligible), lambda x: (x.rank > 0) & ((x.hits > 0) | (x.weight >= 800)))
+    rest = [c for c in docs.columns if c not in (text_col, terms_col)]
+    terms = F.coalesce(F.col("_terms"), F.array().cast("array<string>"))
+    hit = lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.size(F.filter(terms, lambda t: F.contains(s, t))).alias("hits"), weight(s).cast("long").alias("weight"))
+
+    def score(x: Column) -> Column:
+        done = F.when(x.s.rlike(words.partial) & ~x.s.rlike(words.whole), 1).otherwise(2)
+        rank = F.when(x.s.rlike(words.problem), 3).when(x.s.rlike(words.done), done).when(x.s.rlike(words.progress), 1).otherwise(0)
+        share = F.when(F.size(terms) > 0, F.floor(x.hits * 1000 / F.size(terms))).otherwise(0)
+        return F.struct((-(share + x.weight)).cast("long").alias("far"), x.i.alias("i"), x.hits.alias("hits"), rank.alias("rank"), x.weight.alias("weight"), x.s.alias("s"))
+
+    rows = docs.select(*rest, F.col(terms_col).alias("_terms"), X.sentences(F.lower(text_col)).alias("_s"))
+    rows = rows.select(*rest, "_terms", F.transform("_s", hit).alias("_s"))
+    rows = rows.select(*rest, F.array_sort(F.transform("_s", score)).alias("_s"))
+    may = F.filter(F.slice("_s", 1, eligible), lambda x: (x["rank"] > 0) & ((x.hits > 0) | (x.weight >= 800)))
     best = F.array_max(F.transform(may, lambda x: F.struct(F.least(x.hits, F.lit(2)).alias("overlap"), x["rank"].alias("rank"), (-x.far).alias("near"), (-x.i).alias("at"), x.weight.alias("weight"), x.s.alias("s"))))
-    base = F.when(best.overlap >= 2, 75).when(best.overlap == 1, 65).otherwise(60)
-    conf = F.greatest(F.lit(30), F.least(F.lit(90), base + F.floor((best.weight - 500) / 50))).cast("int")
-    signal = F.when(best["rank"] == 3, "problem").when(best["rank"] == 2, "done").otherwise("progress")
-    seen = F.exists(scored, lambda x: x["rank"] > 0)
-    none = lambda name, c: F.struct(F.lit(name).alias("signal"), F.lit(c).alias("conf"), F.lit(0).alias("overlap"), F.lit("").alias("span"))
-    one = F.struct(signal.alias("signal"), conf.alias("conf"), best.overlap.alias("overlap"), F.substring(best.s, 1, LONGEST_SPAN).alias("span"))
-    return F.when(best.isNotNull(), one).when(seen, none("unclear", 40)).otherwise(none("unrelated", 60))
+    rows = rows.select(*rest, best.alias("_b"), F.exists("_s", lambda x: x["rank"] > 0).alias("_seen"))
+    b, none = F.col("_b"), F.col("_b").isNull()
+    base = F.when(b.overlap >= 2, 75).when(b.overlap == 1, 65).otherwise(60)
+    conf = F.greatest(F.lit(30), F.least(F.lit(90), base + F.floor((b.weight - 500) / 50))).cast("int")
+    signal = F.when(none & F.col("_seen"), "unclear").when(none, "unrelated").when(b["rank"] == 3, "problem").when(b["rank"] == 2, "done").otherwise("progress")
+    conf = F.when(none & F.col("_seen"), 40).when(none, 60).otherwise(conf)
+    return rows.select(*rest, signal.alias("signal"), conf.alias("conf"), F.coalesce(b.overlap, F.lit(0)).alias("overlap"), F.coalesce(F.substring(b.s, 1, LONGEST_SPAN), F.lit("")).alias("span"))
 
 
 def validated(signal: Column, conf: Column, span: Column, text: Column, words: Expressions) -> Column:

@@ -32,8 +32,8 @@ SELECT d.doc_id, CASE WHEN b.k = 3 THEN 'problem' WHEN b.k = 2 THEN 'done' WHEN
 FROM documents d LEFT JOIN (SELECT doc_id, max(seen) AS seen FROM o GROUP BY doc_id) o USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (doc_id)""")
 def q_signal_classify(spark, d):
     terms = F.coalesce(*(F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in TERMS.items()))
-    best = E.classify(F.col("text"), terms, WORDS, lambda s: F.least(F.lit(1000), F.length(s) * 4))
-    return table(spark, d, "documents").select("doc_id", best.alias("b")).select("doc_id", "b.*")
+    docs = table(spark, d, "documents").select("doc_id", "text", terms.alias("terms"))
+    return E.classify(docs, WORDS, lambda s: F.least(F.lit(1000), F.length(s) * 4))
 
 
 @query(rf"""WITH v AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'problem' ELSE 'unrelated' END AS signal, CAST(50 + doc_id % 40 AS INTEGER) AS conf,
