@@ -100,6 +100,38 @@ def test_whole_passages_in_documents_are_found(spark):
     assert planted and planted <= found
 
 
+def test_leaks_of_many_items_against_brute_force(spark):
+    """2000 items, a document with each one: odd ones exact, even ones with two fifths of their words exchanged."""
+    rng = np.random.default_rng(9)
+    chance = 1 / np.arange(5, 4005)
+    draw = lambda n: [f"w{x}" for x in rng.choice(4000, n, p=chance / chance.sum())]
+    items = [draw(rng.integers(16, 40)) for _ in range(2000)]
+    docs = []
+    for i, words in enumerate(items):
+        copy = list(words)
+        for p in rng.permutation(len(copy))[: 0 if i % 2 else int(0.4 * len(copy))]:
+            copy[p] = draw(1)[0]
+        docs.append(draw(rng.integers(0, 40)) + copy + draw(30))
+    rows = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(side)], f"{name} long, text string") for side, name in ((docs, "doc_id"), (items, "item_id"))]
+    weights = latent.word_weights(rows[0])
+    want = set()
+    for i, (doc, item) in enumerate(zip(docs, items, strict=True)):
+        h = latent.hash_plain(item)[0]
+        masks = {}
+        for k, w in enumerate(item):
+            masks[w] = masks.get(w, 0) | 1 << k
+        share = latent.common_words(masks, len(item), doc) / len(item)
+        own, first = np.unique(h, return_index=True)
+        rare = first[np.argsort(-weights[latent._cell(own, latent.COUNTS)], kind="stable")]
+        answers = {item[k] for k in rare[: max(1, int(np.ceil(latent.ANSWER_SHARE * len(rare))))]}
+        if share >= latent.WHOLE or share >= latent.PARTLY and len(answers & set(doc)) >= latent.ANSWERED * len(answers):
+            want.add((i, i))
+    assert len(want) > 1500
+    found = {(r.doc_id, r.item_id) for r in latent.find_leaks(*rows).collect()}
+    assert not {(i, i) for i in range(1, 2000, 2)} - found  # exact copies
+    assert len(want - found) <= 0.002 * len(want), len(want - found)
+
+
 # 3, 6: classifiers, by rows that they didn't learn from
 
 

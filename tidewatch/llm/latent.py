@@ -5,18 +5,22 @@
 2. Benchmark items, cut into passages of at most ``PASSAGE`` words, are TF-IDF
    vectors (hashed to ``TERMS`` dimensions). A distributed randomised SVD
    (Gaussian range finder, power steps, each a Spark job that adds up partial
-   products) gives their ``RANK`` right singular vectors.
+   products) gives the right singular vectors of each *space*: at most ``RANK``
+   passages, so that ``RANK`` vectors span them and no passage loses weight,
+   however many items there are.
 3. Documents run through in windows of 32 words every 16 words, whole texts.
    A window's cosine with each passage's latent vector selects candidates; a
-   window whose share of the latent space is too small for any is skipped
-   without computing them all (that bound is exact).
+   window that is too far from all passages of a space, by the largest weight
+   that any of them gives each word or by the window's share of the space, is
+   skipped without computing them all (both bounds are exact).
 4. A candidate is checked around its window: the longest common subsequence of
    words with the item, and the item's answer words (its rarest quarter). A
    document is contaminated by an item if it has ``WHOLE`` of its words in
    order, or ``PARTLY`` of them and half of the answer words: a paraphrase.
 
-What is broadcast is bounded: COUNTS weights, TERMS x RANK numbers, and blocks
-of ``ITEMS`` benchmark items, one pass over the documents for each block.
+What is broadcast: COUNTS weights, RANK numbers for each term of each space,
+and blocks of ``ITEMS`` benchmark items, one pass over the documents for each
+block.
 
 Defined results: null or empty texts, on either side, match nothing; items
 that repeat are items of their own; rows that repeat a document give its rows
@@ -81,6 +85,13 @@ def passages(items: DataFrame) -> DataFrame:
     return items.mapInArrow(cut, "nr long, words binary")
 
 
+def in_spaces(cut: list[tuple[int, bytes]], rank: int = RANK) -> list[tuple[int, int, bytes]]:
+    """Passages (nr, words) dealt in order to as many spaces of equal size as keep each at ``rank`` passages or less."""
+    cut = sorted(cut)
+    n = max(1, -(-len(cut) // rank))
+    return [(k * n // len(cut), *c) for k, c in enumerate(cut)]
+
+
 def _sparse(words: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A passage's TF-IDF vector of length one."""
     h = np.frombuffer(words, np.uint64)
@@ -89,77 +100,88 @@ def _sparse(words: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return terms, v / np.linalg.norm(v)
 
 
-def singular_vectors(rows: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The right singular vectors (TERMS x at most ``rank``) of the passages' TF-IDF matrix, by distributed randomised SVD.
+def singular_vectors(rows: DataFrame, weights: np.ndarray, rank: int = RANK) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each space its terms and their right singular vectors (terms x at most ``rank``), by distributed randomised SVD of its passages' TF-IDF matrix.
 
-    The matrix has a column for each term that occurs, which one job finds.
-    Each further step is one job: every partition multiplies its rows,
-    A_p' (A_p Q), and the partial products, in blocks of rows, are added up by block.
+    ``rows``: space, words. A matrix has a column for each term that occurs,
+    which one job finds. Each further step is one job for all spaces: every
+    partition multiplies its rows, A_p' (A_p Q), and the partial products, in
+    blocks of rows, are added up by space and block.
     """
     context = rows.sparkSession.sparkContext
     block = 4096
     w = context.broadcast(weights)
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(TERMS, bool)
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for words in batch.column("words").to_pylist():
-                seen[_term(np.frombuffer(words, np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["term"])
+            for space, words in zip(batch.column("space").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                seen.setdefault(space, np.zeros(TERMS, bool))[_term(np.frombuffer(words, np.uint64))] = True
+        for space, own in seen.items():
+            terms = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), space)), pa.array(terms)], names=["space", "term"])
 
-    terms = np.sort(np.array([r.term for r in rows.mapInArrow(occurring, "term long").distinct().collect()], np.int64))
-    width = min(rank + EXTRA, len(terms))
-    if not width:
-        return np.zeros((TERMS, 0), np.float32)
+    found = rows.mapInArrow(occurring, "space long, term long").distinct().toPandas()
+    terms = {int(k): np.sort(g.to_numpy()) for k, g in found.groupby("space")["term"]}
 
-    def gram_times(q: np.ndarray) -> np.ndarray:
+    def gram_times(q: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         shared = context.broadcast((terms, q))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, q = shared.value
-            out, touched = np.zeros(q.shape, np.float32), np.zeros(len(q), bool)
+            out: dict[int, np.ndarray] = {}
             for batch in batches:
-                for words in batch.column("words").to_pylist():
+                for space, words in zip(batch.column("space").to_pylist(), batch.column("words").to_pylist(), strict=True):
                     own, v = _sparse(words, w.value)
-                    at = np.searchsorted(known, own)
-                    out[at] += np.outer(v, v @ q[at])
-                    touched[at] = True
-            for b in np.unique(np.flatnonzero(touched) // block):
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([out[b * block : (b + 1) * block].tobytes()], pa.binary())], names=["block", "part"])
+                    at = np.searchsorted(known[space], own)
+                    if space not in out:
+                        out[space] = np.zeros(q[space].shape, np.float32)
+                    out[space][at] += np.outer(v, v @ q[space][at])
+            for space, total in out.items():
+                for b in range(-(-len(total) // block)):
+                    yield pa.RecordBatch.from_arrays([pa.array([space], pa.int64()), pa.array([b], pa.int64()), pa.array([total[b * block : (b + 1) * block].tobytes()], pa.binary())], names=["space", "block", "part"])
 
         def add(key, pdf):
             import pandas as pd
 
             total = np.sum([np.frombuffer(p, np.float32) for p in pdf["part"]], axis=0, dtype=np.float32)
-            return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
+            return pd.DataFrame({"space": [key[0]], "block": [key[1]], "part": [total.tobytes()]})
 
-        parts = rows.mapInArrow(multiply, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect()
-        z = np.zeros(q.shape, np.float32)
+        parts = rows.mapInArrow(multiply, "space long, block long, part binary").groupBy("space", "block").applyInPandas(add, "space long, block long, part binary").collect()
+        z = {k: np.zeros(x.shape, np.float32) for k, x in q.items()}
         for r in parts:
-            z[r.block * block : (r.block + 1) * block] = np.frombuffer(r.part, np.float32).reshape(-1, q.shape[1])
+            z[r.space][r.block * block : (r.block + 1) * block] = np.frombuffer(r.part, np.float32).reshape(-1, q[r.space].shape[1])
         shared.destroy()
         return z
 
-    q = np.random.default_rng(3).normal(size=(len(terms), width)).astype(np.float32)
-    for _ in range(POWER):
-        q = np.linalg.qr(gram_times(q).astype(float))[0].astype(np.float32)
-    # the small problem: Q' A' A Q
-    values, vectors = np.linalg.eigh((q.T @ gram_times(q)).astype(float))
+    rng = np.random.default_rng(3)
+    q = {k: rng.normal(size=(len(t), min(rank + EXTRA, len(t)))).astype(np.float32) for k, t in sorted(terms.items())}
+    for _ in range(POWER if q else 0):
+        q = {k: np.linalg.qr(z.astype(float))[0].astype(np.float32) for k, z in gram_times(q).items()}
+    out = {}
+    for k, z in (gram_times(q) if q else {}).items():
+        # the small problem: Q' A' A Q
+        values, vectors = np.linalg.eigh((q[k].T @ z).astype(float))
+        keep = np.argsort(-values)[:rank]
+        keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-12)]
+        out[k] = terms[k], (q[k] @ vectors[:, keep]).astype(np.float32)
     w.destroy()
-    keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-12)]
-    out = np.zeros((TERMS, len(keep)), np.float32)
-    out[terms] = q @ vectors[:, keep]
     return out
 
 
 @dataclass
-class Index:
-    weights: np.ndarray
-    row_of: np.ndarray  # of each term its row in ``vectors``, -1: none
+class Space:
+    row_of: np.ndarray  # of each term its row in ``vectors``, the last (zeros): none
     vectors: np.ndarray
+    most: np.ndarray  # of each row the largest weight in any passage
     latent: np.ndarray  # of each passage, of length one
     item_of: np.ndarray  # of each passage
+
+
+@dataclass
+class Index:
+    weights: np.ndarray
+    spaces: list[Space]
     masks: list[dict[int, int]]  # of each item: where each word is
     words: list[tuple[np.ndarray, np.ndarray]]  # of each item: its distinct words in order, and how often each occurs
     sizes: list[int]
@@ -167,19 +189,24 @@ class Index:
     names: list
 
 
-def build_index(items: list[tuple], cut: list[tuple[int, bytes]], v: np.ndarray, weights: np.ndarray) -> Index:
-    """``items``: (nr, item_id, words); ``cut``: their passages."""
-    some = np.flatnonzero(np.abs(v).sum(1))
-    row_of = np.full(TERMS, -1)
-    row_of[some] = np.arange(len(some))
+def build_index(items: list[tuple], cut: list[tuple[int, int, bytes]], vectors: dict[int, tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> Index:
+    """``items``: (nr, item_id, words); ``cut``: their passages as (space, nr, words)."""
     place = {nr: k for k, (nr, *_) in enumerate(items)}
-    latent, item_of = [], []
-    for nr, words in cut:
-        terms, x = _sparse(words, weights)
-        y = x @ v[terms]
-        if (n := np.linalg.norm(y)) > 1e-9:
-            latent.append(y / n)
-            item_of.append(place[nr])
+    spaces = []
+    for space, (terms, v) in vectors.items():
+        row_of = np.full(TERMS, len(terms), np.int32)
+        row_of[terms] = np.arange(len(terms))
+        latent, item_of = [], []
+        for _, nr, words in (c for c in cut if c[0] == space):
+            own, x = _sparse(words, weights)
+            y = x @ v[row_of[own]]
+            if (n := np.linalg.norm(y)) > 1e-9:
+                latent.append(y / n)
+                item_of.append(place[nr])
+        if latent:
+            unit = np.array(latent, np.float32)
+            most = np.maximum((v @ unit.T).max(1), 0)
+            spaces.append(Space(row_of, np.vstack([v, np.zeros((1, v.shape[1]), np.float32)]), np.append(most, np.float32(0)), unit, np.array(item_of, np.int64)))
     masks, distinct, answers = [], [], []
     for _, _, words in items:
         m: dict[int, int] = {}
@@ -190,7 +217,7 @@ def build_index(items: list[tuple], cut: list[tuple[int, bytes]], v: np.ndarray,
         distinct.append((own, times))
         rare = own[np.argsort(-weights[_cell(own, COUNTS)], kind="stable")]
         answers.append(set(rare[: max(1, int(np.ceil(ANSWER_SHARE * len(rare))))].tolist()))
-    return Index(weights, row_of, v[some], np.array(latent, np.float32).reshape(-1, v.shape[1]), np.array(item_of, np.int64), masks, distinct, [len(w) for *_, w in items], answers, [i for _, i, _ in items])
+    return Index(weights, spaces, masks, distinct, [len(w) for *_, w in items], answers, [i for _, i, _ in items])
 
 
 def common_words(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -209,22 +236,14 @@ def search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[in
     per = -(-n // STEP)  # blocks of each text
     block0 = np.concatenate([[0], np.cumsum(per)])
     blocks = int(block0[-1])
-    if not blocks or not len(index.latent):
+    if not blocks or not index.spaces:
         return
     text_of = np.repeat(np.arange(len(n)), per)
     place = np.arange(len(h)) - np.repeat(bounds[:-1], n)
     block_of = np.repeat(block0[:-1], n) + place // STEP
     weight = index.weights[_cell(h, COUNTS)]
     norm = np.bincount(block_of, weight.astype(float) ** 2, blocks)
-    x = np.zeros((blocks, index.vectors.shape[1]), np.float32)
-    row = index.row_of[_term(h)]
-    active = np.flatnonzero(row >= 0)
-    for at in range(0, len(active), 4096):
-        a = active[at : at + 4096]
-        g = index.vectors[row[a]]
-        g *= weight[a, None]
-        own, first = np.unique(block_of[a], return_index=True)
-        x[own] += np.add.reduceat(g, first, axis=0)
+    term = _term(h)
     # a window is a block and the next of its text; a last block alone only if it is the only one
     has_next = np.zeros(blocks, bool)
     has_next[:-1] = text_of[1:] == text_of[:-1]
@@ -233,30 +252,48 @@ def search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[in
     after = np.minimum(starts + 1, blocks - 1)
     size = np.sqrt(norm[starts] + np.where(two, norm[after], 0)).astype(np.float32)
     found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for at in range(0, len(starts), 2048):
-        s, nx, t, z = starts[at : at + 2048], after[at : at + 2048], two[at : at + 2048], size[at : at + 2048]
-        y = x[s] + np.where(t[:, None], x[nx], 0)
-        near = np.flatnonzero(np.einsum("ij,ij->i", y, y) >= (COSINE * z) ** 2)  # no cosine can be larger
-        if len(near):
-            c = y[near] @ index.latent.T / z[near, None]
-            for a, b in zip(*np.nonzero(c >= COSINE), strict=True):
-                w = int(s[near[a]])
-                found.setdefault((int(text_of[w]), int(index.item_of[b])), []).append((float(c[a, b]), w))
+    for space in index.spaces:
+        row = space.row_of[term]
+        least = np.bincount(block_of, weight * space.most[row], blocks)
+        live = np.flatnonzero(least[starts] + np.where(two, least[after], 0) >= (COSINE - 1e-4) * size)  # no cosine can be larger
+        if not len(live):
+            continue
+        wanted = np.zeros(blocks, bool)
+        wanted[starts[live]] = wanted[after[live]] = True
+        place_of = np.cumsum(wanted) - 1
+        active = np.flatnonzero(wanted[block_of] & (row < len(space.most) - 1))
+        x = np.zeros((int(wanted.sum()), space.vectors.shape[1]), np.float32)
+        for at in range(0, len(active), 4096):
+            a = active[at : at + 4096]
+            g = space.vectors[row[a]]
+            g *= weight[a, None]
+            own, first = np.unique(place_of[block_of[a]], return_index=True)
+            x[own] += np.add.reduceat(g, first, axis=0)
+        for at in range(0, len(live), 2048):
+            i = live[at : at + 2048]
+            s, z = starts[i], size[i]
+            y = x[place_of[s]] + np.where(two[i, None], x[place_of[after[i]]], 0)
+            near = np.flatnonzero(np.einsum("ij,ij->i", y, y) >= (COSINE * z) ** 2)  # nor larger than this
+            if len(near):
+                c = y[near] @ space.latent.T / z[near, None]
+                for a, b in zip(*np.nonzero(c >= COSINE), strict=True):
+                    w = int(s[near[a]])
+                    found.setdefault((int(text_of[w]), int(space.item_of[b])), []).append((float(c[a, b]), w))
     for (text, item), windows in found.items():
         best = None
         for cosine, w in sorted(windows, reverse=True):
-            size, first = index.sizes[item], int((w - block0[text]) * STEP)
-            a, b = max(0, first - size), min(int(n[text]), first + 2 * STEP + size)
+            whole, first = index.sizes[item], int((w - block0[text]) * STEP)
+            a, b = max(0, first - whole), min(int(n[text]), first + 2 * STEP + whole)
             words = h[bounds[text] + a : bounds[text] + b]
             own, times = index.words[item]
             at = np.minimum(np.searchsorted(own, words), len(own) - 1)
             here = own[at] == words
             seen = np.zeros(len(own), bool)
             seen[at[here]] = True
-            if times @ seen < PARTLY * size:  # no more words can be in order
+            if times @ seen < PARTLY * whole:  # no more words can be in order
                 continue
             words = words[here].tolist()
-            order = common_words(index.masks[item], size, words) / size
+            order = common_words(index.masks[item], whole, words) / whole
             answer = len(index.answers[item].intersection(words)) / len(index.answers[item])
             if (order >= WHOLE or order >= PARTLY and answer >= ANSWERED) and (best is None or order > best[4]):
                 best = (text, item, first, cosine, order, answer)
@@ -282,9 +319,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         if not rows:
             continue
         numbered = spark.createDataFrame([(k, some[k][2]) for k, *_ in rows], "nr long, text string").repartition(max(1, min(partitions(spark), len(rows) // 512)))
-        cut = passages(numbered)
-        v = singular_vectors(cut, weights)
-        index = spark.sparkContext.broadcast(build_index(rows, [(r.nr, bytes(r.words)) for r in cut.collect()], v, weights))
+        cut = in_spaces([(r.nr, bytes(r.words)) for r in passages(numbered).collect()])
+        spread = max(1, min(partitions(spark), len(cut) // 512))
+        v = singular_vectors(spark.createDataFrame([(k, words) for k, _, words in cut], "space long, words binary").repartition(spread), weights)
+        index = spark.sparkContext.broadcast(build_index(rows, cut, v, weights))
         found = _scan(docs, index, id_col, text_col)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], LEAKS) if out is None else out
