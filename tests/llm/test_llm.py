@@ -209,6 +209,22 @@ def test_join_against_brute_force(spark):
     assert [r.n_links for r in sorted(got)] == brute_force(rows)
 
 
+def test_join_keeps_its_recall_at_the_depth_limit(spark):
+    """Four families of 60 texts, all pairs of a family at 0.80 to 0.84; buckets of four, so that paths go down to the limit."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(4):
+        base = [f"w{g}-{x}" for x in range(500)]
+        for _ in range(60):
+            t = list(base)
+            for p in rng.choice(100, 5, replace=False) * 5:
+                t[p] = f"v{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(t)))
+    want = brute_force(rows)
+    got = chosenpath.document_links(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()
+    assert sum(want) > 10_000 and sum(want) - sum(r.n_links for r in got) <= 0.001 * sum(want), (sum(want), sum(r.n_links for r in got))
+
+
 def test_join_of_odd_rows(odd, none):
     got = chosenpath.document_links(odd).collect()
     assert len(got) == odd.count()

@@ -3,9 +3,10 @@
 Words are runs without ASCII white space, lowered, outer marks stripped; a
 text's set is its shingles of five words (all its words, if fewer). Texts of
 equal words are one *class*. ``RUNS`` runs each split all classes from the
-root: a node samples one or two tokens of a set (a minhash coordinate chosen
-by the node, consistent between sets that share the token) and hands the set
-to the child of that token. Two sets of similarity s stay together with
+root, by a coordinate of their own: a node samples one or two tokens of a set
+(minhash coordinates chosen by the node, of hashes that only this run and depth
+use, made for the sets of split nodes only) and hands the set to the child of
+that token. Two sets of similarity s stay together with
 probability s a level for each sample; 1.25 samples a node on average make up
 for 0.8. A node of more than twice ``SMALL`` sets takes two tokens at once.
 Nodes of at most ``SMALL`` sets, or of the greatest depth, are buckets; larger
@@ -17,8 +18,13 @@ so that only sets with a likely new partner fetch their shingles), then whole
 sets, exactly. A pair that shares several buckets counts in the first one
 only. What leaves a task is a row for each set: how many documents it links to
 there, and its bucket's least set that it hangs together with; pairs are never
-written. With 12 runs a pair of similarity 0.8 that needs one split is missed
-with probability 1e-8, one that needs four splits with about 1e-3.
+written.
+
+Runs are repeated until a pair of similarity 0.8 is found with probability
+``RECALL`` (a parameter): sets of nodes that were split go through as many more
+runs as the deepest path really taken asks for (17 in all at the limit of six
+tokens). Sets that no node split need no more, as a pair of them is missed only
+if it shares none of the ``RUNS`` first tokens (4e-9).
 
 Defined results: a null or empty text, or one without words, has no set and
 links to nothing (not to another empty one either); rows are documents, also
@@ -30,7 +36,8 @@ it, null only if all are; an empty table gives no rows. Other columns are not re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +49,33 @@ from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 COORDINATES, RUNS, DEPTH, SMALL = 48, 12, 6, 512
+RECALL = 0.9999
+#: Hashes that the nodes of one depth of one run choose from; so many that nodes of a pair seldom choose the same.
+POOL = 8
 #: Signatures that agree in fewer coordinates are not compared in full: at similarity 0.8 that has probability 1e-6.
 AGREE = COORDINATES // 2
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+_A_RUNS = _rng.integers(1, 1 << 31, (COORDINATES, (DEPTH - 1) * POOL), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B_RUNS = _rng.integers(0, 1 << 32, (COORDINATES, (DEPTH - 1) * POOL), dtype=np.uint32)
+
+
+def together(tokens: int) -> float:
+    """Probability that one run keeps a pair of similarity ``SIMILAR`` together for so many tokens: the first is one sample, the others one or two (1.25 on average)."""
+    lost = 0.0
+    for _ in range(tokens - 1):
+        apart = 1 - SIMILAR + SIMILAR * lost
+        lost = 0.75 * apart + 0.25 * apart**2
+    return SIMILAR * (1 - lost)
+
+
+def runs_needed(tokens: int, recall: float = RECALL) -> int:
+    """Runs after which such a pair is found with probability ``recall`` if its buckets lie at ``tokens`` tokens."""
+    n = math.ceil(math.log(1 - recall) / math.log(1 - together(tokens)))
+    if n > COORDINATES:
+        raise ValueError(f"a recall of {recall} asks for {n} runs, more than {COORDINATES}")
+    return n
 
 
 def plain(word: str) -> str:
@@ -71,9 +100,9 @@ def shingles(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.concatenate([[0], np.cumsum(counts)])
 
 
-def signatures(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, bounds: np.ndarray, mul: np.ndarray = _A, add: np.ndarray = _B) -> np.ndarray:
     """Minhashes of every text that has shingles (rows of zeros for the others)."""
-    out = np.zeros((len(bounds) - 1, COORDINATES), np.uint32)
+    out = np.zeros((len(bounds) - 1, len(mul)), np.uint32)
     full = np.flatnonzero(np.diff(bounds))
     x = (s >> np.uint64(32)).astype(np.uint32)
     at = 0
@@ -81,8 +110,8 @@ def signatures(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(bounds[full], bounds[full[at]] + 50_000)))
         part = x[bounds[full[at]] : bounds[full[min(to, len(full)) - 1] + 1]]
         starts = bounds[full[at:to]] - bounds[full[at]]
-        for k in range(COORDINATES):
-            out[full[at:to], k] = np.minimum.reduceat(part * _A[k] + _B[k], starts)
+        for k in range(len(mul)):
+            out[full[at:to], k] = np.minimum.reduceat(part * mul[k] + add[k], starts)
         at = to
     return out
 
@@ -223,44 +252,77 @@ def node_of(run, *what):
     return (F.shiftleft(run.cast("long"), 56)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(run, *what), 8))
 
 
-def buckets(classes: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """leaf, size, key: every bucket of at least two classes."""
-    pick = F.array(*(F.lit(int(c)) for c in np.random.default_rng(5).permutation(np.arange(max(runs, COORDINATES)) % COORDINATES)[:runs]))
-    run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
+def run_tokens(texts: DataFrame, first: int, last: int) -> DataFrame:
+    """key, run, tokens: 16 bits of each hash that the nodes of a run choose from, for the runs ``first`` to ``last`` (not included)."""
+    mul, add = _A_RUNS[first:last].reshape(-1), _B_RUNS[first:last].reshape(-1)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, bounds = plain_hashes(batch.column("text"))
+            sig = signatures(*shingles(h, bounds), mul, add).astype(np.uint16).reshape(len(bounds) - 1, last - first, -1)
+            rows = [(key, first + r, sig[i, r].tobytes()) for i, key in enumerate(_class_keys(h, bounds)) if key for r in range(last - first)]
+            yield _batch(rows, ["key", "run", "tokens"], [pa.binary(), pa.int32(), pa.binary()])
+
+    return texts.mapInArrow(make, "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
+
+
+def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """leaf, size, key: every bucket of at least two classes. ``texts_of`` gives the texts (at least) of classes with their ``first_id``."""
+    found, group, deepest, done, need = None, classes, 1, 0, max(runs, runs_needed(1, recall))
+    while done < need:
+        some, cut, deep = grow(group, texts_of, done, need, small, depth)
+        found = some if found is None else found.unionByName(some)
+        deepest = max(deepest, deep)
+        if not done and cut is not None:  # later runs split nothing else: their sets are these
+            group = materialize(classes.join(cut, "key", "left_semi"), "path-again")
+        done, need = need, max(need, runs_needed(deepest, recall))
+    return found
+
+
+def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first: int, last: int, small: int, depth: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """The buckets of the runs ``first`` to ``last`` (not included), the classes of nodes that were split (None: none was) and the tokens of the deepest path."""
+    pick = F.array(*(F.lit(int(c)) for c in np.random.default_rng(5).permutation(COORDINATES)))
+    run = F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
     live = classes.select("key", "sig", run.alias("run"))
     live = live.select(node_of(F.col("run"), F.element_at("sig", F.element_at(pick, F.col("run") + 1) + 1)).alias("node"), "key")
     live = live.withColumn("deep", F.lit(1))
-    found = None
+    found, cut, tokens, deepest = None, None, None, 1
     for level in range(1, depth + 1):
         sizes = live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         live = materialize(live.join(sizes, "node"), f"path-{level}")
         end = (F.col("size") <= small) | (F.col("deep") >= depth)
         found = live.where(end) if found is None else found.unionByName(live.where(end))
-        big = live.where(~end)
-        if big.isEmpty():
+        big = live.where(~end).withColumn("two", (F.col("size") > 2 * small) & (F.col("deep") + 1 < depth))
+        deep = big.agg(F.max(F.col("deep") + F.when(F.col("two"), 2).otherwise(1))).first()[0]
+        if deep is None:
             break
-        live = split(big.join(classes.select("key", "sig"), "key"), small, depth)
-    return found.select(F.col("node").alias("leaf"), "size", "key")
+        deepest = max(deepest, deep)
+        if cut is None:
+            cut = big.select("key").distinct()
+            # a table of known size, so that few of them don't make all texts move
+            some = materialize(classes.join(cut, "key", "left_semi").select("first_id").distinct(), "path-cut")
+            tokens = materialize(run_tokens(texts_of(some), first, last), "path-tokens")
+        live = split(big.withColumn("run", F.shiftrightunsigned("node", 56).cast("int")).join(tokens, ["key", "run"]))
+    return found.select(F.col("node").alias("leaf"), "size", "key"), cut, deepest
 
 
-def split(big: DataFrame, small: int, depth: int) -> DataFrame:
-    """The children of nodes: by one sampled token, or by two where halving once is too little.
+def split(big: DataFrame) -> DataFrame:
+    """The children of nodes: by one sampled token, or by two where halving once is too little (``two``). A node takes one or two samples (1.25 on average)."""
+    at = lambda node, j: F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POOL)) + j * (1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POOL - 1)))
+    samples = lambda node: F.when(F.pmod(F.xxhash64(node, F.lit(0)), F.lit(4)) == 0, 2).otherwise(1)
 
-    A token is one of one or two samples (1.25 on average), so a path of two is one of up to four.
-    """
-    coordinate = lambda *what: F.pmod(F.xxhash64("node", "deep", *what), F.lit(COORDINATES)).cast("int") + 1
-    samples = lambda salt: F.when(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(4)) == 0, 2).otherwise(1)
-    two = (F.col("size") > 2 * small) & (F.col("deep") + 1 < depth)
-    paths = samples(1) * F.when(two, samples(2)).otherwise(1)
-    big = big.withColumn("two", two).withColumn("n2", samples(2)).withColumn("j", F.explode(F.sequence(F.lit(0), paths - 1)))
-    first, second = F.when(F.col("two"), F.floor(F.col("j") / F.col("n2")).cast("int")).otherwise(F.col("j")), F.col("j") % F.col("n2")
-    at, then = coordinate(first, F.lit(1)), coordinate(first, second, F.lit(2))
-    tokens = (at, F.element_at("sig", at), F.when(F.col("two"), then), F.when(F.col("two"), F.element_at("sig", then)))
-    child = node_of(F.shiftrightunsigned("node", 56).cast("int"), F.col("node"), *tokens)
-    return big.select(child.alias("node"), "key", (F.col("deep") + F.when(F.col("two"), 2).otherwise(1)).alias("deep")).distinct()
-
-
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    def child(node, j, level):
+        c = F.pmod(at(node, j), F.lit(POOL)).cast("int")
+        return node_of(F.col("run"), node, c, F.substr("tokens", 2 * (level * POOL + c) + 1, F.lit(2)))
+
+    one = big.withColumn("j", F.explode(F.sequence(F.lit(0), samples(F.col("node")) - 1)))
+    one = one.withColumn("node", child(F.col("node"), F.col("j"), F.col("deep") - 1))
+    both = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("two"), samples(F.col("node"))).otherwise(1) - 1)))
+    node = F.when(F.col("two"), child(F.col("node"), F.col("j"), F.col("deep"))).otherwise(F.col("node"))
+    return both.select(node.alias("node"), "key", (F.col("deep") + F.when(F.col("two"), 2).otherwise(1)).alias("deep"))
+
+
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, small: int = SMALL, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, th = hash of the text, key) and classes (key, first_id, copies, links, component).
 
     ``links`` counts documents of other classes at ``SIMILAR`` or more;
@@ -274,7 +336,12 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = described.select("doc_id", "th", "key")
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = materialize(classes, "path-classes")
-    found = materialize(buckets(classes, runs, small), "path-buckets")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("first_id").alias("w")).distinct()
+        return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
+
+    found = materialize(buckets(classes, texts_of, runs, small, recall=recall), "path-buckets")
     parts = F.ceil(F.col("size") / small).cast("int")
     leaves = found.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     # 16 bits of each coordinate are enough to bound the similarity
@@ -289,9 +356,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # whole sets of those only, each made from one of its texts
     wanted = maybe.select("key").distinct().join(classes.select("key", "first_id", "copies"), "key")
     wanted = materialize(wanted, "path-wanted")
-    ids = wanted.select(F.col("first_id").alias("w")).distinct()
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key", "copies"), "key")
+    sets = texts_of(wanted).mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key", "copies"), "key")
     checked = ordered(maybe.join(sets, "key")).mapInArrow(verify, "key binary, links long, root binary")
     checked = materialize(checked, "path-links")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
