@@ -79,6 +79,21 @@ def test_greedy_match_against_brute_force(spark):
     assert len({(r["key"], r["a"]) for r in rows}) == len({(r["key"], r["b"]) for r in rows}) == len(rows)
 
 
+def test_stream_counts_late_rows(spark, tmp_path):
+    """Seven files, one for each batch, newest first, over seven months."""
+    from tidewatch.streaming import feeds
+
+    for n, month in enumerate((7, 6, 5, 4, 3, 2, 1)):
+        rows = [(datetime.datetime(2024, month, 1 + k % 3, 6), "ab"[k % 2]) for k in range(12)] + [(datetime.datetime(2024, 1, 1, n), "a")]
+        spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.parquet(f"{tmp_path}/part{n}")
+        (file,) = (tmp_path / f"part{n}").glob("*.parquet")
+        (tmp_path / "feed").mkdir(exist_ok=True)
+        file.rename(tmp_path / "feed" / f"{n}.parquet")
+    got = feeds.run_to_table(feeds.daily_counts(feeds.read_feed(spark, f"{tmp_path}/feed", 1)), "late", ["day", "event_type"])
+    batch = feeds.daily_counts(spark.read.parquet(f"{tmp_path}/feed"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and batch.agg(F.sum("n")).first()[0] == 7 * 13
+
+
 def test_auc_and_kappa(spark):
     df = spark.createDataFrame([(True, 3), (True, 2), (False, 2), (False, 1)], "t boolean, s int")
     assert evaluation.auc(df, F.col("t"), F.col("s")).first()[0] == pytest.approx(0.875)

@@ -21,15 +21,22 @@ def read_feed(spark: SparkSession, path: str, per_batch: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
 
 
-def daily_counts(feed: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Events of each day and type; a day is final once the watermark has passed it."""
+def _timed(feed: DataFrame, delay: str | None) -> DataFrame:
+    """With ``ts`` as a timestamp; only a ``delay`` sets a watermark, which drops rows that are later than it."""
+    timed = feed.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay) if delay else timed
+
+
+def daily_counts(feed: DataFrame, delay: str | None = None) -> DataFrame:
+    """Events of each day and type, all of them in whatever order they come; with a ``delay`` a day is final once the watermark has passed it, and later rows are dropped."""
     day = F.window("ts", "1 day")
-    return feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(day, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
+    return _timed(feed, delay).groupBy(day, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-def sessions(feed: DataFrame, gap: str = "12 hours", delay: str = "30 days") -> DataFrame:
+def sessions(feed: DataFrame, gap: str = "12 hours", delay: str | None = None) -> DataFrame:
+    """Sessions of each user; a ``delay`` as in ``daily_counts``. Late rows can join sessions, so a stream needs output mode complete."""
     own = F.session_window("ts", gap)
-    return feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("user_id", own).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    return _timed(feed, delay).groupBy("user_id", own).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def run_to_table(stream: DataFrame, label: str, merge_on: list[str]) -> DataFrame:
