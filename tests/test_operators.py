@@ -94,6 +94,12 @@ def test_stream_counts_late_rows(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and batch.agg(F.sum("n")).first()[0] == 7 * 13
 
 
+def test_number_guard_reads_whole_pages(spark, tmp_path):
+    rows = [(1, "http://a/7/12", "<p>7</p>" + "x" * 500 + "<p>12</p>"), (2, "http://a/7", "<p>7</p>" + "x" * 500 + "<p>12</p>"), (3, "http://a/7", "<p>7</p>"), (4, "http://a/", "x" * 500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.kept for r in QUERIES["q_number_guard"](spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_auc_and_kappa(spark):
     df = spark.createDataFrame([(True, 3), (True, 2), (False, 2), (False, 1)], "t boolean, s int")
     assert evaluation.auc(df, F.col("t"), F.col("s")).first()[0] == pytest.approx(0.875)
