@@ -100,6 +100,35 @@ def test_number_guard_reads_whole_pages(spark, tmp_path):
     assert {r.page_id: r.kept for r in QUERIES["q_number_guard"](spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_greedy_match_of_whole_labels_against_brute_force(spark, tmp_path, monkeypatch):
+    """Partners far apart in their identifiers, copies on both sides, blocks smaller than a label, and the reference's 0.8."""
+    import numpy as np
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(linking, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 4))
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 3)
+    near = rng.normal(size=(160, 4))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    v = [(i, i // 3 % 2, (x[rng.integers(12)] if i % 5 == 0 else near[i]).tolist()) for i in range(160)]
+    df = spark.createDataFrame(v, "vec_id long, key int, v array<double>")
+    left, right = df.where("vec_id % 2 = 0").selectExpr("key", "vec_id a", "v x"), df.where("vec_id % 2 = 1").selectExpr("key", "vec_id b", "v y")
+    got = linking.greedy_match(left, right).collect()
+    first = {}
+    for i, k, e in v:
+        first.setdefault((k, i % 2, tuple(e)), i)
+    pairs = [(-float(np.dot(e, f)), first[k, 0, tuple(e)], first[k, 1, tuple(f)], a, b, k) for a, k, e in v for b, m, f in v if a % 2 == 0 and b % 2 == 1 and k == m]
+    want, used = set(), set()
+    for s, _, _, a, b, k in sorted((round(p[0], 12), *p[1:]) for p in pairs):
+        if s <= -0.8 and a not in used and b not in used:
+            used |= {a, b}
+            want.add((k, a, b))
+    assert {(r["key"], r["a"], r["b"]) for r in got} == want and len(want) > 20 and any(a // 10 != b // 10 for _, a, b in want)
+    assert all(r.sim >= 0.8 for r in got)
+    assert linking.greedy_match(left, right, 1.5).count() == 0
+
+
 def test_auc_and_kappa(spark):
     df = spark.createDataFrame([(True, 3), (True, 2), (False, 2), (False, 1)], "t boolean, s int")
     assert evaluation.auc(df, F.col("t"), F.col("s")).first()[0] == pytest.approx(0.875)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Thresholds of the link decision, in hundredths.
 AUTO, REVIEW, WEIGHT_MIN, RULE_MIN = 55, 40, 15, 25
+#: Rows of a side that are multiplied at once.
+BLOCK = 2048
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
@@ -85,19 +87,66 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def greedy_match(pairs: DataFrame, schema: str) -> DataFrame:
-    """key, a, b, sim -> the pairs of a greedy one-to-one matching in each key: best first, ties by (a, b)."""
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """key, a, b, sim: all pairs (key, a, x) and (key, b, y) of a key with x * y >= ``least``.
 
-    def pick(pdf):
-        used_a, used_b, keep = set(), set(), []
-        for i, r in enumerate(pdf.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples(index=False)):
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a)
-                used_b.add(r.b)
-                keep.append(r)
-        return type(pdf)(keep, columns=pdf.columns)
-
-    return pairs.groupBy("key").applyInPandas(pick, schema)
+    A key's rows are dealt to blocks of about ``BLOCK`` on either side, and each
+    two blocks are multiplied in a task of their own, so no key is ever whole in one.
+    """
+    size = left.select("key").unionAll(right.select("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    l = left.join(size, "key").select("key", own("a").alias("i"), every.alias("j"), F.lit(True).alias("is_a"), F.col("a").alias("id"), F.col("x").alias("v"))
+    r = right.join(size, "key").select("key", every.alias("i"), own("b").alias("j"), F.lit(False).alias("is_a"), F.col("b").alias("id"), F.col("y").alias("v"))
+
+    def multiply(pdf):
+        import numpy as np
+        import pandas as pd
+
+        x, y = pdf[pdf.is_a], pdf[~pdf.is_a]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"key": [], "a": [], "b": [], "sim": []})
+        sim = np.stack(x.v.to_numpy()).astype(float) @ np.stack(y.v.to_numpy()).astype(float).T
+        m, n = np.nonzero(sim >= least)
+        return pd.DataFrame({"key": pdf.key.iloc[0], "a": x.id.to_numpy()[m], "b": y.id.to_numpy()[n], "sim": sim[m, n]})
+
+    kind = left.schema["key"].dataType.simpleString()
+    return l.unionAll(r).groupBy("key", "i", "j").applyInPandas(multiply, f"key {kind}, a long, b long, sim double")
+
+
+def greedy_match(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """key, a, b, sim: a greedy one-to-one matching of (key, a, x) with (key, b, y) in each key, best first, none under ``least``.
+
+    Equal vectors of a side are one class with as many places as copies; ties go
+    by the least identifiers of the classes, copies by theirs. In each round all
+    pairs of classes that are best for both take as many places as both have
+    left; what greedy takes is the same, as nothing better is left to either.
+    """
+    sides = {}
+    for df, i, v in ((left, "a", "x"), (right, "b", "y")):
+        df = df.where(F.col("key").isNotNull() & F.col(v).isNotNull())
+        w = Window.partitionBy("key", v)
+        sides[i] = df.select("key", v, F.col(i).alias("id"), F.min(i).over(w).alias(i), F.row_number().over(w.orderBy(i)).alias("nth")).checkpoint()
+    classes = {i: sides[i].groupBy("key", i).agg(F.max("nth").alias(f"n{i}"), F.first(v).alias(v)) for i, v in (("a", "x"), ("b", "y"))}
+    live = similar_pairs(classes["a"].select("key", "a", "x"), classes["b"].select("key", "b", "y"), least)
+    live = live.join(classes["a"].drop("x"), ["key", "a"]).join(classes["b"].drop("y"), ["key", "b"]).withColumns({"ua": F.lit(0), "ub": F.lit(0)}).checkpoint()
+    order = (F.desc("sim"), "a", "b")
+    taken = None
+    while not live.isEmpty():
+        firsts = {i: F.row_number().over(Window.partitionBy("key", i).orderBy(*order)) for i in ("a", "b")}
+        best = live.withColumns({"fa": firsts["a"], "fb": firsts["b"]}).where("fa = 1 AND fb = 1").select("key", "a", "b", "sim", "ua", "ub", F.least("na", "nb").alias("k")).checkpoint()
+        taken = best if taken is None else taken.unionByName(best)
+        for i in ("a", "b"):
+            used = best.select("key", i, F.col("k").alias("used"))
+            live = live.join(used, ["key", i], "left").withColumns({f"n{i}": F.col(f"n{i}") - F.coalesce("used", F.lit(0)), f"u{i}": F.col(f"u{i}") + F.coalesce("used", F.lit(0))}).drop("used")
+        live = live.where("na > 0 AND nb > 0").checkpoint()
+    if taken is None:
+        return live.select("key", "a", "b", "sim")
+    out = taken.withColumn("m", F.explode(F.sequence(F.lit(1), "k")))
+    for i in ("a", "b"):
+        copies = sides[i].select("key", i, "nth", F.col("id").alias(f"id_{i}"))
+        out = out.withColumn("nth", F.col(f"u{i}") + F.col("m")).join(copies, ["key", i, "nth"]).drop("nth")
+    return out.select("key", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "sim")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -13,6 +13,8 @@ from .catalogue import query
 from .search import TOKENS_SQL
 
 KEY = ["case_id", "part", "supp", "line"]
+#: The least similarity of a match. The reference has 0.8 for texts; between the table's vectors of a label hardly any is over 0.4.
+MATCH_AT = 0.3
 WORDS_SQL = f"words AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL.format('text')}) AS word FROM documents)"
 WEIGHTS_SQL = f"""{WORDS_SQL}, n AS (SELECT count(*) AS n_docs FROM documents), df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
 core AS (SELECT source AS key, doc_id FROM documents), sz AS (SELECT key, count(DISTINCT doc_id) AS n_core FROM core GROUP BY key),
@@ -21,6 +23,13 @@ wt AS (SELECT key, word, floor(1000 * raw / max(raw) OVER (PARTITION BY key) + 0
 weights AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, word) AS rn FROM wt WHERE weight >= 0.05)"""
 
 
+def _checkpoints(spark) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
 def words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(X.distinct_tokens(F.col("text"))).alias("word"))
 
@@ -298,11 +307,11 @@ def q_cosine_link(spark, d):
 
 @query(name="q_greedy_match")
 def q_greedy_match(spark, d):
-    """Even against odd vectors of a label within windows of ten identifiers, one to one."""
-    v = table(spark, d, "embeddings").withColumn("key", F.floor(F.col("vec_id") / 10))
-    even, odd = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
-    pairs = even.select("key", "label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(odd.select("key", "label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), ["key", "label"])
-    return L.greedy_match(pairs.select("key", "a", "b", L.dot(F.col("x"), F.col("y")).alias("sim")), "key long, a long, b long, sim double")
+    """Even against odd vectors of a label, one to one, at ``MATCH_AT`` or more."""
+    _checkpoints(spark)
+    v = table(spark, d, "embeddings").withColumnRenamed("label", "key")
+    even, odd = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 <> 0")
+    return L.greedy_match(even.select("key", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), odd.select("key", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), MATCH_AT)
 
 
 @query(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, source, substr(title, 1, 80) AS t, substr(title, 1, 12) AS b FROM docs) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.source = b.source AND a.b = b.b AND a.doc_id < b.doc_id WHERE 10 * levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t))")
@@ -317,10 +326,7 @@ def q_near_dup(spark, d):
 SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id, event_type, g) AS component FROM g QUALIFY count(*) OVER (PARTITION BY user_id, event_type, g) > 1""")
 def q_components(spark, d):
     """Chains of one user's events of a type with at most half a day between neighbours, as components of their links."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    _checkpoints(spark)
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     after = feed(spark, d).select(F.col("event_id").alias("u"), F.lead("event_id").over(w).alias("v"), F.timestamp_diff("SECOND", F.col("ts"), F.lead("ts").over(w)).alias("gap"))
     return L.components(after.where("gap <= 43200").select("u", "v"))
