@@ -129,6 +129,37 @@ def test_greedy_match_of_whole_labels_against_brute_force(spark, tmp_path, monke
     assert linking.greedy_match(left, right, 1.5).count() == 0
 
 
+def test_near_dup_compares_whole_titles(spark, tmp_path):
+    """Changed first words, titles alike in 80 characters only, copies, and lengths at the limit of a tenth."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefgh "), n)) for n in (9, 10, 11, 19, 20, 37, 100, 100, 260)]
+    titles = [base[6][:80] + "x" * 60, base[6][:80] + "y" * 60, base[7], base[7]]
+    for b in base:
+        for edits in range(0, len(b) // 8 + 2, max(1, len(b) // 20)):
+            t = list(b)
+            for p in rng.integers(0, min(12, len(b)), edits) if edits < 3 else rng.integers(0, len(b), edits):
+                t[p] = rng.choice(["", "Z", t[p] + "Q"])
+            titles.append("".join(t))
+    rows = [(i, t + ". more", "en", f"s{i % 2}") for t in titles for i in (2 * titles.index(t), 2 * titles.index(t) + 1)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            e = [i + 1]
+            for j, y in enumerate(b):
+                e.append(min(d[j + 1] + 1, e[j] + 1, d[j] + (x != y)))
+            d = e
+        return d[-1]
+
+    cut = [(k, t.split(".")[0], s) for k, t, _, s in rows]
+    want = sorted((a, b) for a, t, s in cut for b, o, z in cut if a < b and s == z and abs(len(t) - len(o)) * 10 <= max(len(t), len(o)) and 10 * distance(t, o) <= max(len(t), len(o)))
+    assert sorted(map(tuple, QUERIES["q_near_dup"](spark, str(tmp_path)).collect())) == want and len(want) > 30
+
+
 def test_auc_and_kappa(spark):
     df = spark.createDataFrame([(True, 3), (True, 2), (False, 2), (False, 1)], "t boolean, s int")
     assert evaluation.auc(df, F.col("t"), F.col("s")).first()[0] == pytest.approx(0.875)

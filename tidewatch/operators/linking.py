@@ -87,6 +87,50 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
+def near_texts(texts: DataFrame) -> DataFrame:
+    """key, t, o: each two different texts of (key, t), distinct rows, of a key that differ in a tenth of the longer one's characters at most.
+
+    Candidates lose none: lengths differ by a tenth at most, so texts meet in
+    their own or the next of buckets of lengths that grow by a ninth; an edit
+    changes at most four of all counts of character pairs, also of counts of
+    their hashes. A bucket is dealt to blocks, each two of which are compared in a task.
+    """
+    size, step = F.length("t"), F.log(F.lit(10 / 9))
+    t = texts.where(size >= 9).withColumn("c", F.floor(F.log(size) / step + 1e-9).cast("int"))
+    rows = t.withColumns({"c": F.explode(F.array(F.col("c"), F.col("c") - 1)), "own": F.col("c")})
+    blocks = rows.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    rows = rows.join(blocks, ["key", "c"]).withColumn("i", F.pmod(F.xxhash64("t"), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("key", "c", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "own", "t")
+
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("t", ignore_index=True)
+        n = len(pdf)
+        size, part, own = pdf.t.str.len().to_numpy(), pdf.i.to_numpy(), pdf.own.to_numpy()
+        lo, hi, c = pdf.lo.iloc[0], pdf.hi.iloc[0], pdf.c.iloc[0]
+        counts = np.zeros((n, 64), np.int32)
+        for k, t in enumerate(pdf.t):
+            x = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+            counts[k] = np.bincount((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(2654435761) >> np.uint32(26), minlength=64)
+        out = []
+        for k in range(n - 1):
+            r = np.arange(k + 1, n)
+            r = r[((own[r] == c) | (own[k] == c)) & ((lo == hi) | (part[r] != part[k]))]
+            most = np.maximum(size[r], size[k]) // 10
+            r, most = r[np.abs(size[r] - size[k]) <= most], most[np.abs(size[r] - size[k]) <= most]
+            r = r[np.abs(counts[r] - counts[k]).sum(1) <= 4 * most]
+            out += [(pdf.key.iloc[0], pdf.t[k], pdf.t[x]) for x in r]
+        return pd.DataFrame(out, columns=["key", "t", "o"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    maybe = rows.groupBy("key", "c", "lo", "hi").applyInPandas(compare, f"key {kind}, t string, o string")
+    most = F.floor(F.greatest(F.length("t"), F.length("o")) / 10).cast("int")
+    return maybe.where((F.levenshtein("t", "o") <= most)).distinct()
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """key, a, b, sim: all pairs (key, a, x) and (key, b, y) of a key with x * y >= ``least``.
 

@@ -316,10 +316,14 @@ def q_greedy_match(spark, d):
 
 @query(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, source, substr(title, 1, 80) AS t, substr(title, 1, 12) AS b FROM docs) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.source = b.source AND a.b = b.b AND a.doc_id < b.doc_id WHERE 10 * levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t))")
 def q_near_dup(spark, d):
-    """Titles of one source that begin alike and differ in a tenth of their characters at most."""
-    t = documents(spark, d).select("doc_id", "source", F.substring("title", 1, 80).alias("t"), F.substring("title", 1, 12).alias("b"))
-    o = t.select(F.col("doc_id").alias("o_id"), "source", F.col("t").alias("o"), "b")
-    return t.join(o, ["source", "b"]).where("doc_id < o_id").where(10 * F.levenshtein("t", "o") <= F.greatest(F.length("t"), F.length("o"))).select(F.col("doc_id").alias("a"), F.col("o_id").alias("b"))
+    """Titles of one source that differ in a tenth of their characters at most; the SQL compares only those that begin alike, by 80 characters."""
+    t = documents(spark, d).select("doc_id", F.col("source").alias("key"), F.col("title").alias("t"))
+    near = L.near_texts(t.where("key IS NOT NULL AND t IS NOT NULL").select("key", "t").distinct())
+    near = near.unionAll(near.select("key", F.col("o").alias("t"), F.col("t").alias("o")))
+    o = t.select("key", F.col("doc_id").alias("o_id"), F.col("t").alias("o"))
+    copies = t.join(o.withColumnRenamed("o", "t"), ["key", "t"]).where("doc_id < o_id").select("doc_id", "o_id")
+    others = t.join(near, ["key", "t"]).join(o, ["key", "o"]).where("doc_id < o_id").select("doc_id", "o_id")
+    return copies.unionAll(others).select(F.col("doc_id").alias("a"), F.col("o_id").alias("b"))
 
 
 @query("""WITH g AS (SELECT event_id, user_id, event_type, ts, sum(brk) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), ts) <= 43200 THEN 0 ELSE 1 END AS brk FROM events))
