@@ -221,10 +221,36 @@ def test_join_keeps_its_recall_at_the_depth_limit(spark):
                 t[p] = f"v{rng.integers(0, 10**9)}"
             rows.append((len(rows), " ".join(t)))
     want = brute_force(rows)
-    got = chosenpath.document_links(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()
+    got = chosenpath.document_links(spark.createDataFrame(rows, "doc_id long, text string"), small=4, dense=2.0).collect()
     assert sum(want) > 10_000 and sum(want) - sum(r.n_links for r in got) <= 0.001 * sum(want), (sum(want), sum(r.n_links for r in got))
 
 
+def test_join_of_one_large_group_of_near_copies(spark):
+    """1500 copies of a text with up to nine words exchanged: one dense node in each run, which parts of 256 sets share out."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(160)]
+    texts = []
+    for _ in range(1500):
+        t = list(base)
+        for p in rng.integers(0, 160, rng.integers(0, 10)):
+            t[p] = f"v{rng.integers(0, 10**6)}"
+        texts.append(t)
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    code = {x: i for i, x in enumerate(set().union(*sets))}
+    x = np.zeros((1500, len(code)), np.float32)
+    for i, one in enumerate(sets):
+        x[i, [code[y] for y in one]] = 1
+    both = x @ x.T
+    size = x.sum(1)
+    link = 10 * both >= 8 * (size[:, None] + size[None, :] - both)
+    want = link.sum(1) - 1
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = chosenpath.document_links(docs, small=256).collect()
+    lost = int(want.sum()) - sum(r.n_links for r in got)
+    assert want.sum() > 100_000 and 0 <= lost <= (1 - chosenpath.RECALL) * want.sum(), (want.sum(), lost)
+    assert all(r.n_links <= want[r.doc_id] for r in got)
+
+
 def test_join_of_odd_rows(odd, none):
     got = chosenpath.document_links(odd).collect()
     assert len(got) == odd.count()

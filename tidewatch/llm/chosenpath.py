@@ -9,16 +9,23 @@ use, made for the sets of split nodes only) and hands the set to the child of
 that token. Two sets of similarity s stay together with
 probability s a level for each sample; 1.25 samples a node on average make up
 for 0.8. A node of more than twice ``SMALL`` sets takes two tokens at once.
-Nodes of at most ``SMALL`` sets, or of the greatest depth, are buckets; larger
-buckets are cut in pairs of parts of that size, so one task never holds more
-than two parts.
 
-A bucket is compared by brute force: first minhash signatures (a loose bound,
-so that only sets with a likely new partner fetch their shingles), then whole
-sets, exactly. A pair that shares several buckets counts in the first one
+Nodes of at most ``SMALL`` sets, of the greatest depth, or *dense* ones are
+buckets. A node is dense if so many of its pairs share the next token
+(``DENSE`` of all; its mean similarity is about that) that splitting it would
+compare the same pairs again and again: a group of near copies of any size goes
+to one bucket a run, so it makes as many rows as it has sets.
+
+A bucket is compared by brute force, in packed blocks: a row holds up to
+``SMALL`` sets, and only such rows are copied to meet each other, so a bucket
+of n sets sends (n / SMALL)^2 rows. First minhash signatures are compared (a
+loose bound, so that only sets with a likely new partner fetch their shingles),
+then whole sets, exactly, in blocks of at most about ``SMALL`` sets and
+``BLOCK_BYTES``. A pair that shares several buckets counts in the first one
 only. What leaves a task is a row for each set: how many documents it links to
 there, and its bucket's least set that it hangs together with; pairs are never
-written.
+written. Exact numbers of links cost as many comparisons as a dense group has
+pairs; they are counted inside tasks.
 
 Runs are repeated until a pair of similarity 0.8 is found with probability
 ``RECALL`` (a parameter): sets of nodes that were split go through as many more
@@ -30,7 +37,9 @@ Defined results: a null or empty text, or one without words, has no set and
 links to nothing (not to another empty one either); rows are documents, also
 when they repeat an identifier or are repeated whole (copies link to each
 other); a null identifier is kept, and a class's id is the least identifier in
-it, null only if all are; an empty table gives no rows. Other columns are not read.
+it, null only if all are; of a group one row stays, the least by identifier,
+text and the other columns; an empty table gives no rows. Other columns are not
+read by the join and carried along as they are by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -44,12 +53,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, materialize, partitions, plain_hashes, ranges, small_batches, table
+from .common import MARKS, materialize, partitions, plain_hashes, ranges, row_hash, small_batches, table
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 COORDINATES, RUNS, DEPTH, SMALL = 48, 12, 6, 512
 RECALL = 0.9999
+#: Share of a node's pairs with the next token in common from which on it is not split.
+DENSE = 0.4
+#: Shingles that one block of a bucket holds at most (a single larger set is a block).
+BLOCK_BYTES = 4 << 20
 #: Hashes that the nodes of one depth of one run choose from; so many that nodes of a pair seldom choose the same.
 POOL = 8
 #: Signatures that agree in fewer coordinates are not compared in full: at similarity 0.8 that has probability 1e-6.
@@ -122,26 +135,34 @@ def _class_keys(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, a hash of the text, its class (null: no words) and the class's signature."""
+    """The identifier, the hashes of text and row, the text's class (null: no words), its number of shingles and its signature."""
     for batch in batches:
         h, bounds = plain_hashes(batch.column("text"))
-        sig = signatures(*shingles(h, bounds)).astype(np.int32)
+        found, at = shingles(h, bounds)
+        sig = signatures(found, at).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(_class_keys(h, bounds), pa.binary()), lists], names=["doc_id", "th", "key", "sig"])
+        own = [batch.column(c) for c in ("doc_id", "th", "rh")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(_class_keys(h, bounds), pa.binary()), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "th", "rh", "key", "n", "sig"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows that follow one another with the same (leaf, ci, cj)."""
-    last, rows = None, []
+def _tasks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, int, int, np.ndarray, list[list]]]:
+    """Blocks that follow one another with the same (leaf, ci, cj), one or two of them: leaf, ci, cj, each set's part and the columns of all sets."""
+    last, blocks = None, []
+
+    def task():
+        part = np.repeat([p for p, _ in blocks], [len(m) for _, m in blocks])
+        return *last, part, [[x for _, m in blocks for x in m.field(c).to_pylist()] for c in columns]
+
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("leaf", "ci", "cj", *columns)), strict=True):
-            if r[:3] != last:
-                if rows:
-                    yield last, rows
-                last, rows = r[:3], []
-            rows.append(r[3:])
-    if rows:
-        yield last, rows
+        sets = batch.column("sets")
+        for i, (leaf, ci, cj, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("leaf", "ci", "cj", "part")), strict=True)):
+            if (leaf, ci, cj) != last:
+                if blocks:
+                    yield task()
+                last, blocks = (leaf, ci, cj), []
+            blocks.append((part, sets[i].values))
+    if blocks:
+        yield task()
 
 
 def _new_pairs(leaf: int, ci: int, cj: int, part: np.ndarray, leaves: list[list[int]]) -> np.ndarray:
@@ -165,20 +186,18 @@ def _new_pairs(leaf: int, ci: int, cj: int, part: np.ndarray, leaves: list[list[
 
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of each task that have a new partner by their signatures."""
-    names = ["leaf", "ci", "cj", "part", "key", "leaves"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    names, kinds = ["leaf", "key"], [pa.int64(), pa.binary()]
     out: list[tuple] = []
-    for (leaf, ci, cj), rows in _groups(batches, ["part", "key", "leaves", "sig"]):
-        if len(rows) > 1:
-            part = np.array([r[0] for r in rows])
-            ok = _new_pairs(leaf, ci, cj, part, [r[2] for r in rows])
+    for leaf, ci, cj, part, (keys, leaves, sigs) in _tasks(batches, ["key", "leaves", "sig"]):
+        if len(keys) > 1:
+            ok = _new_pairs(leaf, ci, cj, part, leaves)
             if ok.any():
-                sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+                sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(keys), -1)
                 same = np.zeros(ok.shape, np.uint8)
                 for k in range(COORDINATES):
                     same += sig[:, k, None] == sig[None, :, k]
                 ok &= same >= AGREE
-                out += [(leaf, ci, cj, *rows[i][:3]) for i in np.flatnonzero(ok.any(0) | ok.any(1))]
+                out += [(leaf, keys[i]) for i in np.flatnonzero(ok.any(0) | ok.any(1))]
         if len(out) > 4096:
             yield _batch(out, names, kinds)
             out = []
@@ -212,18 +231,18 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set of a task: documents that it links to by new pairs, and the least set it hangs together with."""
     names, kinds = ["key", "links", "root"], [pa.binary(), pa.int64(), pa.binary()]
     out: list[tuple] = []
-    for (leaf, ci, cj), rows in _groups(batches, ["part", "key", "leaves", "copies", "shingles"]):
-        if len(rows) > 1:
-            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-            sizes = np.array([len(s) for s in sets], float)
+    for leaf, ci, cj, part, (keys, leaves, copies, shingled) in _tasks(batches, ["key", "leaves", "copies", "shingles"]):
+        ok = _new_pairs(leaf, ci, cj, part, leaves) if len(keys) > 1 else np.zeros((1, 1), bool)
+        if ok.any():
+            sets = [np.frombuffer(x, np.uint64) for x in shingled]
+            sizes = np.array([len(x) for x in sets], float)
             both = intersections(sets)
-            ok = _new_pairs(leaf, ci, cj, np.array([r[0] for r in rows]), [r[2] for r in rows])
             # both / (sizes - both) >= 0.8, in whole numbers
             ok &= 10 * both.astype(float) >= 8 * (sizes[:, None] + sizes[None, :] - both)
-            copies = np.array([r[3] for r in rows], np.int64)
-            links = ok @ copies + ok.T @ copies
-            root = _roots(ok, [r[1] for r in rows])
-            out += [(rows[i][1], int(links[i]), rows[root[i]][1]) for i in np.flatnonzero(links)]
+            times = np.array(copies, np.int64)
+            links = ok @ times + ok.T @ times
+            root = _roots(ok, keys)
+            out += [(keys[i], int(links[i]), keys[root[i]]) for i in np.flatnonzero(links)]
         if len(out) > 4096:
             yield _batch(out, names, kinds)
             out = []
@@ -266,11 +285,11 @@ def run_tokens(texts: DataFrame, first: int, last: int) -> DataFrame:
     return texts.mapInArrow(make, "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
 
 
-def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """leaf, size, key: every bucket of at least two classes. ``texts_of`` gives the texts (at least) of classes with their ``first_id``."""
+def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL, dense: float = DENSE) -> DataFrame:
+    """leaf, size, key: every bucket of at least two classes. ``texts_of`` gives the texts of classes with their ``first``."""
     found, group, deepest, done, need = None, classes, 1, 0, max(runs, runs_needed(1, recall))
     while done < need:
-        some, cut, deep = grow(group, texts_of, done, need, small, depth)
+        some, cut, deep = grow(group, texts_of, done, need, small, depth, dense)
         found = some if found is None else found.unionByName(some)
         deepest = max(deepest, deep)
         if not done and cut is not None:  # later runs split nothing else: their sets are these
@@ -279,12 +298,14 @@ def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs
     return found
 
 
-def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first: int, last: int, small: int, depth: int) -> tuple[DataFrame, DataFrame | None, int]:
+def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first: int, last: int, small: int, depth: int, dense: float) -> tuple[DataFrame, DataFrame | None, int]:
     """The buckets of the runs ``first`` to ``last`` (not included), the classes of nodes that were split (None: none was) and the tokens of the deepest path."""
     pick = F.array(*(F.lit(int(c)) for c in np.random.default_rng(5).permutation(COORDINATES)))
     run = F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
+    at = lambda n: F.element_at("sig", F.element_at(pick, F.pmod(n, F.lit(COORDINATES)) + 1) + 1)
     live = classes.select("key", "sig", run.alias("run"))
-    live = live.select(node_of(F.col("run"), F.element_at("sig", F.element_at(pick, F.col("run") + 1) + 1)).alias("node"), "key")
+    # the probe: a token that shows how the node would split
+    live = live.select(node_of(F.col("run"), at(F.col("run"))).alias("node"), "key", at(F.col("run") + COORDINATES // 2).cast("long").alias("probe"))
     live = live.withColumn("deep", F.lit(1))
     found, cut, tokens, deepest = None, None, None, 1
     for level in range(1, depth + 1):
@@ -292,7 +313,13 @@ def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first:
         live = materialize(live.join(sizes, "node"), f"path-{level}")
         end = (F.col("size") <= small) | (F.col("deep") >= depth)
         found = live.where(end) if found is None else found.unionByName(live.where(end))
-        big = live.where(~end).withColumn("two", (F.col("size") > 2 * small) & (F.col("deep") + 1 < depth))
+        large = live.where(~end)
+        alike = large.groupBy("node", "probe", "size").agg(F.count("*").alias("c")).groupBy("node", "size").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        tight = alike.where(F.col("pairs") >= F.lit(dense) * F.col("size") * F.col("size")).select("node")
+        tight = materialize(tight, "path-dense")
+        found = found.unionByName(large.join(tight, "node", "left_semi").select(*live.columns))
+        big = large.join(tight, "node", "left_anti").withColumn("two", (F.col("size") > 2 * small) & (F.col("deep") + 1 < depth))
+        big = materialize(big, "path-split")
         deep = big.agg(F.max(F.col("deep") + F.when(F.col("two"), 2).otherwise(1))).first()[0]
         if deep is None:
             break
@@ -300,7 +327,7 @@ def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first:
         if cut is None:
             cut = big.select("key").distinct()
             # a table of known size, so that few of them don't make all texts move
-            some = materialize(classes.join(cut, "key", "left_semi").select("first_id").distinct(), "path-cut")
+            some = materialize(classes.join(cut, "key", "left_semi").select("first").distinct(), "path-cut")
             tokens = materialize(run_tokens(texts_of(some), first, last), "path-tokens")
         live = split(big.withColumn("run", F.shiftrightunsigned("node", 56).cast("int")).join(tokens, ["key", "run"]))
     return found.select(F.col("node").alias("leaf"), "size", "key"), cut, deepest
@@ -311,58 +338,80 @@ def split(big: DataFrame) -> DataFrame:
     at = lambda node, j: F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POOL)) + j * (1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POOL - 1)))
     samples = lambda node: F.when(F.pmod(F.xxhash64(node, F.lit(0)), F.lit(4)) == 0, 2).otherwise(1)
 
-    def child(node, j, level):
+    def token(node, j, level):
         c = F.pmod(at(node, j), F.lit(POOL)).cast("int")
-        return node_of(F.col("run"), node, c, F.substr("tokens", 2 * (level * POOL + c) + 1, F.lit(2)))
+        return c, F.substr("tokens", 2 * (level * POOL + c) + 1, F.lit(2))
+
+    def child(node, j, level):
+        return node_of(F.col("run"), node, *token(node, j, level))
 
     one = big.withColumn("j", F.explode(F.sequence(F.lit(0), samples(F.col("node")) - 1)))
     one = one.withColumn("node", child(F.col("node"), F.col("j"), F.col("deep") - 1))
     both = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("two"), samples(F.col("node"))).otherwise(1) - 1)))
     node = F.when(F.col("two"), child(F.col("node"), F.col("j"), F.col("deep"))).otherwise(F.col("node"))
-    return both.select(node.alias("node"), "key", (F.col("deep") + F.when(F.col("two"), 2).otherwise(1)).alias("deep"))
+    deep = F.col("deep") + F.when(F.col("two"), 2).otherwise(1)
+    both = both.select(node.alias("node"), "key", "tokens", deep.alias("deep"))
+    probe = F.xxhash64(token(F.col("node"), F.lit(0), F.least(F.col("deep") - 1, F.lit(DEPTH - 2)))[1])
+    return both.select("node", "key", probe.alias("probe"), "deep")
+
+
+def _packed(rows: DataFrame, members: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """leaf, ci, cj, part, sets: the tasks of buckets whose sets (columns ``members``) were dealt to ``g`` parts; a part is one row, and only parts are copied to meet. Buckets of one part, and the others in order."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
+    blocks = rows.groupBy("leaf", "g", "part").agg(F.collect_list(F.struct(*members)).alias("sets"))
+    blocks = materialize(blocks, label)
+    alone = blocks.where("g = 1").select("leaf", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "part", "sets")
+    meet = blocks.where("g > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g").cast("int") - 1)))
+    meet = meet.select("leaf", F.least("part", "other").alias("ci"), F.greatest("part", "other").alias("cj"), "part", "sets")
+    meet = meet.repartition(partitions(spark), "leaf", "ci", "cj").sortWithinPartitions("leaf", "ci", "cj")
+    return alone, meet
 
 
-def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, small: int = SMALL, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, th = hash of the text, key) and classes (key, first_id, copies, links, component).
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, small: int = SMALL, recall: float = RECALL, dense: float = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, th, rh = hashes of text and row, key) and classes (key, first, copies, links, component).
 
+    ``first`` is the least (no identifier?, doc_id, th, rh) of a class;
     ``links`` counts documents of other classes at ``SIMILAR`` or more;
     ``component`` is the least key of what hangs together.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    described = rows.mapInArrow(describe, "doc_id long, th long, key binary, sig array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), row_hash(docs).alias("rh"), F.col(text_col).alias("text"))
+    described = rows.mapInArrow(describe, "doc_id long, th long, rh long, key binary, n long, sig array<int>")
     described = materialize(described, "path-docs")
-    members = described.select("doc_id", "th", "key")
-    classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    members = described.select("doc_id", "th", "rh", "key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rh"))
+    classes = described.where("key IS NOT NULL").groupBy("key").agg(least.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "path-classes")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        ids = some.select(F.col("first_id").alias("w")).distinct()
-        return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi").select("text")
+        want = some.select(F.col("first.doc_id").alias("w"), F.col("first.th").alias("x")).distinct()
+        return rows.select("doc_id", "th", "text").join(want, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("x")), "left_semi").select("text")
 
-    found = materialize(buckets(classes, texts_of, runs, small, recall=recall), "path-buckets")
-    parts = F.ceil(F.col("size") / small).cast("int")
+    found = materialize(buckets(classes, texts_of, runs, small, recall=recall, dense=dense), "path-buckets")
     leaves = found.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     # 16 bits of each coordinate are enough to bound the similarity
     low = F.transform("sig", lambda x: F.substring(F.hex(x.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))), -4, 4))
-    about = classes.select("key", F.unhex(F.array_join(low, "")).alias("sig")).join(leaves, "key")
-    tasks = found.withColumn("g", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("g")).cast("int")).join(about, "key")
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tasks = tasks.select("leaf", F.least("part", "other").alias("ci"), F.greatest("part", "other").alias("cj"), "part", "key", "leaves", "sig")
-    n = partitions(spark)
-    ordered = lambda df: df.repartition(n, "leaf", "ci", "cj").sortWithinPartitions("leaf", "ci", "cj")
-    maybe = materialize(ordered(tasks).mapInArrow(likely, "leaf long, ci int, cj int, part int, key binary, leaves array<long>"), "path-likely")
+    about = materialize(classes.join(leaves, "key").select("key", "first", "copies", "n", "leaves", F.unhex(F.array_join(low, "")).alias("sig")), "path-about")
+    held = found.join(about.select("key", "leaves", "sig"), "key").withColumn("g", F.ceil(F.col("size") / small))
+    alone, meet = _packed(held, ["key", "leaves", "sig"], "path-blocks")
+    pairs = "leaf long, key binary"
+    maybe = alone.mapInArrow(likely, pairs).unionByName(meet.mapInArrow(likely, pairs).distinct())
+    maybe = materialize(maybe, "path-likely")
     # whole sets of those only, each made from one of its texts
-    wanted = maybe.select("key").distinct().join(classes.select("key", "first_id", "copies"), "key")
-    wanted = materialize(wanted, "path-wanted")
-    sets = texts_of(wanted).mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key", "copies"), "key")
-    checked = ordered(maybe.join(sets, "key")).mapInArrow(verify, "key binary, links long, root binary")
-    checked = materialize(checked, "path-links")
+    wanted = materialize(about.join(maybe.select("key").distinct(), "key", "left_semi").select("key", "first", "copies", "n", "leaves"), "path-wanted")
+    sets = texts_of(wanted).mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(wanted.join(sets, "key").select("key", "copies", "leaves", "n", "shingles"), "path-sets")
+    amount = maybe.join(sets.select("key", "n"), "key").groupBy("leaf").agg(F.ceil(F.greatest(F.count("*") / small, F.sum("n") * 8 / BLOCK_BYTES)).alias("g"))
+    held = maybe.join(sets, "key").join(materialize(amount, "path-amounts"), "leaf")
+    alone, meet = _packed(held, ["key", "leaves", "copies", "shingles"], "path-checks")
+    result = "key binary, links long, root binary"
+    checked = materialize(alone.mapInArrow(verify, result).unionByName(meet.mapInArrow(verify, result)), "path-links")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     hang = components(checked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     out = classes.drop("sig").join(links, "key", "left").join(hang.withColumnRenamed("node", "key"), "key", "left")
-    out = out.select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
+    out = out.select("key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
     return members, materialize(out, "path-result")
 
 
@@ -377,25 +426,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_links(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, class_id (the least identifier of all that hang together) and n_links (other documents at ``SIMILAR`` or more)."""
     members, classes = jaccard_links(docs, **options)
-    first = classes.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    first = classes.groupBy("component").agg(F.min("first.doc_id").alias("class_id"))
     per = classes.join(first, "component").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    alone = F.col("key").isNull()
-    return members.join(per, "key", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = members.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return members.where("key IS NOT NULL").join(per, "key").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one row left of each group: the least identifier's. Documents without words stay."""
+    """The documents with one row left of each group: the least by identifier, text and other columns. Documents without words stay."""
     members, classes = jaccard_links(docs, id_col=id_col, text_col=text_col, **options)
-    named = members.join(classes.select("key", "component"), "key", "left")
-    least = named.where("key IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
-    keep = least.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.th").alias("_keep_th"))
-    bare = named.where("key IS NULL").select(F.col("doc_id").alias("_keep_id"), F.col("th").alias("_keep_th")).distinct()
-    at = lambda k: F.col(id_col).cast("long").eqNullSafe(F.col(k[0])) & (F.xxhash64(text_col) == F.col(k[1]))
-    stay = docs.join(bare, at(("_keep_id", "_keep_th")), "left_semi")
-    first = docs.withColumns({"_keep_id": F.col(id_col).cast("long"), "_keep_th": F.xxhash64(text_col)})
-    first = first.join(keep.withColumnsRenamed({"_keep_id": "_i", "_keep_th": "_t"}), F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_th") == F.col("_t")), "left_semi")
-    first = first.dropDuplicates(["_keep_id", "_keep_th"]).select(*docs.columns)
-    return first.unionByName(stay)
+    own = ["doc_id", "th", "rh"]
+    least = classes.groupBy("component").agg(F.min("first").alias("m")).select(*(f"m.{c}" for c in own))
+    bare = members.where("key IS NULL").select(*own).distinct()
+    # of rows that are repeated whole one stays: few, or one with many copies
+    again = members.where("key IS NOT NULL").groupBy(*own).agg(F.count("*").alias("times")).where("times > 1")
+    again = materialize(least.alias("a").join(again.alias("b"), _same("a", "b"), "left_semi"), "path-repeats")
+    once = least.alias("a").join(again.alias("b"), _same("a", "b"), "left_anti").unionByName(bare)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), row_hash(docs).alias("rh"))
+    out = rows.alias("a").join(once.alias("b"), _same("a", "b"), "left_semi")
+    if not again.isEmpty():
+        out = out.unionByName(rows.alias("a").join(again.alias("b"), _same("a", "b"), "left_semi").dropDuplicates(own))
+    return out.select("row.*")
+
+
+def _same(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th")) & (F.col(f"{a}.rh") == F.col(f"{b}.rh"))
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Without it an error, but in local mode, where all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidewatch-work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -35,6 +38,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that tells null from absent; nested ones count as their JSON."""
+    own = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    flat = [c if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(c)) for c, f in zip(own, df.schema.fields, strict=True)]
+    return F.xxhash64(*flat, F.array(*(c.isNull() for c in own)))
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound what one Arrow batch holds by bytes, so that long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
