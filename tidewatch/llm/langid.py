@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import small_batches, table
 
@@ -110,23 +111,23 @@ def learn(docs: DataFrame, may_learn: Column, *, per_language: int = PER_LANGUAG
     ``per_language``) is broadcast to fetch their texts.
     """
     has = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & may_learn
-    rows = docs.where(has).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("r") <= per_language).select("i", "l").distinct()
+    own = docs.where(has).select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    rows = own.select("i", "th", "l", F.xxhash64("i").alias("h")).distinct()
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "th"))).where(F.col("r") <= per_language).select("i", "th", "l")
     chosen = first.limit(per_language * MOST_LANGUAGES + 1).collect()
     if len(chosen) > per_language * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not chosen:
         return None
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.i,) for r in chosen], "i long").distinct()
-    own = docs.where(has).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    got = own.join(F.broadcast(ids), "i")
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "i long, th long, l string")
+    # one row of each, however often it is repeated
+    got = own.join(F.broadcast(ids), ["i", "th", "l"]).groupBy("i", "th", "l").agg(F.min("t").alias("t"), F.first(F.xxhash64("i")).alias("h"))
     sample = sorted({(r.h, r.i, r.l, r.t) for r in got.collect()})
     return fit([t for *_, t in sample], [x for *_, x, _ in sample])
 
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep: list[str]) -> DataFrame:
-    """The kept columns with lang_pred and score."""
+    """``row``, a struct of the columns ``keep``, with lang_pred and score."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # DIM x landmarks numbers, whatever the corpus
@@ -134,19 +135,17 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", kee
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             asks = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
             names, values = np.full(len(texts), "und", object), np.zeros(len(texts))
             if asks:
                 found, s = m.predict([texts[i] for i in asks])
                 names[asks], values[asks] = found, s
-            arrays = batch.columns[:-1] + [pa.array(names, pa.string()), pa.array(values)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(values)], names=["row", "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    kept = rows.columns[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    out = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(score, out)
 
 
 def remainder(column: str, n: int) -> Column:
@@ -157,4 +156,4 @@ def remainder(column: str, n: int) -> Column:
 def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
     model = learn(docs, F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
-    return predict(docs, model, keep=["doc_id", "held_out"])
+    return predict(docs, model, keep=["doc_id", "held_out"]).select("row.*", "lang_pred", "score")
