@@ -1,7 +1,7 @@
 """Benchmark decontamination: latent semantic retrieval, then word-by-word checks.
 
-1. Word frequencies are counted over all documents (hashed to ``COUNTS``
-   cells) and give inverse-frequency weights.
+1. Document frequencies of words are counted over all documents (hashed to
+   ``COUNTS`` cells) and give inverse-document-frequency weights.
 2. Benchmark items, cut into passages of at most ``PASSAGE`` words, are TF-IDF
    vectors (hashed to ``TERMS`` dimensions). A distributed randomised SVD
    (Gaussian range finder, power steps, each a Spark job that adds up partial
@@ -22,6 +22,9 @@ What is broadcast: COUNTS weights, RANK numbers for each term of each space,
 and blocks of ``ITEMS`` benchmark items, one pass over the documents for each
 block.
 
+Items of equal texts are searched for once, so a block's size doesn't depend on
+repeats, and named at the end.
+
 Defined results: null or empty texts, on either side, match nothing; items
 that repeat are items of their own; rows that repeat a document give its rows
 again; a null doc_id or item_id is carried through; empty tables give no rows.
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_plain, mix64, partitions, plain_hashes, small_batches, split_codes, table
+from .common import hash_plain, materialize, mix64, partitions, plain_hashes, small_batches, split_codes, table
 
 COUNTS, TERMS, RANK, EXTRA, POWER = 1 << 18, 1 << 16, 128, 16, 2
 STEP, PASSAGE, ITEMS = 16, 64, 4096
@@ -46,23 +49,26 @@ COSINE, WHOLE, PARTLY, ANSWER_SHARE, ANSWERED = 0.25, 0.75, 0.5, 0.25, 0.5
 
 
 def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Inverse frequencies of all words of all documents, log((N + 1) / (n + 1)) + 0.1 for each cell."""
+    """Inverse document frequencies of all words, log((N + 1) / (n + 1)) + 0.1 for each cell: N texts, n of them with a word of the cell."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS, np.int64)
+        total = np.zeros(COUNTS + 1, np.int64)  # the last: texts
         for batch in batches:
-            codes, _, words = split_codes(batch.column(0))
+            codes, bounds, words = split_codes(batch.column(0))
+            total[COUNTS] += len(bounds) - 1
             h, real = hash_plain(words)
-            times = np.bincount(codes, minlength=len(words))
-            total += np.bincount((h[real] & np.uint64(COUNTS - 1)).astype(np.int64), times[real], COUNTS).astype(np.int64)
+            cell = np.where(real, _cell(h, COUNTS), COUNTS)[codes]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                own = np.unique(cell[a:b])  # a word counts once a text
+                total[own[own < COUNTS]] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(COUNTS)
+    n = np.zeros(COUNTS + 1)
     n[rows.cell.to_numpy()] = rows.n.to_numpy()
-    return (np.log((n.sum() + 1) / (n + 1)) + 0.1).astype(np.float32)
+    return (np.log((n[COUNTS] + 1) / (n[:COUNTS] + 1)) + 0.1).astype(np.float32)
 
 
 def _cell(h: np.ndarray, size: int) -> np.ndarray:
@@ -307,28 +313,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     """doc_id, th (hash of the text), item_id, first_word, cosine, words_in_order, answer_words: a row for each document and item that leaked into it."""
     spark = docs.sparkSession
     weights = word_weights(docs, text_col)
-    named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    total = named.count()
-    n_blocks = -(-total // ITEMS)
-    named = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
+    named = items.select(F.col(item_id).cast("long").alias("item_id"), F.xxhash64(item_text).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    texts = materialize(named.select("item", "text").dropDuplicates(["item"]), "leak-items")
+    n_blocks = -(-texts.count() // ITEMS)
+    texts = texts.withColumn("block", F.pmod("item", F.lit(max(1, n_blocks))))
     out = None
     for b in range(n_blocks):
-        some = sorted((r.item_id is None, r.item_id or 0, r.text) for r in named.where(F.col("block") == b).collect())
-        rows = [(k, None if none else i, plain_hashes(pa.array([t]))[0]) for k, (none, i, t) in enumerate(some)]
+        some = sorted((r.item, r.text) for r in texts.where(F.col("block") == b).collect())
+        rows = [(k, item, plain_hashes(pa.array([t]))[0]) for k, (item, t) in enumerate(some)]
         rows = [r for r in rows if len(r[2])]
         if not rows:
             continue
-        numbered = spark.createDataFrame([(k, some[k][2]) for k, *_ in rows], "nr long, text string").repartition(max(1, min(partitions(spark), len(rows) // 512)))
+        numbered = spark.createDataFrame([(k, some[k][1]) for k, *_ in rows], "nr long, text string").repartition(max(1, min(partitions(spark), len(rows) // 512)))
         cut = in_spaces([(r.nr, bytes(r.words)) for r in passages(numbered).collect()])
         spread = max(1, min(partitions(spark), len(cut) // 512))
         v = singular_vectors(spark.createDataFrame([(k, words) for k, _, words in cut], "space long, words binary").repartition(spread), weights)
         index = spark.sparkContext.broadcast(build_index(rows, cut, v, weights))
         found = _scan(docs, index, id_col, text_col)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], LEAKS) if out is None else out
+    out = spark.createDataFrame([], LEAKS) if out is None else out
+    names = [c.split()[0].replace("item", "item_id") for c in LEAKS.split(", ")]
+    return out.join(named.select("item", "item_id"), "item").select(*names)
 
 
-LEAKS = "doc_id long, th long, item_id long, first_word int, cosine double, words_in_order double, answer_words double"
+LEAKS = "doc_id long, th long, item long, first_word int, cosine double, words_in_order double, answer_words double"
 
 
 def _scan(docs: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
@@ -350,8 +358,9 @@ def _scan(docs: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, into which no item leaked."""
-    bad = find_leaks(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_leak_id"), F.col("th").alias("_leak_th")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(text_col) == F.col("_leak_th")), "left_anti")
+    bad = find_leaks(docs, items, id_col=id_col, text_col=text_col, **options).select("doc_id", "th").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"))
+    return rows.alias("a").join(bad.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left_anti").select("row.*")
 
 
 def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
