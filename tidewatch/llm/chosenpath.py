@@ -46,7 +46,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,8 @@ RECALL = 0.9999
 DENSE = 0.4
 #: Shingles that one block of a bucket holds at most (a single larger set is a block).
 BLOCK_BYTES = 4 << 20
+#: Texts are looked up by so many cells (8 MB of bits); beyond some 50 million at once ever more texts are read in vain, none is lost.
+CELLS = 1 << 26
 #: Hashes that the nodes of one depth of one run choose from; so many that nodes of a pair seldom choose the same.
 POOL = 8
 #: Signatures that agree in fewer coordinates are not compared in full: at similarity 0.8 that has probability 1e-6.
@@ -271,12 +273,13 @@ def node_of(run, *what):
     return (F.shiftleft(run.cast("long"), 56)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(run, *what), 8))
 
 
-def run_tokens(texts: DataFrame, first: int, last: int) -> DataFrame:
+def run_tokens(texts: DataFrame, ask: np.ndarray, first: int, last: int) -> DataFrame:
     """key, run, tokens: 16 bits of each hash that the nodes of a run choose from, for the runs ``first`` to ``last`` (not included)."""
     mul, add = _A_RUNS[first:last].reshape(-1), _B_RUNS[first:last].reshape(-1)
+    shared = texts.sparkSession.sparkContext.broadcast(ask)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _asked(batches, shared.value):
             h, bounds = plain_hashes(batch.column("text"))
             sig = signatures(*shingles(h, bounds), mul, add).astype(np.uint16).reshape(len(bounds) - 1, last - first, -1)
             rows = [(key, first + r, sig[i, r].tobytes()) for i, key in enumerate(_class_keys(h, bounds)) if key for r in range(last - first)]
@@ -285,11 +288,32 @@ def run_tokens(texts: DataFrame, first: int, last: int) -> DataFrame:
     return texts.mapInArrow(make, "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
 
 
-def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL, dense: float = DENSE) -> DataFrame:
-    """leaf, size, key: every bucket of at least two classes. ``texts_of`` gives the texts of classes with their ``first``."""
+def _asked(batches: Iterator[pa.RecordBatch], ask: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose cell has its bit set: those asked for and, as cells are shared, a few more."""
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        yield batch.filter(pa.array((ask[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+
+def bits_of(some: DataFrame) -> np.ndarray:
+    """Bits of the cells of the texts that stand for classes (``first``): ``CELLS / 8`` bytes, however many there are."""
+    cell = cell_of(F.col("first.doc_id"), F.col("first.th"))
+    word = some.select(cell.alias("cell")).selectExpr("shiftright(cell, 6) AS word", "shiftleft(1L, CAST(cell & 63 AS INT)) AS bit")
+    rows = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(CELLS >> 6, np.uint64)
+    out[rows.word.to_numpy()] = rows.bits.to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def cell_of(doc_id, th):
+    return F.pmod(F.xxhash64(doc_id, th), F.lit(CELLS))
+
+
+def buckets(classes: DataFrame, texts: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL, dense: float = DENSE) -> DataFrame:
+    """leaf, size, key: every bucket of at least two classes. ``texts``: cell, text of all documents."""
     found, group, deepest, done, need = None, classes, 1, 0, max(runs, runs_needed(1, recall))
     while done < need:
-        some, cut, deep = grow(group, texts_of, done, need, small, depth, dense)
+        some, cut, deep = grow(group, texts, done, need, small, depth, dense)
         found = some if found is None else found.unionByName(some)
         deepest = max(deepest, deep)
         if not done and cut is not None:  # later runs split nothing else: their sets are these
@@ -298,7 +322,7 @@ def buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], runs
     return found
 
 
-def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first: int, last: int, small: int, depth: int, dense: float) -> tuple[DataFrame, DataFrame | None, int]:
+def grow(classes: DataFrame, texts: DataFrame, first: int, last: int, small: int, depth: int, dense: float) -> tuple[DataFrame, DataFrame | None, int]:
     """The buckets of the runs ``first`` to ``last`` (not included), the classes of nodes that were split (None: none was) and the tokens of the deepest path."""
     pick = F.array(*(F.lit(int(c)) for c in np.random.default_rng(5).permutation(COORDINATES)))
     run = F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
@@ -326,9 +350,8 @@ def grow(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], first:
         deepest = max(deepest, deep)
         if cut is None:
             cut = big.select("key").distinct()
-            # a table of known size, so that few of them don't make all texts move
-            some = materialize(classes.join(cut, "key", "left_semi").select("first").distinct(), "path-cut")
-            tokens = materialize(run_tokens(texts_of(some), first, last), "path-tokens")
+            some = classes.join(cut, "key", "left_semi").select("first")
+            tokens = materialize(run_tokens(texts, bits_of(some), first, last), "path-tokens")
         live = split(big.withColumn("run", F.shiftrightunsigned("node", 56).cast("int")).join(tokens, ["key", "run"]))
     return found.select(F.col("node").alias("leaf"), "size", "key"), cut, deepest
 
@@ -385,11 +408,9 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     classes = described.where("key IS NOT NULL").groupBy("key").agg(least.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "path-classes")
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        want = some.select(F.col("first.doc_id").alias("w"), F.col("first.th").alias("x")).distinct()
-        return rows.select("doc_id", "th", "text").join(want, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("x")), "left_semi").select("text")
-
-    found = materialize(buckets(classes, texts_of, runs, small, recall=recall, dense=dense), "path-buckets")
+    # texts are looked up where they lie, by bits of bounded size, and never move
+    texts = rows.select(cell_of(F.col("doc_id"), F.col("th")).alias("cell"), "text")
+    found = materialize(buckets(classes, texts, runs, small, recall=recall, dense=dense), "path-buckets")
     leaves = found.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     # 16 bits of each coordinate are enough to bound the similarity
     low = F.transform("sig", lambda x: F.substring(F.hex(x.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))), -4, 4))
@@ -401,7 +422,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     maybe = materialize(maybe, "path-likely")
     # whole sets of those only, each made from one of its texts
     wanted = materialize(about.join(maybe.select("key").distinct(), "key", "left_semi").select("key", "first", "copies", "n", "leaves"), "path-wanted")
-    sets = texts_of(wanted).mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = whole_sets(texts, bits_of(wanted)).groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialize(wanted.join(sets, "key").select("key", "copies", "leaves", "n", "shingles"), "path-sets")
     amount = maybe.join(sets.select("key", "n"), "key").groupBy("leaf").agg(F.ceil(F.greatest(F.count("*") / small, F.sum("n") * 8 / BLOCK_BYTES)).alias("g"))
     held = maybe.join(sets, "key").join(materialize(amount, "path-amounts"), "leaf")
@@ -415,12 +436,18 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return members, materialize(out, "path-result")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, bounds = plain_hashes(batch.column("text"))
-        s, at = shingles(h, bounds)
-        sets = [np.unique(s[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(_class_keys(h, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+def whole_sets(texts: DataFrame, ask: np.ndarray) -> DataFrame:
+    """key, shingles (of one text each, at least of those asked for)."""
+    shared = texts.sparkSession.sparkContext.broadcast(ask)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _asked(batches, shared.value):
+            h, bounds = plain_hashes(batch.column("text"))
+            s, at = shingles(h, bounds)
+            sets = [np.unique(s[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(_class_keys(h, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    return texts.mapInArrow(make, "key binary, shingles binary")
 
 
 def document_links(docs: DataFrame, **options) -> DataFrame:
