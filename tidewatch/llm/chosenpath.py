@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, materialize, partitions, plain_hashes, ranges, row_hash, small_batches, table
+from .common import MARKS, materialize, partitions, plain_hashes, ranges, row_hash, small_batches, table, tidy
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -285,7 +285,7 @@ def run_tokens(texts: DataFrame, ask: np.ndarray, first: int, last: int) -> Data
             rows = [(key, first + r, sig[i, r].tobytes()) for i, key in enumerate(_class_keys(h, bounds)) if key for r in range(last - first)]
             yield _batch(rows, ["key", "run", "tokens"], [pa.binary(), pa.int32(), pa.binary()])
 
-    return texts.mapInArrow(make, "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
+    return texts.mapInArrow(tidy(make), "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch], ask: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -401,7 +401,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), row_hash(docs).alias("rh"), F.col(text_col).alias("text"))
-    described = rows.mapInArrow(describe, "doc_id long, th long, rh long, key binary, n long, sig array<int>")
+    described = rows.mapInArrow(tidy(describe), "doc_id long, th long, rh long, key binary, n long, sig array<int>")
     described = materialize(described, "path-docs")
     members = described.select("doc_id", "th", "rh", "key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rh"))
@@ -418,7 +418,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     held = found.join(about.select("key", "leaves", "sig"), "key").withColumn("g", F.ceil(F.col("size") / small))
     alone, meet = _packed(held, ["key", "leaves", "sig"], "path-blocks")
     pairs = "leaf long, key binary"
-    maybe = alone.mapInArrow(likely, pairs).unionByName(meet.mapInArrow(likely, pairs).distinct())
+    maybe = alone.mapInArrow(tidy(likely), pairs).unionByName(meet.mapInArrow(tidy(likely), pairs).distinct())
     maybe = materialize(maybe, "path-likely")
     # whole sets of those only, each made from one of its texts
     wanted = materialize(about.join(maybe.select("key").distinct(), "key", "left_semi").select("key", "first", "copies", "n", "leaves"), "path-wanted")
@@ -428,7 +428,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     held = maybe.join(sets, "key").join(materialize(amount, "path-amounts"), "leaf")
     alone, meet = _packed(held, ["key", "leaves", "copies", "shingles"], "path-checks")
     result = "key binary, links long, root binary"
-    checked = materialize(alone.mapInArrow(verify, result).unionByName(meet.mapInArrow(verify, result)), "path-links")
+    checked = materialize(alone.mapInArrow(tidy(verify), result).unionByName(meet.mapInArrow(tidy(verify), result)), "path-links")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     hang = components(checked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     out = classes.drop("sig").join(links, "key", "left").join(hang.withColumnRenamed("node", "key"), "key", "left")
@@ -447,7 +447,7 @@ def whole_sets(texts: DataFrame, ask: np.ndarray) -> DataFrame:
             sets = [np.unique(s[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(_class_keys(h, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return texts.mapInArrow(make, "key binary, shingles binary")
+    return texts.mapInArrow(tidy(make), "key binary, shingles binary")
 
 
 def document_links(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -45,11 +46,24 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*flat, F.array(*(c.isNull() for c in own)))
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound what one Arrow batch holds by bytes, so that long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidy(fn):
+    """A function for ``mapInArrow`` that hands freed memory back to the system when its task ends, since workers stay for the next one."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

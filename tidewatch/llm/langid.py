@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 ORDERS, DIM = (1, 2, 3), 1 << 13
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 32, 0.05
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", kee
 
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     out = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(score, out)
+    return rows.mapInArrow(tidy(score), out)
 
 
 def remainder(column: str, n: int) -> Column:

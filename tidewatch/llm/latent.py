@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_plain, materialize, mix64, partitions, plain_hashes, small_batches, split_codes, table
+from .common import hash_plain, materialize, mix64, partitions, plain_hashes, small_batches, split_codes, table, tidy
 
 COUNTS, TERMS, RANK, EXTRA, POWER = 1 << 18, 1 << 16, 128, 16, 2
 STEP, PASSAGE, ITEMS = 16, 64, 4096
@@ -65,7 +65,7 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(COUNTS + 1)
     n[rows.cell.to_numpy()] = rows.n.to_numpy()
     return (np.log((n[COUNTS] + 1) / (n[:COUNTS] + 1)) + 0.1).astype(np.float32)
@@ -351,9 +351,9 @@ def _scan(docs: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
             rows = [(ids[t], ths[t], ix.names[i], *rest) for t, i, *rest in search(ix, h, bounds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
 
-    small_batches(docs.sparkSession, "8m")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, LEAKS)
+    return rows.mapInArrow(tidy(scan), LEAKS)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -41,7 +41,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_dir, materialize, partitions, ranges, small_batches, split_words
+from .common import Memo, fresh_dir, materialize, partitions, ranges, small_batches, split_words, tidy
 
 MAGIC = b"TWSST001"
 #: bloom offset, bloom bytes, index offset, index bytes, documents, tokens, id bytes, magic
@@ -289,7 +289,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, *, out_dir:
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text")
-    return materialize(ordered.withColumn("part", F.spark_partition_id()).drop("h").mapInArrow(write, MANIFEST), "sst-manifest")
+    return materialize(ordered.withColumn("part", F.spark_partition_id()).drop("h").mapInArrow(tidy(write), MANIFEST), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
