@@ -45,14 +45,23 @@ def evidence(follow: DataFrame, t: Thresholds = T) -> DataFrame:
         F.count_distinct(F.when(valid & (signal == "done"), F.struct("part", "pub"))).alias("n_distinct_done"),
         F.count_if(valid & (signal == "progress")).alias("n_progress"),
         F.count_if(valid & (signal == "problem")).alias("n_problem"),
+        *(F.sum(F.when(valid & (signal == x), F.col("conf"))).alias(f"conf_{x}") for x in ("done", "progress", "problem")),
+        F.sum(F.when(valid & (signal == "done") & (F.col("conf") >= t.completion), F.col("conf"))).alias("conf_strong"),
     )
 
 
 def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of: str, t: Thresholds = T) -> DataFrame:
-    """case_id, code: R1 new problem, R2 done, R3 in progress, R4-* no follow-up, R5 undetermined; every case has one."""
+    """case_id, code: R1 new problem, R2 done, R3 in progress, R4-* no follow-up, R5 undetermined; every case has one.
+
+    ``n_counted`` signals carry the decision; a new problem also shows the
+    ``n_prior`` done signals before it, if they would have been enough;
+    ``confidence`` is the counted ones' mean in thousandths (500 without any);
+    ``why`` says what an undetermined case lacks.
+    """
     day = F.lit(as_of).cast("date")
     seen = evidence(follow_ups(links, cases, as_of), t)
-    due = promises.where("trackable AND active").groupBy("case_id").agg(F.min("deadline").alias("first_deadline"), F.max("firm").alias("firm"))
+    held = F.col("trackable") & F.col("active")
+    due = promises.groupBy("case_id").agg(F.min(F.when(held, F.col("deadline"))).alias("first_deadline"), F.max(F.when(held, F.col("firm"))).alias("firm"), F.count_if(held).alias("n_trackable"), F.min("deadline").alias("first_promise"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     done = (n("n_strong") > 0) | (n("n_distinct_done") >= 2)
     passed = F.coalesce(F.col("first_deadline") < day, F.lit(False))
@@ -66,7 +75,42 @@ def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of:
         .otherwise("R5")
     )
     joined = cases.select("case_id", "occurred").join(seen, "case_id", "left").join(due, "case_id", "left")
-    return joined.withColumn("code", code).withColumn("overdue", passed)
+    joined = joined.withColumn("code", code).withColumn("overdue", passed)
+    of_done = lambda strong, all_: F.when(n("n_strong") > 0, n(strong)).otherwise(n(all_))
+    counted = F.when(F.col("code") == "R1", n("n_problem")).when(F.col("code") == "R2", of_done("n_strong", "n_done")).when(F.col("code") == "R3", n("n_progress")).otherwise(0)
+    total = F.when(F.col("code") == "R1", n("conf_problem")).when(F.col("code") == "R2", of_done("conf_strong", "conf_done")).when(F.col("code") == "R3", n("conf_progress"))
+    why = F.when(n("n_trackable") == 0, "no trackable promise").when(n("n_done") > 0, "weak done").when(n("n_problem") > 0, "weak problem").otherwise("no valid signal")
+    return joined.withColumns({
+        "n_counted": counted,
+        "n_prior": F.when((F.col("code") == "R1") & done, of_done("n_strong", "n_done")).otherwise(0),
+        "confidence": F.when(counted > 0, F.floor(10 * total / counted + 0.5)).otherwise(500).cast("int"),
+        "why": F.when(F.col("code") == "R5", why),
+        "cutoff": F.greatest(F.date_add("occurred", t.grace_days), "first_promise"),
+    })
+
+
+def trend(hits: DataFrame, starts: DataFrame, as_of: str) -> DataFrame:
+    """key, peak, peak_month, recent_mean, drop_ratio of monthly hits (key, day) from each key's ``start`` to ``as_of``; months without hits count as 0.
+
+    The recent mean is that of the last three months before the current one (of
+    fewer, if there are not so many; of the current one, if there is none), and
+    the current month's hits where they are more; the drop ratio is what is
+    missing to the peak, never under 0. No month is written out: a month
+    without hits adds nothing to a sum and is the peak only of an empty series.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c) - 1
+    now = month(F.lit(as_of).cast("date"))
+    per = hits.groupBy("key", month(F.col("day")).alias("m")).agg(F.count("*").alias("c"))
+    s = starts.select("key", month(F.col("start")).alias("first"))
+    seen = per.join(s, "key").where(F.col("m").between(F.col("first"), now))
+    seen = seen.groupBy("key").agg(F.max("c").alias("peak"), F.min_by("m", F.struct(-F.col("c"), "m")).alias("at"), F.sum(F.when(F.col("m").between(now - 3, now - 1), F.col("c"))).alias("recent"), F.sum(F.when(F.col("m") == now, F.col("c"))).alias("current"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    done = F.greatest(now - F.col("first"), F.lit(0))
+    mean = F.when(done > 0, F.round(n("recent") / F.least(F.lit(3), done), 2)).otherwise(n("current"))
+    out = s.join(seen, "key", "left").withColumn("recent_mean", F.greatest(mean, n("current")).cast("double"))
+    at = F.when(F.col("first") <= now, F.coalesce("at", "first"))
+    drop = F.when(n("peak") > 0, F.greatest(F.lit(0.0), F.round(1 - F.col("recent_mean") / F.col("peak"), 3))).otherwise(0.0)
+    return out.select("key", n("peak").alias("peak"), F.make_date(F.floor(at / 12).cast("int"), (at % 12 + 1).cast("int"), F.lit(1)).alias("peak_month"), "recent_mean", drop.alias("drop_ratio"))
 
 
 #: The status that each rule stands for.
@@ -78,11 +122,11 @@ def status(code: Column) -> Column:
 
 
 def priority(as_of: str) -> Column:
-    """Tenths of points: overdue and not done 40; 25, 15 or 10 by status; a point for each 10 days, 20 at most; a firm promise 10."""
-    since = F.datediff(F.lit(as_of).cast("date"), F.coalesce("last_follow", "occurred"))
-    days = F.greatest(F.lit(0), since)
+    """Tenths of points: overdue and not done 40; 25, 15 or 10 by status; a point for each 10 days since the last follow-up (the cutoff, if there is none), 20 at most; hits down by 0.8 or more 10; a firm promise 10."""
+    days = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.coalesce("last_follow", "cutoff")))
     by = F.when(F.col("code").startswith("R4"), 250).when(F.col("code") == "R5", 150).when(F.col("code") == "R1", 100).otherwise(0)
-    return F.when(F.col("overdue") & (F.col("code") != "R2"), 400).otherwise(0) + by + F.least(F.lit(200), days) + F.when(F.coalesce("firm", F.lit(False)), 100).otherwise(0)
+    ten = lambda c: F.when(F.coalesce(c, F.lit(False)), 100).otherwise(0)
+    return F.when(F.col("overdue") & (F.col("code") != "R2"), 400).otherwise(0) + by + F.least(F.lit(200), days) + ten(F.col("drop_ratio") >= 0.8) + ten(F.col("firm"))
 
 
 def phase(since: Column, valid: Column, signal: Column) -> Column:

@@ -55,10 +55,11 @@ def rerank(p: Column, late_specific: Column, recurrence: Column) -> Column:
     return F.when(p >= 50, "link").when(late_specific, F.when((p >= 10) | recurrence, "link").otherwise("review")).when(p >= 20, "review").otherwise("drop")
 
 
-def exclusive(links: DataFrame, key: str, score: Column, ties: list[str]) -> DataFrame:
-    """``winner``: of all links of one article, the best stays and the others go to review."""
-    w = Window.partitionBy(key).orderBy(score.desc(), *ties)
-    return links.withColumn("winner", F.row_number().over(w) == 1)
+def exclusive(links: DataFrame, key: str, score: Column, ties: list[str], exempt: Column | None = None) -> DataFrame:
+    """``winner``: of all links of one article, the best stays and the others go to review. ``exempt`` ones (confirmed or made by hand) stay and don't compete."""
+    out = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
+    w = Window.partitionBy(key, out).orderBy(score.desc(), *ties)
+    return links.withColumn("winner", out | (F.row_number().over(w) == 1))
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], days: int) -> DataFrame:

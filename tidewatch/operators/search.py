@@ -1,93 +1,46 @@
-"""Boolean search over text columns: a query string becomes a Column that Catalyst can push and fold.
+"""Boolean search over text columns: conditions are built of terms with ``&``, ``|`` and ``~`` and become Columns that Catalyst can push and fold.
 
-Grammar: words and "quoted phrases", AND (or nothing) between terms, OR, NOT,
-parentheses; NOT binds closest, OR loosest. A term matches as a substring in
-any case; an empty query matches everything. Scores count occurrences of the
-terms that aren't negated, without overlaps.
+A term matches as a substring in any case; ``EVERYTHING`` matches every text.
+Scores count occurrences of the terms that aren't negated, without overlaps.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_token = re.compile(r'\(|\)|["“”]([^"“”]*)["“”]|([^\s()"“”]+)')
-
-
-class QueryError(ValueError):
-    """A query that the grammar has no reading for."""
-
-
-@dataclass
-class Parsed:
-    """A condition on a lower-case text, and the terms that count for the score."""
-
-    test: object  # Column -> Column
-    terms: list[str] = field(default_factory=list)
-
-
-def parse(query: str) -> Parsed:
-    tokens: list[tuple[str, str]] = []
-    for m in _token.finditer(query or ""):
-        if m[0] in "()":
-            tokens.append((m[0], m[0]))
-        elif m[1] is not None:
-            tokens.append(("term", m[1]))
-        else:
-            tokens.append((m[2], m[2]) if m[2] in ("AND", "OR", "NOT") else ("term", m[2]))
-    if not tokens:
-        return Parsed(lambda t: F.lit(True))
-    rest = tokens[::-1]
-    peek = lambda: rest[-1][0] if rest else None
-
-    def unit() -> Parsed:
-        if not rest:
-            raise QueryError("the query ends where a term is due")
-        kind, text = rest.pop()
-        if kind == "NOT":
-            inner = unit()
-            return Parsed(lambda t: ~inner.test(t))
-        if kind == "(":
-            inner = either()
-            if peek() != ")":
-                raise QueryError("a parenthesis is not closed")
-            rest.pop()
-            return inner
-        if kind != "term":
-            raise QueryError(f"{text} where a term is due")
-        low = text.lower()
-        return Parsed(lambda t: t.contains(F.lit(low)), [low] if low else [])
-
-    def both() -> Parsed:
-        out = unit()
-        while peek() in ("AND", "term", "(", "NOT"):
-            if peek() == "AND":
-                rest.pop()
-            out = _join(out, unit(), lambda a, b: a & b)
-        return out
-
-    def either() -> Parsed:
-        out = both()
-        while peek() == "OR":
-            rest.pop()
-            out = _join(out, both(), lambda a, b: a | b)
-        return out
-
-    out = either()
-    if rest:
-        raise QueryError(f"{rest[-1][1]} is left over")
-    return out
-
-
-def _join(a: Parsed, b: Parsed, op) -> Parsed:
-    return Parsed(lambda t: op(a.test(t), b.test(t)), a.terms + b.terms)
-
-
-def matches(query: str, text: Column) -> Column:
-    return parse(query).test(F.lower(text))
+
+@dataclass(frozen=True)
+class Condition:
+    """A test of a lower-case text, and the terms that count for the score."""
+
+    test: Callable[[Column], Column]
+    terms: tuple[str, ...] = ()
+
+    def __and__(self, other: Condition) -> Condition:
+        return Condition(lambda t: self.test(t) & other.test(t), self.terms + other.terms)
+
+    def __or__(self, other: Condition) -> Condition:
+        return Condition(lambda t: self.test(t) | other.test(t), self.terms + other.terms)
+
+    def __invert__(self) -> Condition:
+        return Condition(lambda t: ~self.test(t))
+
+
+EVERYTHING = Condition(lambda t: F.lit(True))
+
+
+def term(words: str) -> Condition:
+    """A word or a phrase."""
+    low = words.lower()
+    return Condition(lambda t: t.contains(F.lit(low)), (low,) if low else ())
+
+
+def matches(condition: Condition, text: Column) -> Column:
+    return condition.test(F.lower(text))
 
 
 def occurrences(text: Column, term: str) -> Column:
@@ -95,9 +48,9 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def score(query: str, text: Column) -> Column:
+def score(condition: Condition, text: Column) -> Column:
     low = F.lower(text)
-    return sum((occurrences(low, t) for t in parse(query).terms if t), F.lit(0))
+    return sum((occurrences(low, t) for t in condition.terms), F.lit(0))
 
 
 def scope(name: str) -> Column:
@@ -105,9 +58,9 @@ def scope(name: str) -> Column:
     return {"title": F.col("title"), "content": F.col("text")}.get(name, F.concat_ws(" ", "title", "text", "source"))
 
 
-def search(docs: DataFrame, query: str, *, within: str = "all") -> DataFrame:
+def search(docs: DataFrame, condition: Condition, *, within: str = "all") -> DataFrame:
     text = scope(within)
-    return docs.where(matches(query, text)).withColumn("score", score(query, text))
+    return docs.where(matches(condition, text)).withColumn("score", score(condition, text))
 
 
 def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import judging as J
-from tidewatch.sources.tables import AS_OF, CASES_SQL, LINKS_SQL, PROMISES_SQL, cases, links, promises
+from tidewatch.sources.tables import AS_OF, CASES_SQL, LINKS_SQL, PROMISES_SQL, case_days, cases, links, promises
 
 from .catalogue import query
 
@@ -19,21 +19,41 @@ v AS (SELECT case_id, arg_max({{'s': signal, 'c': conf}}, {{'d': pub, 'p': signa
   count(*) FILTER (signal = 'done') AS n_done, count(*) FILTER (signal = 'done' AND conf >= 70) AS n_strong,
   count(DISTINCT (part, pub)) FILTER (signal = 'done') AS n_distinct, count(*) FILTER (signal = 'progress') AS n_progress FROM valid GROUP BY case_id),
 due AS (SELECT case_id, min(deadline) AS first_deadline, bool_or(firm) AS firm FROM promises WHERE trackable AND active GROUP BY case_id),
-judged AS (SELECT c.case_id, c.occurred, c.region, c.org, c.itype, c.amount, s.last_follow, s.n_follow, d.first_deadline, coalesce(d.firm, false) AS firm, coalesce(first_deadline < {DAY}, false) AS overdue,
+first_promise AS (SELECT case_id, min(deadline) AS promised FROM promises GROUP BY case_id),
+judged AS (SELECT c.case_id, greatest(c.occurred + 7, promised) AS cutoff, c.occurred, c.region, c.org, c.itype, c.amount, s.last_follow, s.n_follow, d.first_deadline, coalesce(d.firm, false) AS firm, coalesce(first_deadline < {DAY}, false) AS overdue,
   CASE WHEN latest.s = 'problem' AND latest.c >= 70 THEN 'R1' WHEN n_strong > 0 OR n_distinct >= 2 THEN 'R2' WHEN n_progress > 0 THEN 'R3' WHEN last_follow IS NULL THEN 'R4-none'
   WHEN date_diff('day', last_follow, {DAY}) >= 60 THEN 'R4-stale' WHEN first_deadline < {DAY} AND coalesce(n_done, 0) = 0 THEN 'R4-deadline' ELSE 'R5' END AS code
-  FROM cases c LEFT JOIN seen s ON c.case_id = s.case_id LEFT JOIN v ON c.case_id = v.case_id LEFT JOIN due d ON c.case_id = d.case_id)"""
+  FROM cases c LEFT JOIN seen s ON c.case_id = s.case_id LEFT JOIN v ON c.case_id = v.case_id LEFT JOIN due d ON c.case_id = d.case_id LEFT JOIN first_promise f ON c.case_id = f.case_id)"""
+TREND_SQL = f"""now AS (SELECT date_trunc('month', {DAY}) AS now),
+dense AS (SELECT key, first, CAST(m AS DATE) AS m FROM (SELECT key, first, unnest(generate_series(CAST(first AS TIMESTAMP), CAST((SELECT now FROM now) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM (SELECT key, date_trunc('month', start) AS first FROM starts))),
+series AS (SELECT d.key, d.m, count(h.day) AS c, d.m = (SELECT now FROM now) AS current, count(*) FILTER (d.m < (SELECT now FROM now)) OVER (PARTITION BY d.key ORDER BY d.m DESC) AS back, count(*) OVER (PARTITION BY d.key) AS months
+  FROM dense d LEFT JOIN hits h ON h.key = d.key AND date_trunc('month', h.day) = d.m GROUP BY d.key, d.m),
+means AS (SELECT key, max(c) AS peak, arg_min(m, {{'c': -c, 'm': m}}) AS peak_month,
+  round(CASE WHEN max(months) > 1 THEN avg(c) FILTER (NOT current AND back <= 3) ELSE avg(c) END, 2) AS mean, max(c) FILTER (current) AS now_c FROM series GROUP BY key),
+trend AS (SELECT s.key, coalesce(peak, 0) AS peak, peak_month, CAST(greatest(coalesce(mean, 0), coalesce(now_c, 0)) AS DOUBLE) AS recent_mean,
+  CASE WHEN peak > 0 THEN greatest(0.0, round(1 - greatest(mean, coalesce(now_c, 0)) / peak, 3)) ELSE 0.0 END AS drop_ratio FROM starts s LEFT JOIN means ON s.key = means.key)"""
+CASE_TREND_SQL = f"starts AS (SELECT case_id AS key, occurred AS start FROM cases), hits AS (SELECT case_id AS key, pub AS day FROM links), {TREND_SQL}"
 STATUS_SQL = "CASE WHEN code = 'R1' THEN 'new problem' WHEN code = 'R2' THEN 'done' WHEN code = 'R3' THEN 'in progress' WHEN code = 'R5' THEN 'undetermined' ELSE 'no follow-up' END"
 PRIORITY_SQL = f"""CAST(CASE WHEN overdue AND code <> 'R2' THEN 400 ELSE 0 END + CASE WHEN starts_with(code, 'R4') THEN 250 WHEN code = 'R5' THEN 150 WHEN code = 'R1' THEN 100 ELSE 0 END
- + least(200, greatest(0, date_diff('day', coalesce(last_follow, occurred), {DAY}))) + CASE WHEN firm THEN 100 ELSE 0 END AS INTEGER)"""
+ + least(200, greatest(0, date_diff('day', coalesce(last_follow, cutoff), {DAY}))) + CASE WHEN drop_ratio >= 0.8 THEN 100 ELSE 0 END + CASE WHEN firm THEN 100 ELSE 0 END AS INTEGER)"""
 
 
 def judged(spark, d):
-    return J.status_rules(cases(spark, d), links(spark, d), promises(spark, d), AS_OF)
+    return J.status_rules(case_days(spark, d), links(spark, d), promises(spark, d), AS_OF)
+
+
+def case_trends(spark, d):
+    """Monthly links of each case from its month on."""
+    return J.trend(links(spark, d).select(F.col("case_id").alias("key"), F.col("pub").alias("day")), case_days(spark, d).select(F.col("case_id").alias("key"), F.col("occurred").alias("start")), AS_OF)
+
+
+def ranked(spark, d):
+    """Judged cases with what their priority needs."""
+    return judged(spark, d).join(case_trends(spark, d).select(F.col("key").alias("case_id"), "drop_ratio"), "case_id")
 
 
 def valid(spark, d):
-    return J.follow_ups(links(spark, d), cases(spark, d), AS_OF).where(J.is_valid())
+    return J.follow_ups(links(spark, d), case_days(spark, d), AS_OF).where(J.is_valid())
 
 
 @query(f"WITH {RULES_SQL} SELECT case_id, code FROM judged")
@@ -49,14 +69,31 @@ def q_status_distribution(spark, d):
     return names.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {RULES_SQL} SELECT case_id, {PRIORITY_SQL} AS priority FROM judged")
+@query(f"""WITH {RULES_SQL}, p AS (SELECT j.case_id, j.code, count(*) FILTER (signal = 'problem') AS problems, count(*) FILTER (signal = 'done') AS dones, count(*) FILTER (signal = 'done' AND conf >= 70) AS strong, count(*) FILTER (signal = 'progress') AS progress,
+  count(DISTINCT (part, pub)) FILTER (signal = 'done') >= 2 AS two, avg(conf) FILTER (signal = 'problem') AS a_problem, avg(conf) FILTER (signal = 'done') AS a_done, avg(conf) FILTER (signal = 'done' AND conf >= 70) AS a_strong, avg(conf) FILTER (signal = 'progress') AS a_progress
+  FROM judged j LEFT JOIN valid v ON j.case_id = v.case_id GROUP BY 1, 2)
+SELECT case_id, code, CAST(CASE code WHEN 'R1' THEN problems WHEN 'R2' THEN CASE WHEN strong > 0 THEN strong ELSE dones END WHEN 'R3' THEN progress ELSE 0 END AS INTEGER) AS n_counted,
+  CAST(CASE WHEN code = 'R1' AND (strong > 0 OR two) THEN CASE WHEN strong > 0 THEN strong ELSE dones END ELSE 0 END AS INTEGER) AS n_prior,
+  CAST(CASE code WHEN 'R1' THEN floor(10 * a_problem + 0.5) WHEN 'R2' THEN floor(10 * coalesce(a_strong, a_done) + 0.5) WHEN 'R3' THEN floor(10 * a_progress + 0.5) ELSE 500 END AS INTEGER) AS confidence,
+  CASE WHEN code = 'R5' THEN CASE WHEN case_id NOT IN (SELECT case_id FROM due) THEN 'no trackable promise' WHEN dones > 0 THEN 'weak done' WHEN problems > 0 THEN 'weak problem' ELSE 'no valid signal' END END AS why FROM p""")
+def q_status_evidence(spark, d):
+    """What each decision rests on."""
+    return judged(spark, d).select("case_id", "code", F.col("n_counted").cast("int").alias("n_counted"), F.col("n_prior").cast("int").alias("n_prior"), "confidence", "why")
+
+
+@query(f"WITH {LINKS_SQL}, {CASES_SQL}, {CASE_TREND_SQL} SELECT key AS case_id, peak, CAST(peak_month AS DATE) AS peak_month, recent_mean, drop_ratio FROM trend")
+def q_case_trend(spark, d):
+    return case_trends(spark, d).withColumnRenamed("key", "case_id")
+
+
+@query(f"WITH {RULES_SQL}, {CASE_TREND_SQL} SELECT case_id, {PRIORITY_SQL} AS priority FROM judged JOIN trend ON key = case_id")
 def q_priority(spark, d):
-    return judged(spark, d).select("case_id", J.priority(AS_OF).cast("int").alias("priority"))
+    return ranked(spark, d).select("case_id", J.priority(AS_OF).cast("int").alias("priority"))
 
 
-@query(f"WITH {RULES_SQL} SELECT case_id, {STATUS_SQL} AS status, last_follow, coalesce(n_follow, 0) AS n_follow, overdue, {PRIORITY_SQL} AS priority FROM judged")
+@query(f"WITH {RULES_SQL}, {CASE_TREND_SQL} SELECT case_id, {STATUS_SQL} AS status, last_follow, coalesce(n_follow, 0) AS n_follow, overdue, {PRIORITY_SQL} AS priority FROM judged JOIN trend ON key = case_id")
 def q_event_card(spark, d):
-    return judged(spark, d).select("case_id", J.status(F.col("code")).alias("status"), "last_follow", F.coalesce("n_follow", F.lit(0)).alias("n_follow"), "overdue", J.priority(AS_OF).cast("int").alias("priority"))
+    return ranked(spark, d).select("case_id", J.status(F.col("code")).alias("status"), "last_follow", F.coalesce("n_follow", F.lit(0)).alias("n_follow"), "overdue", J.priority(AS_OF).cast("int").alias("priority"))
 
 
 @query(f"WITH {LINKS_SQL} SELECT case_id, count(*) AS n, max(pub) AS last FROM links WHERE active GROUP BY case_id")

@@ -220,9 +220,11 @@ def q_rerank_decision(spark, d):
     return scored(spark, d).select(*KEY, L.rerank(F.col("q") * 2 - 10, F.col("flag") == "R", F.col("review")).alias("decision"))
 
 
-@query(f"WITH {LINKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY conf DESC, case_id, supp, line) AS rn FROM links WHERE active) SELECT case_id, part, supp, line, rn = 1 AS winner FROM r")
+@query(f"WITH {LINKS_SQL}, r AS (SELECT *, min((NOT confirmed, -conf, case_id, supp, line)) FILTER (NOT confirmed) OVER (PARTITION BY part) AS best FROM (SELECT *, signal = 'problem' AND conf = 100 AS confirmed FROM links WHERE active)) SELECT case_id, part, supp, line, confirmed OR (NOT confirmed, -conf, case_id, supp, line) = best AS winner FROM r")
 def q_multi_event_exclusive(spark, d):
-    return L.exclusive(links(spark, d).where("active"), "part", F.col("conf"), ["case_id", "supp", "line"]).select(*KEY, "winner")
+    """Confirmed links (stood for by problems at the highest confidence) keep their place and take nobody else's."""
+    confirmed = (F.col("signal") == "problem") & (F.col("conf") == 100)
+    return L.exclusive(links(spark, d).where("active"), "part", F.col("conf"), ["case_id", "supp", "line"], exempt=confirmed).select(*KEY, "winner")
 
 
 @query(f"WITH {FEED_SQL}, p AS (SELECT user_id, CAST(ts AS DATE) AS d, event_id FROM feed WHERE event_type = 'error') SELECT a.user_id, count(*) AS pairs FROM p a JOIN p b ON a.user_id = b.user_id AND abs(date_diff('day', a.d, b.d)) <= 3 AND a.event_id < b.event_id GROUP BY 1")
@@ -314,9 +316,10 @@ def q_greedy_match(spark, d):
     return L.greedy_match(even.select("key", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), odd.select("key", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), MATCH_AT)
 
 
-@query(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, source, substr(title, 1, 80) AS t, substr(title, 1, 12) AS b FROM docs) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.source = b.source AND a.b = b.b AND a.doc_id < b.doc_id WHERE 10 * levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t))")
+@query(f"""WITH {DOCS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.title AS t, b.title AS o, greatest(length(a.title), length(b.title)) AS n FROM docs a JOIN docs b ON a.source = b.source AND a.doc_id < b.doc_id)
+SELECT a, b FROM p WHERE 10 * CASE WHEN 10 * abs(length(t) - length(o)) <= n THEN levenshtein(t, o) ELSE n END <= n""")
 def q_near_dup(spark, d):
-    """Titles of one source that differ in a tenth of their characters at most; the SQL compares only those that begin alike, by 80 characters."""
+    """Titles of one source that differ in a tenth of their characters at most."""
     t = documents(spark, d).select("doc_id", F.col("source").alias("key"), F.col("title").alias("t"))
     near = L.near_texts(t.where("key IS NOT NULL AND t IS NOT NULL").select("key", "t").distinct())
     near = near.unionAll(near.select("key", F.col("o").alias("t"), F.col("t").alias("o")))

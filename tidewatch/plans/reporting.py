@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates as D
 from tidewatch.operators import evaluation as E
+from tidewatch.operators import judging as J
 from tidewatch.operators import merging as M
 from tidewatch.operators import sampling as S
 from tidewatch.sources.tables import AS_OF, CASES_SQL, FEED_SQL, LINKS_SQL, PROMISES_SQL, cases, documents, feed, links, promises, table
 from tidewatch.streaming import feeds
 
 from .catalogue import query
-from .judging import FOLLOW_SQL, RULES_SQL, VALID_SQL, judged, valid
+from .judging import FOLLOW_SQL, RULES_SQL, TREND_SQL, VALID_SQL, judged, valid
 
 AMOUNT = "CAST(round(amount) AS BIGINT)"
 
@@ -115,17 +116,25 @@ def months(spark, d):
     return cases(spark, d).groupBy("region", F.trunc("occurred", "month").alias("month")).agg(F.count("*").alias("hits"))
 
 
-@query(f"WITH {MONTHS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY month DESC) AS rn FROM m) SELECT region, max(hits) AS peak, arg_min(month, struct_pack(h := -hits, m := month)) AS peak_month, CAST(sum(hits) FILTER (rn <= 3) AS BIGINT) AS recent FROM r GROUP BY region")
+REGION_SQL = f"{CASES_SQL}, starts AS (SELECT region AS key, min(occurred) AS start FROM cases GROUP BY region), hits AS (SELECT region AS key, occurred AS day FROM cases), {TREND_SQL}"
+
+
+@query(f"WITH {REGION_SQL} SELECT key AS region, peak, CAST(peak_month AS DATE) AS peak_month, recent_mean, drop_ratio FROM trend")
 def q_trend_summary(spark, d):
-    rn = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("month")))
-    m = months(spark, d).withColumn("rn", rn)
-    return m.groupBy("region").agg(F.max("hits").alias("peak"), F.min_by("month", F.struct(-F.col("hits"), "month")).alias("peak_month"), F.sum(F.when(F.col("rn") <= 3, F.col("hits"))).alias("recent"))
+    c = cases(spark, d).select(F.col("region").alias("key"), F.col("occurred").alias("day"))
+    return J.trend(c, c.groupBy("key").agg(F.min("day").alias("start")), AS_OF).withColumnRenamed("key", "region")
 
 
-@query(f"WITH {MONTHS_SQL} SELECT region, month, CAST(sum(hits) OVER (PARTITION BY region ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last3 FROM m")
+@query(f"WITH {REGION_SQL} SELECT key AS region, m AS month, CAST(sum(c) OVER w AS BIGINT) AS last3, CAST(floor(100 * avg(c) OVER w + 0.5) AS BIGINT) AS mean_100 FROM series WHERE NOT current WINDOW w AS (PARTITION BY key ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def q_trend_moving_avg(spark, d):
+    """Sum and mean of three completed months, those without cases included."""
+    now = F.trunc(F.lit(AS_OF).cast("date"), "month")
+    m = months(spark, d)
+    first = m.groupBy("region").agg(F.min("month").alias("first")).where(F.col("first") < now)
+    axis = first.select("region", F.explode(F.sequence("first", F.add_months(now, -1), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     w = Window.partitionBy("region").orderBy("month").rowsBetween(-2, 0)
-    return months(spark, d).select("region", "month", F.sum("hits").over(w).alias("last3"))
+    hits = F.coalesce("hits", F.lit(0))
+    return axis.join(m, ["region", "month"], "left").select("region", "month", F.sum(hits).over(w).alias("last3"), F.floor(100 * F.avg(hits).over(w) + 0.5).alias("mean_100"))
 
 
 @query(f"WITH {CASES_SQL} SELECT case_id, CAST(floor(1000 * percent_rank() OVER (PARTITION BY region ORDER BY occurred)) AS INTEGER) AS place FROM cases")

@@ -10,7 +10,7 @@ from tidewatch.sources.tables import DOCS_SQL, FEED_SQL, documents, feed, table
 
 from .catalogue import query
 
-BOOL = '("the" OR "ein") AND "on" NOT "la"'
+BOOL = (S.term("the") | S.term("ein")) & S.term("on") & ~S.term("la")
 BOOL_SQL = "(contains(t, 'the') OR contains(t, 'ein')) AND contains(t, 'on') AND NOT contains(t, 'la')"
 _n = lambda t, w: f"((length({t}) - length(replace({t}, '{w}', ''))) // {len(w)})"
 SCORE_SQL = " + ".join(_n("t", w) for w in ("the", "ein", "on"))
@@ -57,7 +57,7 @@ def q_search_ranked(spark, d):
 
 @query(f"WITH {DOCS_SQL} SELECT count(*) FILTER (contains(lower(title), 'the')) AS in_title, count(*) FILTER (contains(lower(text), 'the')) AS in_content, count(*) FILTER (contains({ALL_SQL}, 'the')) AS anywhere FROM docs")
 def q_search_scoped(spark, d):
-    n = lambda w: F.count_if(S.matches("the", S.scope(w)))
+    n = lambda w: F.count_if(S.matches(S.term("the"), S.scope(w)))
     return documents(spark, d).agg(n("title").alias("in_title"), n("content").alias("in_content"), n("all").alias("anywhere"))
 
 
@@ -76,7 +76,7 @@ def q_highlight(spark, d):
 
 @query(f"WITH {DOCS_SQL}, t AS (SELECT *, {ALL_SQL} AS t FROM docs), h AS (SELECT doc_id, source FROM t WHERE contains(t, 'on')) SELECT doc_id, source, (SELECT count(*) FROM h) AS total FROM h ORDER BY source, doc_id LIMIT 20 OFFSET 20")
 def q_search_paged(spark, d):
-    return S.page(S.search(documents(spark, d), "on").select("doc_id", "source"), [F.col("source"), F.col("doc_id")], 20, 20)
+    return S.page(S.search(documents(spark, d), S.term("on")).select("doc_id", "source"), [F.col("source"), F.col("doc_id")], 20, 20)
 
 
 @query("SELECT strftime(ts, '%Y%m%d') AS label, count(*) AS hits FROM events GROUP BY 1")
@@ -96,16 +96,16 @@ b AS (SELECT * FROM c ORDER BY n DESC, word LIMIT 30)"""
 
 @query(CLOUD_SQL + " SELECT word, n, CAST(floor(200 * n / (SELECT max(n) FROM b) + 0.5) AS INTEGER) AS weight FROM b")
 def q_word_cloud(spark, d):
-    return S.co_occurring(table(spark, d, "documents").where(S.matches("est", F.col("text"))), X.tokens(F.col("text")), "est")
+    return S.co_occurring(table(spark, d, "documents").where(S.matches(S.term("est"), F.col("text"))), X.tokens(F.col("text")), "est")
 
 
 @query(CLOUD_SQL + " SELECT word, n FROM b WHERE length(word) >= 4 AND NOT regexp_matches(word, '[0-9]') ORDER BY n DESC, word LIMIT 3")
 def q_query_expansion(spark, d):
-    cloud = S.co_occurring(table(spark, d, "documents").where(S.matches("est", F.col("text"))), X.tokens(F.col("text")), "est")
+    cloud = S.co_occurring(table(spark, d, "documents").where(S.matches(S.term("est"), F.col("text"))), X.tokens(F.col("text")), "est")
     return cloud.where((F.length("word") >= 4) & ~F.col("word").rlike("[0-9]")).orderBy(F.desc("n"), "word").limit(3).select("word", "n")
 
 
-STEPS = ("the AND est AND thou", "the AND est", "the")
+STEPS = {"the AND est AND thou": S.term("the") & S.term("est") & S.term("thou"), "the AND est": S.term("the") & S.term("est"), "the": S.term("the")}
 
 
 @query("""WITH q AS (SELECT lang AS key, ord, query, count(*) FILTER (ok) AS hits FROM (
@@ -115,7 +115,7 @@ STEPS = ("the AND est AND thou", "the AND est", "the")
 SELECT key, arg_min(query, {'a': NOT hits BETWEEN 1 AND 200, 'b': CASE WHEN hits BETWEEN 1 AND 200 THEN ord ELSE hits END, 'c': ord}) AS query FROM q GROUP BY key""")
 def q_calibrate(spark, d):
     docs = table(spark, d, "documents")
-    counts = docs.groupBy(F.col("lang").alias("key")).agg(*(F.count_if(S.matches(s, F.col("text"))).alias(f"h{i}") for i, s in enumerate(STEPS)))
+    counts = docs.groupBy(F.col("lang").alias("key")).agg(*(F.count_if(S.matches(c, F.col("text"))).alias(f"h{i}") for i, c in enumerate(STEPS.values())))
     rows = F.inline(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(s).alias("query"), F.col(f"h{i}").alias("hits")) for i, s in enumerate(STEPS))))
     return S.narrowest(counts.select("key", rows), 200)
 
@@ -205,7 +205,7 @@ def q_regex_max_number(spark, d):
     return table(spark, d, "documents").select("doc_id", X.largest_number(F.col("text"), 5000).alias("largest"))
 
 
-@query(r"SELECT page_id, array_to_string(list_sort(regexp_extract_all(url, '\d+')), ',') = array_to_string(list_sort(regexp_extract_all(substr(html, 1, 400), '\d+')), ',') AS kept FROM pages")
+@query(r"SELECT page_id, array_to_string(list_sort(regexp_extract_all(url, '\d+')), ',') = array_to_string(list_sort(regexp_extract_all(html, '\d+')), ',') AS kept FROM pages")
 def q_number_guard(spark, d):
     return table(spark, d, "pages").select("page_id", (X.sorted_numbers(F.col("url")) == X.sorted_numbers(F.col("html"))).alias("kept"))
 

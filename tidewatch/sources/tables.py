@@ -35,6 +35,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def case_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id and occurred alone: no join (every order has a customer, every customer a nation)."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("occurred"))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each link; (case_id, part, supp, line) is its key, ``active`` = neither rejected nor under review."""
     review, rejected = F.col("l_tax") > 0.06, F.col("l_quantity") > 48
@@ -56,7 +61,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promises(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A promise for each link of line 1: its deadline, strength and action come from the part."""
     first = links(spark, sf_dir).where("line = 1")
-    p, c = table(spark, sf_dir, "part"), cases(spark, sf_dir).select("case_id", "occurred")
+    p, c = table(spark, sf_dir, "part"), case_days(spark, sf_dir)
     joined = first.join(p, first.part == p.p_partkey).join(c, "case_id")
     return joined.select(
         "case_id", "part", "supp", "active",
