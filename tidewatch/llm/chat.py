@@ -13,10 +13,11 @@ Each turn is rendered, parsed again by a deterministic parser and compared; a
 turn is first written as it is, and only where it does not come back alike is
 its text escaped (its header then says ``[ROLE!]``), until it is identical.
 
-A conversation is one run of rows in the order of its turns. Rendering and the
-round trip are per row, and only digests go over a conversation in order,
-streamed with constant memory, so a conversation of any length does not meet
-in memory.
+A conversation is one run of rows in the order of its turns. Read back, the
+rows of a conversation are one stream of text: a parser finds the turns and the
+end by the grammar alone, wherever the stream was cut into rows, and the loss
+mask is a list of spans of that stream. It keeps one turn at a time, so a
+conversation of any length does not meet in memory.
 
 Defined results: null role or text is the empty string; a null turn comes
 before all others and turns that tie are ordered by role, then text; repeated
@@ -66,6 +67,37 @@ def parse_turn(piece: str) -> tuple[str, str]:
     return role, text
 
 
+class Conversation:
+    """A deterministic parser of a formatted conversation that comes in pieces cut anywhere."""
+
+    _head = re.compile(r"<s>\[ROLE(!?)\](.*?)\[/ROLE\]", re.S)
+
+    def __init__(self):
+        self.rest, self.at, self.ended, self.seen = "", 0, False, 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, str, int]]:
+        """The turns that the piece completes: role, text, the text as it is written and where that begins in the stream."""
+        self.rest += piece
+        while self.rest and not self.ended:
+            if self.rest.startswith("[EOC]"):
+                self.rest, self.at, self.ended = self.rest[5:], self.at + 5, True
+                break
+            head = self._head.match(self.rest)
+            end = self.rest.find("</s>", max(head.end(), self.seen)) if head else -1
+            if end < 0:
+                self.seen = max(0, len(self.rest) - 3) if head else 0
+                return
+            turn = self.rest[: end + 4]
+            yield *parse_turn(turn), turn[head.end() : -4], self.at + head.end()
+            self.rest, self.at, self.seen = self.rest[end + 4 :], self.at + end + 4, 0
+        if self.ended and self.rest:
+            raise ValueError("text after the end of a conversation")
+
+    def close(self) -> None:
+        if self.rest or not self.ended:
+            raise ValueError("a conversation does not end")
+
+
 def render_turn(role: str, text: str) -> tuple[str, int, int]:
     """The turn's rendering and where its text lies in it: plain if that comes back identical, escaped if not."""
     for flag, r, t in (("", role, text), ("!", escape(role), escape(text))):
@@ -112,24 +144,29 @@ def read_back(pieces: DataFrame) -> DataFrame:
         last, state, rows = (), None, []
 
         def done() -> None:
-            turns, loss, (conv,) = state[0], state[1], last
-            rows.append((conv, state[2], turns.hexdigest(), state[3], loss.hexdigest(), state[4]))
+            state[5].close()
+            rows.append((last[0], state[2], state[0].hexdigest(), state[3], state[1].hexdigest(), state[4]))
 
         for batch in batches:
             for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
                 if last != (conv,):
                     if last:
                         done()
-                    last, state = (conv,), [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
-                role, text = parse_turn(piece)
-                state[0].update(f"{role}\n{text}\n".encode())
-                masked = piece[a:b]
-                if piece.startswith("<s>[ROLE!]"):
-                    masked = unescape(masked)
-                state[1].update(masked.encode())
-                state[2] += 1
-                state[3] += len(masked)
+                    last, state = (conv,), [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, Conversation(), []]
+                turns, loss, *_, parser, mask = state
+                if b > a:
+                    mask.append((state[4] + a, state[4] + b))
                 state[4] += len(piece)
+                for role, text, written, start in parser.feed(piece):
+                    turns.update(f"{role}\n{text}\n".encode())
+                    state[2] += 1
+                    for x, y in mask:  # the spans that lie in this turn
+                        under = written[max(0, x - start) : max(0, y - start)]
+                        if written != text:
+                            under = unescape(under)
+                        loss.update(under.encode())
+                        state[3] += len(under)
+                    mask[:] = [(x, y) for x, y in mask if y > start + len(written)]
             yield out(rows)
             rows.clear()
         if last:
