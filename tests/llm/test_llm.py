@@ -331,6 +331,22 @@ def test_top_k_against_brute_force_with_ties(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+def test_top_k_of_odd_vectors(spark, tmp_path):
+    """Through the query: null, empty, not finite, of several lengths, repeated, without an identifier."""
+    rng = np.random.default_rng(3)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100)]
+    rows += [(100, None), (120, []), (140, [nan, 1.0, 1.0, 1.0]), (160, [inf, 0.0, 0.0, 0.0]), (180, [None, 1.0, 1.0, 1.0]), (200, [1.0, 2.0]), (201, [3.0, 4.0]), (0, rows[0][1]), (1, rows[1][1]), (None, [1.0] * 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["op8_uniform_threshold_topk"](spark, f"file://{tmp_path}").collect()))
+    x = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v)}
+    want = []
+    for q in (i for i in x if i % 20 == 0):
+        best = sorted(((-int(x[q] @ x[c]), c) for c in x if c != q and len(x[c]) == len(x[q])))[:20]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert got == sorted(want) and len(want) == 101
+
+
 # 9: chat
 
 
@@ -342,6 +358,22 @@ def test_turns_come_back(text):
         assert (chat.unescape(piece[a:b]) if piece.startswith("<s>[ROLE!]") else piece[a:b]) == text
 
 
+def test_the_parser_finds_turns_wherever_the_stream_is_cut():
+    turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "plain <s"), ("", ""), ("[/ROLE]", "a</s"), ("user", "x" * 50)]
+    whole = "".join(chat.render_turn(*t)[0] for t in turns) + "[EOC]"
+    for size in (1, 2, 3, 7, 1000):
+        parser = chat.Conversation()
+        got = [t for i in range(0, len(whole), size) for t in parser.feed(whole[i : i + size])]
+        parser.close()
+        assert [t[:2] for t in got] == turns
+        assert all(whole[start : start + len(written)] == written for _, _, written, start in got)
+    for broken in (whole[:-1], whole + "x", whole[1:], whole[:-5]):
+        parser = chat.Conversation()
+        with pytest.raises(ValueError):
+            list(parser.feed(broken))
+            parser.close()
+
+
 def test_odd_conversations(spark):
     turns = spark.createDataFrame([(1, 0, "user", None, 1), (1, None, None, "x", 1), (1, 1, "assistant", LONG, 1), (None, 0, "user", "y", 1), (1, 1, "assistant", LONG, 1)], "conv_id long, turn long, role string, text string, piece_no int")
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns)).collect()}

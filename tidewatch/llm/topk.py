@@ -1,12 +1,13 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A score is an inner product, a sum of one partial score for each slice of the
-dimensions. Candidates are dealt to blocks, queries too, and each pair of
-blocks is one unit of work for numpy:
+dimensions. Candidates are dealt to blocks, queries to groups of about
+``GROUP_BYTES``; a task holds one group and streams blocks past it:
 
-1. Each block lists, for every query and slice, its best partial scores, and
-   sums those candidates up in full. The k-th best of the gathered lists is a
-   safe cutoff: k candidates reach it.
+1. One block in ``LOOK`` lists, for every query and slice, its best partial
+   scores, and sums those candidates up in full. The k-th best of the gathered
+   lists is a safe cutoff: k candidates reach it. (Fewer candidates make a lower
+   cutoff, never a wrong one; without k of them all entries are collected.)
 2. The cutoff goes to every block. Above the slices' least partial scores a
    total can reach the cutoff only if some slice has its uniform share of it,
    so every entry from that share on is collected and no other is needed.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, small_batches, table
 
-SLICES, BLOCK = 2, 1024
+SLICES, BLOCK, LOOK, GROUP_BYTES = 2, 1024, 8, 4 << 20
 
 
 def _matmul(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ def _block(column: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Phase 1: the k best totals that each task's blocks show for each query."""
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     low = np.iinfo(np.int64).min
 
     def out() -> pa.RecordBatch:
@@ -72,19 +73,21 @@ def local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     for batch in batches:
         for row, qb in enumerate(batch.column("qb").to_pylist()):
             (q_ids, q), (c_ids, c) = _block(batch.column("q"), row), _block(batch.column("c"), row)
-            parts = _parts(q, c)
-            total, own = sum(parts), q_ids[:, None] == c_ids[None, :]
             n = min(k + 1, len(c_ids))  # one more: the query itself may be among them
-            seen = np.concatenate([np.argpartition(p, len(c_ids) - n, axis=1)[:, len(c_ids) - n :] for p in parts], axis=1)
-            seen.sort(axis=1)
-            got = np.take_along_axis(np.where(own, low, total), seen, 1)
-            got[:, 1:][seen[:, 1:] == seen[:, :-1]] = low  # in more than one slice's list
-            before = best[qb][1] if qb in best else np.full((len(q_ids), k), low)
-            merged = np.concatenate([before, got], axis=1)
-            best[qb] = q_ids, np.partition(merged, merged.shape[1] - k, axis=1)[:, merged.shape[1] - k :]
-            if len(best) > 64:
-                yield out()
-                best.clear()
+            for a in range(0, len(q_ids), BLOCK):
+                w = slice(a, a + BLOCK)
+                parts = _parts(q[w], c)
+                total, own = sum(parts), q_ids[w, None] == c_ids[None, :]
+                seen = np.concatenate([np.argpartition(p, len(c_ids) - n, axis=1)[:, len(c_ids) - n :] for p in parts], axis=1)
+                seen.sort(axis=1)
+                got = np.take_along_axis(np.where(own, low, total), seen, 1)
+                got[:, 1:][seen[:, 1:] == seen[:, :-1]] = low  # in more than one slice's list
+                before = best[qb, a][1] if (qb, a) in best else np.full((len(own), k), low)
+                merged = np.concatenate([before, got], axis=1)
+                best[qb, a] = q_ids[w], np.partition(merged, merged.shape[1] - k, axis=1)[:, merged.shape[1] - k :]
+                if len(best) > 64:
+                    yield out()
+                    best.clear()
     yield out()
 
 
@@ -95,21 +98,26 @@ def collect_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             (q_ids, q), (c_ids, c) = _block(batch.column("q"), row), _block(batch.column("c"), row)
             cuts = batch.column("cuts")[row].values
             at = dict(zip(cuts.field("query_id").to_pylist(), cuts.field("cutoff").to_pylist(), strict=True))
-            cutoff = np.array([at.get(i, np.iinfo(np.int64).min) for i in q_ids.tolist()])
-            parts = _parts(q, c)
-            least = [p.min(axis=1) for p in parts]
-            # in Python's integers: no cutoff means all entries, and the least may be large
-            share = np.array([-(-(int(t) - sum(map(int, lows))) // SLICES) if t > np.iinfo(np.int64).min else 0 for t, *lows in zip(cutoff, *least, strict=True)])
-            some = np.zeros(parts[0].shape, bool)
-            for p, lows in zip(parts, least, strict=True):
-                some |= p - lows[:, None] >= share[:, None]
-            a, b = np.nonzero(some)
-            scores = sum(p[a, b] for p in parts)
-            keep = (scores >= cutoff[a]) & (q_ids[a] != c_ids[b])
-            a, b, scores = a[keep], b[keep], scores[keep]
-            for i in range(0, max(1, len(a)), 1 << 18):
-                w = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[w]]), pa.array(c_ids[b[w]]), pa.array(scores[w])], names=["query_id", "vec_id", "score"])
+            for first in range(0, len(q_ids), BLOCK):
+                yield from _entries(q_ids[first : first + BLOCK], q[first : first + BLOCK], c_ids, c, at)
+
+
+def _entries(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, at: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    cutoff = np.array([at.get(i, np.iinfo(np.int64).min) for i in q_ids.tolist()])
+    parts = _parts(q, c)
+    least = [p.min(axis=1) for p in parts]
+    # in Python's integers: no cutoff means all entries, and the least may be large
+    share = np.array([-(-(int(t) - sum(map(int, lows))) // SLICES) if t > np.iinfo(np.int64).min else 0 for t, *lows in zip(cutoff, *least, strict=True)])
+    some = np.zeros(parts[0].shape, bool)
+    for p, lows in zip(parts, least, strict=True):
+        some |= p - lows[:, None] >= share[:, None]
+    a, b = np.nonzero(some)
+    scores = sum(p[a, b] for p in parts)
+    keep = (scores >= cutoff[a]) & (q_ids[a] != c_ids[b])
+    a, b, scores = a[keep], b[keep], scores[keep]
+    for i in range(0, max(1, len(a)), 1 << 18):
+        w = slice(i, i + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[w]]), pa.array(c_ids[b[w]]), pa.array(scores[w])], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
@@ -120,16 +128,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
     rows = materialize(rows.withColumn("dim", F.size("v")).where("dim > 0"), "topk-rows")
 
-    def blocks(df: DataFrame, key: str, column: str) -> DataFrame:
-        n = -(-df.count() // BLOCK) or 1
-        b = df.withColumn(key, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
+    n = partitions(spark)
+
+    def blocks(df: DataFrame, key: str, column: str, per: int) -> DataFrame:
+        """Rows of one dimension in as many blocks as ``per`` bytes of vectors need."""
+        size = df.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / per).alias("g"))
+        b = df.join(size, "dim").withColumn(key, F.pmod(F.xxhash64("vec_id", "v"), F.col("g")))
         return b.groupBy("dim", key).agg(F.collect_list(F.struct("vec_id", "v")).alias(column))
 
-    asked = materialize(blocks(rows.where("asks"), "qb", "q"), "topk-queries")
-    held = materialize(blocks(rows, "cb", "c"), "topk-candidates")
-    # the stated query set against all rows, in blocks: each candidate block meets each query block of its dimension
-    numbers = asked.groupBy("dim").agg(F.sort_array(F.collect_list("qb")).alias("qbs"))
-    pairs = held.join(numbers, "dim").withColumn("qb", F.explode("qbs")).drop("qbs").repartition(partitions(spark), "cb", "qb").join(asked.hint("shuffle_hash"), ["dim", "qb"])
+    asked = materialize(blocks(rows.where("asks"), "qb", "q", GROUP_BYTES), "topk-queries")
+    held = materialize(blocks(rows, "cb", "c", BLOCK * 512), "topk-candidates")
+    # the stated query set against all rows: a cell of the grid has one group of queries and every lanes-th block
+    groups = asked.groupBy("dim").agg(F.sort_array(F.collect_list("qb")).alias("qbs"))
+    lanes = max(1, -(-n // max(1, asked.count())))
+    lane = F.pmod(F.xxhash64("cb"), F.lit(lanes)).alias("lane")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
+
+    def met(some: DataFrame, with_them: DataFrame) -> DataFrame:
+        """Blocks beside each group of queries, dealt by cells."""
+        cells = some.join(groups, "dim").select("dim", "cb", "c", lane, F.explode("qbs").alias("qb"))
+        return cells.join(with_them.select("*", every).hint("shuffle_hash"), ["dim", "qb", "lane"])
+
+    pairs = met(held.where(F.pmod(F.xxhash64("cb", F.lit(1)), F.lit(LOOK)) == 0), asked)
     scores = pairs.select("qb", "q", "c").mapInArrow(lambda it: local_lists(it, k), "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoffs = scores.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
@@ -138,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
     # a cutoff is a row for each query, dealt by the query's block
     cuts = asked_ids.join(cutoffs, "query_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(2**63)))).groupBy("dim", "qb").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cuts"))
     cuts = materialize(cuts, "topk-cutoffs")
-    entries = pairs.join(cuts, ["dim", "qb"]).select("q", "c", "cuts").mapInArrow(collect_entries, "query_id long, vec_id long, score long")
+    entries = met(held, asked.join(cuts, ["dim", "qb"])).select("q", "c", "cuts").mapInArrow(collect_entries, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
