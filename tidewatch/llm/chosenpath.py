@@ -414,7 +414,8 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     leaves = found.groupBy("key").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     # 16 bits of each coordinate are enough to bound the similarity
     low = F.transform("sig", lambda x: F.substring(F.hex(x.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))), -4, 4))
-    about = materialize(classes.join(leaves, "key").select("key", "first", "copies", "n", "leaves", F.unhex(F.array_join(low, "")).alias("sig")), "path-about")
+    short = classes.select("key", "first", "copies", "n", F.unhex(F.array_join(low, "")).alias("sig"))
+    about = materialize(short.join(leaves, "key"), "path-about")
     held = found.join(about.select("key", "leaves", "sig"), "key").withColumn("g", F.ceil(F.col("size") / small))
     alone, meet = _packed(held, ["key", "leaves", "sig"], "path-blocks")
     pairs = "leaf long, key binary"
@@ -422,10 +423,11 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     maybe = materialize(maybe, "path-likely")
     # whole sets of those only, each made from one of its texts
     wanted = materialize(about.join(maybe.select("key").distinct(), "key", "left_semi").select("key", "first", "copies", "n", "leaves"), "path-wanted")
+    amount = maybe.join(wanted.select("key", "n"), "key").groupBy("leaf").agg(F.ceil(F.greatest(F.count("*") / small, F.sum("n") * 8 / BLOCK_BYTES)).alias("g"))
+    held = maybe.join(materialize(amount, "path-amounts"), "leaf").join(wanted.select("key", "copies", "leaves"), "key")
+    # dealt by key once, for this and for the join
     sets = whole_sets(texts, bits_of(wanted)).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(wanted.join(sets, "key").select("key", "copies", "leaves", "n", "shingles"), "path-sets")
-    amount = maybe.join(sets.select("key", "n"), "key").groupBy("leaf").agg(F.ceil(F.greatest(F.count("*") / small, F.sum("n") * 8 / BLOCK_BYTES)).alias("g"))
-    held = maybe.join(sets, "key").join(materialize(amount, "path-amounts"), "leaf")
+    held = held.join(sets, "key")
     alone, meet = _packed(held, ["key", "leaves", "copies", "shingles"], "path-checks")
     result = "key binary, links long, root binary"
     checked = materialize(alone.mapInArrow(tidy(verify), result).unionByName(meet.mapInArrow(tidy(verify), result)), "path-links")
