@@ -236,7 +236,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for leaf, ci, cj, part, (keys, leaves, copies, shingled) in _tasks(batches, ["key", "leaves", "copies", "shingles"]):
         ok = _new_pairs(leaf, ci, cj, part, leaves) if len(keys) > 1 else np.zeros((1, 1), bool)
         if ok.any():
-            sets = [np.frombuffer(x, np.uint64) for x in shingled]
+            sets = [unpack(x) for x in shingled]
             sizes = np.array([len(x) for x in sets], float)
             both = intersections(sets)
             # both / (sizes - both) >= 0.8, in whole numbers
@@ -274,7 +274,7 @@ def node_of(run, *what):
 
 
 def run_tokens(texts: DataFrame, ask: np.ndarray, first: int, last: int) -> DataFrame:
-    """key, run, tokens: 16 bits of each hash that the nodes of a run choose from, for the runs ``first`` to ``last`` (not included)."""
+    """key, run, tokens: 16 bits of each hash that the nodes of a run choose from, for the runs ``first`` to ``last`` (not included); again for each text of a class that is read."""
     mul, add = _A_RUNS[first:last].reshape(-1), _B_RUNS[first:last].reshape(-1)
     shared = texts.sparkSession.sparkContext.broadcast(ask)
 
@@ -285,7 +285,7 @@ def run_tokens(texts: DataFrame, ask: np.ndarray, first: int, last: int) -> Data
             rows = [(key, first + r, sig[i, r].tobytes()) for i, key in enumerate(_class_keys(h, bounds)) if key for r in range(last - first)]
             yield _batch(rows, ["key", "run", "tokens"], [pa.binary(), pa.int32(), pa.binary()])
 
-    return texts.mapInArrow(tidy(make), "key binary, run int, tokens binary").dropDuplicates(["key", "run"])
+    return texts.mapInArrow(tidy(make), "key binary, run int, tokens binary")
 
 
 def _asked(batches: Iterator[pa.RecordBatch], ask: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,8 @@ def grow(classes: DataFrame, texts: DataFrame, first: int, last: int, small: int
             cut = big.select("key").distinct()
             some = classes.join(cut, "key", "left_semi").select("first")
             tokens = materialize(run_tokens(texts, bits_of(some), first, last), "path-tokens")
-        live = split(big.withColumn("run", F.shiftrightunsigned("node", 56).cast("int")).join(tokens, ["key", "run"]))
+        # a set's tokens may be there more than once, its children not
+        live = split(big.withColumn("run", F.shiftrightunsigned("node", 56).cast("int")).join(tokens, ["key", "run"])).distinct()
     return found.select(F.col("node").alias("leaf"), "size", "key"), cut, deepest
 
 
@@ -378,14 +379,16 @@ def split(big: DataFrame) -> DataFrame:
     return both.select("node", "key", probe.alias("probe"), "deep")
 
 
-def _packed(rows: DataFrame, members: list[str], label: str) -> tuple[DataFrame, DataFrame]:
-    """leaf, ci, cj, part, sets: the tasks of buckets whose sets (columns ``members``) were dealt to ``g`` parts; a part is one row, and only parts are copied to meet. Buckets of one part, and the others in order."""
+def _packed(rows: DataFrame, members: list[str]) -> tuple[DataFrame, DataFrame]:
+    """leaf, ci, cj, part, sets: the tasks of buckets whose sets (columns ``members``) were dealt to ``g`` parts; a part is one row, and only parts are copied to meet. Buckets of one part, which move once, and the others in order."""
     spark = rows.sparkSession
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
-    blocks = rows.groupBy("leaf", "g", "part").agg(F.collect_list(F.struct(*members)).alias("sets"))
-    blocks = materialize(blocks, label)
-    alone = blocks.where("g = 1").select("leaf", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "part", "sets")
-    meet = blocks.where("g > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g").cast("int") - 1)))
+
+    def blocks(some: DataFrame) -> DataFrame:
+        return some.groupBy("leaf", "g", "part").agg(F.collect_list(F.struct(*members)).alias("sets"))
+
+    alone = blocks(rows.where("g = 1")).select("leaf", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "part", "sets")
+    meet = blocks(rows.where("g > 1")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g").cast("int") - 1)))
     meet = meet.select("leaf", F.least("part", "other").alias("ci"), F.greatest("part", "other").alias("cj"), "part", "sets")
     meet = meet.repartition(partitions(spark), "leaf", "ci", "cj").sortWithinPartitions("leaf", "ci", "cj")
     return alone, meet
@@ -417,7 +420,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     short = classes.select("key", "first", "copies", "n", F.unhex(F.array_join(low, "")).alias("sig"))
     about = materialize(short.join(leaves, "key"), "path-about")
     held = found.join(about.select("key", "leaves", "sig"), "key").withColumn("g", F.ceil(F.col("size") / small))
-    alone, meet = _packed(held, ["key", "leaves", "sig"], "path-blocks")
+    alone, meet = _packed(held, ["key", "leaves", "sig"])
     pairs = "leaf long, key binary"
     maybe = alone.mapInArrow(tidy(likely), pairs).unionByName(meet.mapInArrow(tidy(likely), pairs).distinct())
     maybe = materialize(maybe, "path-likely")
@@ -428,7 +431,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # dealt by key once, for this and for the join
     sets = whole_sets(texts, bits_of(wanted)).groupBy("key").agg(F.first("shingles").alias("shingles"))
     held = held.join(sets, "key")
-    alone, meet = _packed(held, ["key", "leaves", "copies", "shingles"], "path-checks")
+    alone, meet = _packed(held, ["key", "leaves", "copies", "shingles"])
     result = "key binary, links long, root binary"
     checked = materialize(alone.mapInArrow(tidy(verify), result).unionByName(meet.mapInArrow(tidy(verify), result)), "path-links")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
@@ -438,6 +441,18 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return members, materialize(out, "path-result")
 
 
+def pack(s: np.ndarray) -> bytes:
+    """A set of shingles, 48 bits of each: two of a pair of texts of 20,000 words have the same ones by chance with probability 1e-6."""
+    x = np.unique(s >> np.uint64(16))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def whole_sets(texts: DataFrame, ask: np.ndarray) -> DataFrame:
     """key, shingles (of one text each, at least of those asked for)."""
     shared = texts.sparkSession.sparkContext.broadcast(ask)
@@ -446,7 +461,7 @@ def whole_sets(texts: DataFrame, ask: np.ndarray) -> DataFrame:
         for batch in _asked(batches, shared.value):
             h, bounds = plain_hashes(batch.column("text"))
             s, at = shingles(h, bounds)
-            sets = [np.unique(s[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
+            sets = [pack(s[a:b]) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(_class_keys(h, bounds), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
     return texts.mapInArrow(tidy(make), "key binary, shingles binary")
