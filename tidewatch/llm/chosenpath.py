@@ -20,7 +20,7 @@ A bucket is compared by brute force, in packed blocks: a row holds up to
 ``SMALL`` sets, and only such rows are copied to meet each other, so a bucket
 of n sets sends (n / SMALL)^2 rows. First minhash signatures are compared (a
 loose bound, so that only sets with a likely new partner fetch their shingles),
-then whole sets, exactly, in blocks of at most about ``SMALL`` sets and
+then whole sets, by 48 bits of each shingle, in blocks of at most about ``SMALL`` sets and
 ``BLOCK_BYTES``. A pair that shares several buckets counts in the first one
 only. What leaves a task is a row for each set: how many documents it links to
 there, and its bucket's least set that it hangs together with; pairs are never
