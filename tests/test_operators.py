@@ -170,8 +170,21 @@ def test_deadlines_never_raise(spark):
 
 
 def test_final_consonant(spark):
-    df = spark.createDataFrame([("강",), ("소",), ("x",)], "t string")
-    assert [r[0] for r in df.select(text.final_consonant(F.col("t"))).collect()] == [True, False, None]
+    df = spark.createDataFrame([("강",), ("소",), ("x",), ("KTX 21호",), ("제3",), ("A4",), ("Seoul)",), ("!",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.final_consonant(F.col("t"))).collect()] == [True, False, False, False, True, False, True, False, False, False]
+    assert [r[0] for r in df.limit(2).select(text.particle(F.col("t"), "이", "가")).collect()] == ["강이", "소가"]
+
+
+def test_next_run(spark):
+    at = [datetime.datetime(2024, 1, 1, 18, 59, 59), datetime.datetime(2024, 1, 1, 19), datetime.datetime(2024, 1, 1, 20)]
+    df = spark.createDataFrame([(t,) for t in at], "t timestamp_ntz").select(F.col("t").cast("timestamp").alias("t"))
+    assert [str(r[0]) for r in df.select(dates.next_run(F.col("t")).cast("string")).collect()] == ["2024-01-01 19:00:00", "2024-01-02 19:00:00", "2024-01-02 19:00:00"]
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([("A bc 12 3d d3 x² 4x5-66 É ÉA",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.tokens(F.col("t"))).collect()] == [["bc", "3d", "d3", "x²", "4x5", "éa"], [], []]
+    assert df.select(text.tokens(F.col("t"), 3)).first()[0] == ["4x5"]
 
 
 def test_band_pairs_equal_a_plain_range_join(spark):

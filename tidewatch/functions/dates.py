@@ -75,3 +75,10 @@ def signed_log(days: Column) -> Column:
 def quarter_window(day: Column, pad: int = 45) -> Column:
     start = F.trunc(day, "quarter")
     return F.struct(F.date_sub(start, pad).alias("start"), F.date_add(F.add_months(start, 3), pad).alias("end"))
+
+
+def next_run(at: Column, hour: int = 4, zone: str = "Asia/Seoul") -> Column:
+    """The first time strictly after ``at`` (a UTC timestamp) when it is ``hour`` o'clock in ``zone``, as UTC."""
+    local = F.from_utc_timestamp(at, zone)
+    today = F.date_trunc("day", local) + F.make_interval(hours=F.lit(hour))
+    return F.to_utc_timestamp(F.when(today > local, today).otherwise(today + F.make_interval(days=F.lit(1))), zone)

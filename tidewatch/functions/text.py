@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def tokens(text: Column, least: int = 2) -> Column:
-    """Runs of letters and digits in lower case, of ``least`` characters or more; numbers are left out."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    return F.filter(found, lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{N}+$"))
+    """Runs of letters and digits in lower case, of ``least`` (two at least) characters or more; numbers are left out."""
+    run = r"(?:\p{N}+\p{L}|\p{L}[\p{L}\p{N}])[\p{L}\p{N}]*"
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(run), 0)
+    return found if least <= 2 else F.filter(found, lambda w: F.length(w) >= least)
 
 
 def distinct_tokens(text: Column, least: int = 2) -> Column:
@@ -53,9 +54,12 @@ def window_around(text: Column, term: str, size: int = 100) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters."""
-    long = F.length(text) >= n
-    return F.when(long, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n characters; linear in the text's length, as characters are taken apart once."""
+    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), 0)
+    runs = chars
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(chars, k + 1, F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.array_compact(runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -80,6 +84,15 @@ def listed(text: Column) -> Column:
 
 
 def final_consonant(word: Column) -> Column:
-    """Whether the last letter, a Hangul syllable, ends with a consonant: which particle follows."""
-    code = F.ascii(F.substring(word, -1, 1))
-    return F.when(code.between(0xAC00, 0xD7A3), (code - 0xAC00) % 28 > 0)
+    """Whether a word is read with a consonant at its end: by its last Hangul syllable, digit or Latin letter; false without one.
+
+    Fixed values: the digits 0, 1, 3, 6, 7, 8 and the letters l, m, n, r end so when read aloud.
+    """
+    last = F.regexp_extract(F.coalesce(word, F.lit("")), r"([가-힣]|\p{Nd}|\p{L})[^가-힣\p{Nd}\p{L}]*$", 1)
+    code = F.ascii(last)
+    return F.when(code.between(0xAC00, 0xD7A3), (code - 0xAC00) % 28 > 0).otherwise(F.lower(last).isin(*"013678", *"lmnr"))
+
+
+def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:
+    """The word with the particle that fits its end."""
+    return F.concat(word, F.when(final_consonant(word), after_consonant).otherwise(after_vowel))

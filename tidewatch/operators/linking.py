@@ -21,15 +21,50 @@ def idf(df: Column, n: Column) -> Column:
     return F.when(n <= 1, 1.0).otherwise(F.log((n + 1) / (df + 1)) / F.log(n + 1))
 
 
-def term_weights(core: DataFrame, words: DataFrame, n_docs: DataFrame, top: int = 40) -> DataFrame:
-    """key, word, weight: share of the key's core documents with the word times idf, over the key's maximum; 0.05 at least, ``top`` for each key."""
-    df = document_frequency(words)
-    size = core.groupBy("key").agg(F.count_distinct("doc_id").alias("n_core"))
-    counted = core.join(words, "doc_id").groupBy("key", "word").agg(F.count_distinct("doc_id").alias("n"))
-    raw = counted.join(size, "key").join(df, "word").crossJoin(n_docs).select("key", "word", (F.col("n") / F.col("n_core") * idf(F.col("df"), F.col("n_docs"))).alias("raw"))
-    weight = F.floor(1000 * F.col("raw") / F.max("raw").over(Window.partitionBy("key")) + 0.5) / 1000
-    ranked = raw.withColumn("weight", weight).where("weight >= 0.05").withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "word")))
-    return ranked.where(F.col("rn") <= top).select("key", "word", "weight", "rn")
+#: A seed of at least this idf weighs at least ``SEED_FLOOR``, a generic word at most ``GENERIC_CAP``; less than ``LEAST_WEIGHT`` is left out.
+SEED_IDF, SEED_FLOOR, GENERIC_CAP, LEAST_WEIGHT = 0.45, 0.6, 0.05, 0.05
+
+
+def term_weights(counts: DataFrame, sizes: DataFrame, df: DataFrame, n_docs: DataFrame, seeds: DataFrame | None = None, generic: Column | None = None, top: int = 40) -> DataFrame:
+    """key, word, weight, rn: share of the key's core documents with the word times idf, over the key's largest such value of a word that isn't generic.
+
+    ``counts`` has key, word and n (core documents with the word), ``sizes`` key
+    and n_core, ``df`` word and df, ``n_docs`` one row. ``seeds`` (key, word) are
+    raised, also where no core document has them; ``generic`` is a condition on
+    word. ``top`` words for each key, ties by word. Only counts are shuffled:
+    texts are split before, once.
+    """
+    tf = counts.select("key", "word", "n", F.lit(False).alias("seed"))
+    if seeds is not None:
+        tf = tf.unionByName(seeds.select("key", "word", F.lit(0).cast("long").alias("n"), F.lit(True).alias("seed"))).groupBy("key", "word").agg(F.sum("n").alias("n"), F.bool_or("seed").alias("seed"))
+    common = F.lit(False) if generic is None else F.coalesce(generic, F.lit(False))
+    own = tf.join(sizes, "key").join(df, "word", "left").crossJoin(F.broadcast(n_docs)).withColumns({"idf": idf(F.coalesce("df", F.lit(0)), F.col("n_docs")), "common": common})
+    own = own.select("key", "word", "seed", "common", "idf", (F.col("n") / F.col("n_core") * F.col("idf")).alias("raw"))
+    best = own.where(~F.col("common")).groupBy("key").agg(F.max("raw").alias("best"))
+    w = F.least(F.lit(1.0), F.col("raw") / F.coalesce(F.nullif("best", F.lit(0.0)), F.lit(1.0)))
+    w = F.when(F.col("common"), F.least(w, F.lit(GENERIC_CAP))).when(F.col("seed") & (F.col("idf") >= SEED_IDF), F.greatest(w, F.lit(SEED_FLOOR))).otherwise(w)
+    kept = own.join(best, "key", "left").select("key", "word", w.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
+    kept = kept.select("key", "word", (F.floor(1000 * F.col("w") + 0.5) / 1000).alias("weight"))
+    return kept.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "word"))).where(F.col("rn") <= top)
+
+
+def sharing(items: DataFrame, docs: DataFrame, least: int, long: int, bonus: int = 0) -> DataFrame:
+    """item, doc, n, n_long: words that (item, words) and (doc, words) share and how many of them have ``long`` characters, where n + bonus * n_long >= least.
+
+    Not every common word is joined on: of an item's words the most frequent
+    ones are left out as long as they alone can't reach ``least``, so each pair
+    that does shares one of the rest. What is found is then counted in full.
+    """
+    df = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    worth = lambda w: F.when(F.length(w) >= long, 1 + bonus).otherwise(1)
+    often = Window.partitionBy("item").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = items.select("item", F.explode("words").alias("word")).join(df, "word").withColumn("reach", F.sum(worth(F.col("word"))).over(often))
+    index = own.where(F.col("reach") >= least).select("item", "word")
+    found = docs.select("doc", F.explode("words").alias("word")).join(index, "word").select("item", "doc").distinct()
+    both = F.array_intersect("i_words", "d_words")
+    pairs = found.join(docs.withColumnRenamed("words", "d_words"), "doc").join(items.withColumnRenamed("words", "i_words"), "item").select("item", "doc", both.alias("both"))
+    counted = pairs.select("item", "doc", F.size("both").alias("n"), F.size(F.filter("both", lambda w: F.length(w) >= long)).alias("n_long"))
+    return counted.where(F.col("n") + bonus * F.col("n_long") >= least)
 
 
 def overlap(weights: DataFrame, words: DataFrame) -> DataFrame:

@@ -162,18 +162,20 @@ def q_label_metrics(spark, d):
     return m.withColumns({"source": F.coalesce("source", F.lit("all")), "precision": share("said"), "recall": share("truth")})
 
 
-@query("""WITH g AS (SELECT doc_id, unnest(CASE WHEN length(t) >= 2 THEN list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) ELSE [] END) AS g FROM (SELECT doc_id, lower(split_part(text, '.', 1)) AS t FROM documents)),
-v AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 4) AS INTEGER) % 64 AS b, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT doc_id, sum(n * n) AS q FROM v GROUP BY doc_id),
-p AS (SELECT a.doc_id, sum(a.n * c.n) AS dot FROM v a JOIN v c ON c.doc_id = a.doc_id + 1 AND c.b = a.b GROUP BY a.doc_id)
-SELECT p.doc_id, round(dot / sqrt(x.q::DOUBLE * y.q::DOUBLE), 6) AS cosine FROM p JOIN z x ON x.doc_id = p.doc_id JOIN z y ON y.doc_id = p.doc_id + 1""")
+@query("""WITH g AS (SELECT item_id, part, unnest(CASE WHEN length(t) >= 2 THEN list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) ELSE [] END) AS g
+  FROM (SELECT item_id, 'text' AS part, lower(text) AS t FROM benchmark UNION ALL SELECT item_id, 'head', lower(left(text, length(text) // 2)) FROM benchmark)),
+v AS (SELECT item_id, part, CAST('0x' || substr(md5(g), 1, 4) AS INTEGER) % 64 AS b, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT item_id, part, sum(n * n) AS q FROM v GROUP BY ALL),
+p AS (SELECT a.item_id, sum(a.n * c.n) AS dot FROM v a JOIN v c ON c.item_id = a.item_id AND c.b = a.b AND c.part = 'head' WHERE a.part = 'text' GROUP BY 1)
+SELECT p.item_id, round(dot / sqrt(x.q::DOUBLE * y.q::DOUBLE), 6) AS cosine FROM p JOIN z x ON x.item_id = p.item_id AND x.part = 'text' JOIN z y ON y.item_id = p.item_id AND y.part = 'head'""")
 def q_hash_embed_cos(spark, d):
-    """Titles as 64 counts of hashed character bigrams; the cosine with the next identifier's title."""
-    t = F.col("t")
-    g = F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2))))
-    rows = documents(spark, d).select("doc_id", F.lower("title").alias("t")).select("doc_id", F.explode(g).alias("g"))
-    v = rows.groupBy("doc_id", (F.conv(F.substring(F.md5("g"), 1, 4), 16, 10).cast("int") % 64).alias("b")).agg(F.count("*").alias("n"))
-    size = v.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
-    after = v.select((F.col("doc_id") - 1).alias("doc_id"), "b", F.col("n").alias("m"))
-    dot = v.join(after, ["doc_id", "b"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    next_size = size.select((F.col("doc_id") - 1).alias("doc_id"), F.col("q").alias("r"))
-    return dot.join(size, "doc_id").join(next_size, "doc_id").select("doc_id", F.round(F.col("dot") / F.sqrt(F.col("q").cast("double") * F.col("r").cast("double")), 6).alias("cosine"))
+    """Texts as 64 counts of hashed character bigrams: the cosine of every item's text with its first half. Of long format, in one shuffle."""
+    t = F.lower("text")
+    half = F.substr(t, F.lit(1), F.floor(F.length(t) / 2).cast("int"))
+    pairs = lambda c: F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
+    both = F.inline(F.array(F.struct(F.lit("text").alias("part"), pairs(t).alias("g")), F.struct(F.lit("head").alias("part"), pairs(half).alias("g"))))
+    rows = table(spark, d, "benchmark").select("item_id", both).select("item_id", "part", F.explode("g").alias("g"))
+    bucket = F.conv(F.substring(F.md5("g"), 1, 4), 16, 10).cast("int") % 64
+    n = lambda p: F.count_if(F.col("part") == p).cast("double").alias(p)
+    v = rows.groupBy("item_id", bucket.alias("b")).agg(n("text"), n("head"))
+    sums = v.groupBy("item_id").agg(F.sum(F.col("text") * F.col("head")).alias("dot"), F.sum(F.col("text") * F.col("text")).alias("q"), F.sum(F.col("head") * F.col("head")).alias("r"))
+    return sums.where("r > 0").select("item_id", F.round(F.col("dot") / F.sqrt(F.col("q") * F.col("r")), 6).alias("cosine"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
 from tidewatch.operators import linking as L
-from tidewatch.sources.tables import CASES_SQL, DOCS_SQL, FEED_SQL, LINKS_SQL, PROMISES_SQL, cases, documents, feed, links, promises, table
+from tidewatch.sources.tables import CASES_SQL, DOCS_SQL, FEED_SQL, LINKS_SQL, PROMISES_SQL, cases, documents, feed, links, promises, shared_dir, table
 
 from .catalogue import query
 from .search import TOKENS_SQL
@@ -16,18 +16,22 @@ KEY = ["case_id", "part", "supp", "line"]
 #: The least similarity of a match. The reference has 0.8 for texts; between the table's vectors of a label hardly any is over 0.4.
 MATCH_AT = 0.3
 WORDS_SQL = f"words AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL.format('text')}) AS word FROM documents)"
+#: Stand-ins: a source's seeds are the words of its first document's title; words of up to three letters are generic.
 WEIGHTS_SQL = f"""{WORDS_SQL}, n AS (SELECT count(*) AS n_docs FROM documents), df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
-core AS (SELECT source AS key, doc_id FROM documents), sz AS (SELECT key, count(DISTINCT doc_id) AS n_core FROM core GROUP BY key),
-raw AS (SELECT c.key, w.word, count(DISTINCT c.doc_id) / max(n_core) * (ln((max(n_docs) + 1) / (max(df) + 1)) / ln(max(n_docs) + 1)) AS raw FROM core c JOIN words w ON c.doc_id = w.doc_id JOIN sz ON c.key = sz.key JOIN df ON w.word = df.word, n GROUP BY 1, 2),
-wt AS (SELECT key, word, floor(1000 * raw / max(raw) OVER (PARTITION BY key) + 0.5) / 1000 AS weight FROM raw),
-weights AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, word) AS rn FROM wt WHERE weight >= 0.05)"""
-
-
-def _checkpoints(spark) -> None:
+core AS (SELECT source AS key, doc_id FROM documents WHERE source IS NOT NULL), sz AS (SELECT key, count(*) AS n_core FROM core GROUP BY key),
+tf AS (SELECT c.key, w.word, count(*) AS n FROM core c JOIN words w ON c.doc_id = w.doc_id GROUP BY 1, 2),
+seeds AS (SELECT DISTINCT source AS key, unnest({TOKENS_SQL.format("split_part(text, '.', 1)")}) AS word FROM (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source)),
+raw AS (SELECT key, word, length(word) <= 3 AS generic, s.word IS NOT NULL AS seed, coalesce(n, 0) / n_core * (ln((n_docs + 1) / (coalesce(df, 0) + 1)) / ln(n_docs + 1)) AS raw, ln((n_docs + 1) / (coalesce(df, 0) + 1)) / ln(n_docs + 1) AS idf
+  FROM tf FULL JOIN seeds s USING (key, word) JOIN sz USING (key) LEFT JOIN df USING (word), n),
+best AS (SELECT key, max(raw) FILTER (NOT generic) AS best FROM raw GROUP BY key),
+share AS (SELECT raw.*, least(1.0, raw / coalesce(nullif(best, 0), 1)) AS s FROM raw JOIN best USING (key)),
+wt AS (SELECT key, word, CASE WHEN generic THEN least(s, 0.05) WHEN seed AND idf >= 0.45 THEN greatest(s, 0.6) ELSE s END AS w FROM share),
+weights AS (SELECT key, word, floor(1000 * w + 0.5) / 1000 AS weight, row_number() OVER (PARTITION BY key ORDER BY floor(1000 * w + 0.5) / 1000 DESC, word) AS rn FROM wt WHERE w >= 0.05)"""
+
+
+def checkpoints(spark) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def words(spark, d):
@@ -39,7 +43,14 @@ def n_docs(spark, d):
 
 
 def weights(spark, d):
-    return L.term_weights(table(spark, d, "documents").select(F.col("source").alias("key"), "doc_id"), words(spark, d), n_docs(spark, d))
+    """Word weights of the sources. Every document has one source, so the words' document frequencies are sums of the sources' counts."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("key"), "doc_id", "text")
+    counts = docs.select("key", F.explode(X.distinct_tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    sizes = docs.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n_core"))
+    df = counts.groupBy("word").agg(F.sum("n").alias("df"))
+    first = docs.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"))
+    seeds = first.select("key", F.explode(X.distinct_tokens(F.substring_index("text", ".", 1))).alias("word"))
+    return L.term_weights(counts, sizes, df, n_docs(spark, d), seeds, F.length("word") <= 3)
 
 
 @query(f"WITH {LINKS_SQL}, {CASES_SQL} SELECT l.case_id, l.part, l.supp, l.line, c.region FROM links l JOIN cases c ON l.case_id = c.case_id WHERE l.active")
@@ -147,16 +158,17 @@ GATE_SQL = f"""{WORDS_SQL}, iw AS (SELECT DISTINCT item_id, unnest({TOKENS_SQL.f
 o AS (SELECT item_id, doc_id, count(*) AS n, count(*) FILTER (length(iw.word) >= 7) AS n_long FROM iw JOIN words ON iw.word = words.word GROUP BY 1, 2)"""
 
 
-def overlaps(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.explode(X.distinct_tokens(F.col("text"))).alias("word"))
-    return items.join(words(spark, d), "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.count_if(F.length("word") >= 7).alias("n_long"))
+def overlaps(spark, d, least, bonus=0):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), X.distinct_tokens(F.col("text")).alias("words"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), X.distinct_tokens(F.col("text")).alias("words"))
+    return L.sharing(items, docs, least, 7, bonus).withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
 
 
 @query(f"WITH {GATE_SQL} SELECT item_id, doc_id, concat_ws('+', CASE WHEN n >= 8 THEN 'topic' END, CASE WHEN n_long >= 3 THEN 'specific' END, CASE WHEN n >= 15 THEN 'strong' END) AS reason FROM o WHERE n >= 8 AND n_long >= 1")
 def q_link_gate(spark, d):
     n, k = F.col("n"), F.col("n_long")
     reasons = F.array_compact(F.array(F.when(n >= 8, F.lit("topic")), F.when(k >= 3, F.lit("specific")), F.when(n >= 15, F.lit("strong"))))
-    return overlaps(spark, d).where("n >= 8 AND n_long >= 1").select("item_id", "doc_id", F.array_join(reasons, "+").alias("reason"))
+    return overlaps(spark, d, 8).where("n >= 8 AND n_long >= 1").select("item_id", "doc_id", F.array_join(reasons, "+").alias("reason"))
 
 
 PIPE_SQL = """p AS (SELECT item_id, doc_id, least(100, 4 * n) AS ov, least(100, 20 * n_long) AS sim FROM o WHERE n >= 4),
@@ -166,8 +178,11 @@ k AS (SELECT *, CASE WHEN NOT n_strong AND ov < 15 THEN 'drop' WHEN n_strong OR
 
 @query(f"WITH {GATE_SQL}, {PIPE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rn FROM k WHERE decision <> 'drop') SELECT item_id, doc_id, CAST(score AS INTEGER) AS score, CASE WHEN rn > 1 THEN 'review' ELSE decision END AS decision FROM r")
 def q_link_pipeline(spark, d):
-    """Gate, score, decide, and one case for each article: a single plan over all items."""
-    p = overlaps(spark, d).where("n >= 4").select("item_id", "doc_id", F.least(F.lit(100), 4 * F.col("n")).alias("ov"), F.least(F.lit(100), 20 * F.col("n_long")).alias("sim"))
+    """Gate, score, decide, and one case for each article: a single plan over all items.
+
+    A pair that isn't dropped has 15 shared words, or a score of 40 and so 4 n + 20 n_long >= 80; both mean n + 5 n_long >= 15.
+    """
+    p = overlaps(spark, d, 15, 5).where("n >= 4").select("item_id", "doc_id", F.least(F.lit(100), 4 * F.col("n")).alias("ov"), F.least(F.lit(100), 20 * F.col("n_long")).alias("sim"))
     p = p.withColumn("score", F.floor((F.col("ov") + F.col("sim")) / 2).cast("int"))
     kept = p.withColumn("decision", L.decide(F.col("score"), F.col("ov"), F.col("ov") >= 60, F.lit(False))).where("decision <> 'drop'")
     won = L.exclusive(kept, "doc_id", F.col("score"), ["item_id"])
@@ -310,7 +325,7 @@ def q_cosine_link(spark, d):
 @query(name="q_greedy_match")
 def q_greedy_match(spark, d):
     """Even against odd vectors of a label, one to one, at ``MATCH_AT`` or more."""
-    _checkpoints(spark)
+    checkpoints(spark)
     v = table(spark, d, "embeddings").withColumnRenamed("label", "key")
     even, odd = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 <> 0")
     return L.greedy_match(even.select("key", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), odd.select("key", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), MATCH_AT)
@@ -333,7 +348,7 @@ def q_near_dup(spark, d):
 SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id, event_type, g) AS component FROM g QUALIFY count(*) OVER (PARTITION BY user_id, event_type, g) > 1""")
 def q_components(spark, d):
     """Chains of one user's events of a type with at most half a day between neighbours, as components of their links."""
-    _checkpoints(spark)
+    checkpoints(spark)
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     after = feed(spark, d).select(F.col("event_id").alias("u"), F.lead("event_id").over(w).alias("v"), F.timestamp_diff("SECOND", F.col("ts"), F.lead("ts").over(w)).alias("gap"))
     return L.components(after.where("gap <= 43200").select("u", "v"))

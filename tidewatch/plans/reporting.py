@@ -248,31 +248,51 @@ def q_quarter_bucket(spark, d):
     return cases(spark, d).select("case_id", D.quarter_window(F.col("occurred")).alias("w"), F.date_format("occurred", "yyyy.MM.dd").alias("shown")).select("case_id", "w.start", "w.end", "shown")
 
 
-TEXTS = [("2024-03-05T10:00:00+09:00", "2024-03-05"), ("20240229", "2024-02-29"), ("2024.13.01", None), ("2024-06-31", "2024-06-30"), ("no date", None), ("", None)]
+#: Notations by the order's key modulo their number: (Spark's pattern of the day, what is expected of it in SQL). None of the SQL reads a text.
+PUBLISHED = [("yyyy-MM-dd'T'HH:mm:ss", "day"), ("yyyyMMdd", "day"), (" yyyy.MM.dd", "day"), ("yyyy/MM/dd", "day"), ("'on' yyyy-MM-dd", "NULL"), ("yyyy-MM-'32'", "NULL"), ("yyyy-'13'-dd", "NULL"), ("yyyy-MM-'31'", "last_day(day)")]
+DUE = [("'by' yyyy-MM-dd", "day"), ("yyyy년 M월 d일까지", "day"), ("yyyy년 M월까지", "last_day(day)"), ("yyyy년까지", "make_date(year(day), 12, 31)"), ("yyyy.M.d", "day"), ("M월 d일", "own"), ("M월 말", "last_day(own)"), ("'soon'", "NULL")]
+SOON = [("within %d days", "day + k"), ("%d개월 안에", "add_k"), ("in %d weeks", "day + 7 * k"), ("in %d years", "add_12k"), ("next year", "make_date(year(day) + 1, 12, 31)"), ("내달", "last_day(day + INTERVAL 1 MONTH)"), ("연내", "make_date(year(day), 12, 31)"), ("first half", "make_date(year(day), 6, 30)"), ("at once", "NULL")]
 
 
-@query("SELECT id, CAST(day AS DATE) AS day FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, (_, x) in enumerate(TEXTS)) + ") v(id, day)")
+def _case(notations) -> str:
+    return f"CASE o_orderkey % {len(notations)} " + " ".join(f"WHEN {k} THEN {x}" for k, (_, x) in enumerate(notations)) + " END"
+
+
+def _rendered(day, notations):
+    """The day in the notation of its order; Korean units are put as they are."""
+    quoted = [F.date_format(day, "".join(f"'{c}'" if "가" <= c <= "힣" else c for c in p).replace("''", "")) for p, _ in notations]
+    return F.element_at(F.array(*quoted), (F.col("o_orderkey") % len(notations) + 1).cast("int"))
+
+
+@query(f"SELECT o_orderkey, CAST({_case(PUBLISHED)} AS DATE) AS day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)")
 def q_parse_dates(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "id int, t string")
-    return rows.select("id", D.parse_published(F.col("t")).alias("day"))
+    """Every order's day written in eight notations and read back."""
+    return table(spark, d, "orders").select("o_orderkey", D.parse_published(_rendered(F.col("o_orderdate"), PUBLISHED)).alias("day"))
 
 
-DUE = [("by 2024-09-01", "2024-09-01"), ("2025년 3월까지", "2025-03-31"), ("2026년까지", "2026-12-31"), ("10월 5일까지", "2024-10-05"), ("11월 말", "2024-11-30"), ("2024-02-31 until", None), ("2050-01-01", None), ("1999년", None), ("soon", None)]
+DUE_SQL = "SELECT o_orderkey, published, published + CAST(CAST(round(o_totalprice) AS BIGINT) % 7000 - 500 AS INTEGER) AS day FROM (SELECT *, CAST(o_orderdate AS DATE) AS published FROM orders)"
 
 
-@query("SELECT id, CAST(day AS DATE) AS day FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, (_, x) in enumerate(DUE)) + ") v(id, day)")
+@query(f"WITH t AS ({DUE_SQL}), o AS (SELECT *, CAST(make_date(year(published), month(day), 1) + INTERVAL (least(day(day), day(last_day(make_date(year(published), month(day), 1)))) - 1) DAY AS DATE) AS own FROM t), x AS (SELECT o_orderkey, published, CAST({_case(DUE)} AS DATE) AS day FROM o) SELECT o_orderkey, CASE WHEN day >= published AND day <= published + INTERVAL 180 MONTH AND year(day) >= 2000 THEN day END AS day FROM x")
 def q_deadline_parse(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(DUE)], "id int, t string")
-    return rows.select("id", D.parse_deadline(F.col("t"), F.lit("2024-06-30").cast("date")).alias("day"))
+    """A day before or up to 18 years after every order, in eight notations."""
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("published"), F.round("o_totalprice").cast("long").alias("price"))
+    due = o.withColumn("day", F.date_add("published", (F.col("price") % 7000 - 500).cast("int")))
+    return due.select("o_orderkey", D.parse_deadline(_rendered(F.col("day"), DUE), F.col("published")).alias("day"))
 
 
-SOON = [("within 10 days", "2024-07-10"), ("3개월 안에", "2024-09-30"), ("next year", "2025-12-31"), ("내달", "2024-07-31"), ("연내", "2024-12-31"), ("in 2 weeks", "2024-07-14"), ("first half", "2024-06-30"), ("at once", None)]
+@query(f"WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey % 30 + 1 AS INTEGER) AS k FROM orders), a AS (SELECT *, CAST(day + to_months(k) AS DATE) AS add_k, CAST(day + to_months(12 * k) AS DATE) AS add_12k FROM t) SELECT o_orderkey, CAST({_case(SOON)} AS DATE) AS day FROM a")
+def q_relative_deadline(spark, d):
+    """A relative deadline of every order, in nine notations."""
+    k = (F.col("o_custkey") % 30 + 1).cast("int")
+    said = F.element_at(F.array(*(F.format_string(p, k) if "%d" in p else F.lit(p) for p, _ in SOON)), (F.col("o_orderkey") % len(SOON) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", D.relative_deadline(said, F.to_date("o_orderdate")).alias("day"))
 
 
-@query("SELECT id, CAST(day AS DATE) AS day FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, (_, x) in enumerate(SOON)) + ") v(id, day)")
-def q_relative_deadline(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SOON)], "id int, t string")
-    return rows.select("id", D.relative_deadline(F.col("t"), F.lit("2024-06-30").cast("date")).alias("day"))
+@query("SELECT event_id, date_trunc('day', ts - INTERVAL 19 HOUR) + INTERVAL 43 HOUR AS next_run FROM events")
+def q_next_run(spark, d):
+    """The next 4 o'clock in Seoul (19 o'clock UTC) after every event."""
+    return table(spark, d, "events").select("event_id", D.next_run(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("next_run"))
 
 
 GOLD = "gold AS (SELECT l.doc_id, quality = 1 AS truth, toxic = 0 AS system, n_chars, source FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"

@@ -193,11 +193,14 @@ def q_action_clause(spark, d):
     return rows.groupBy("conv_id", "turn").agg(F.max_by("c", F.struct(F.length("c"), "c")).alias("clause"))
 
 
-@query(r"WITH p AS (SELECT doc_id, source, lower(split_part(text, '.', 1)) AS t FROM documents), g AS (SELECT doc_id, source, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM p) SELECT a.doc_id, CAST(len(list_intersect(a.g, b.g)) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(a.g, b.g))) AS INTEGER) AS either FROM g a JOIN g b ON a.source = b.source AND b.doc_id = a.doc_id + 20")
+BIGRAMS_SQL = "CASE WHEN length({0}) >= 2 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) ELSE [] END"
+
+
+@query(f"WITH p AS (SELECT doc_id, lower(split_part(text, '.', 1)) AS t, lower(text) AS x FROM documents), g AS (SELECT doc_id, {BIGRAMS_SQL.format('t')} AS a, {BIGRAMS_SQL.format('x')} AS b FROM p) SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS either FROM g")
 def q_bigram_jaccard(spark, d):
-    g = documents(spark, d).select("doc_id", "source", X.grams(F.lower("title"), 2).alias("g"))
-    other = g.select((F.col("doc_id") - 20).alias("doc_id"), "source", F.col("g").alias("h"))
-    return g.join(other, ["doc_id", "source"]).select("doc_id", F.size(F.array_intersect("g", "h")).alias("both"), F.size(F.array_union("g", "h")).alias("either"))
+    """How much of a document's character pairs its title has: both sets of every document, whole texts."""
+    g = documents(spark, d).select("doc_id", X.grams(F.lower("title"), 2).alias("a"), X.grams(F.lower("text"), 2).alias("b"))
+    return g.select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
 
 
 @query(r"SELECT doc_id, max(CASE WHEN length(n) <= 9 AND CAST(n AS BIGINT) BETWEEN 1 AND 4999 THEN CAST(n AS INTEGER) END) AS largest FROM (SELECT doc_id, unnest(CASE WHEN regexp_matches(text, '\d') THEN list_transform(regexp_extract_all(text, '\d+'), lambda n: CASE WHEN length(n) <= 9 THEN n ELSE '0' END) ELSE ['0'] END) AS n FROM documents) GROUP BY doc_id")
@@ -210,10 +213,21 @@ def q_number_guard(spark, d):
     return table(spark, d, "pages").select("page_id", (X.sorted_numbers(F.col("url")) == X.sorted_numbers(F.col("html"))).alias("kept"))
 
 
-@query("SELECT id, array_to_string(items, '/') AS items FROM (VALUES (0, ['a>b', 'c']), (1, ['2,9,34']), (2, ['x', 'y', 'z']), (3, ['one'])) v(id, items)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) ELSE p_name || '/' || p_type || '/' || p_brand END AS items, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 3 END AS n FROM part")
 def q_list_split(spark, d):
-    rows = spark.createDataFrame([(0, "a>b|c"), (1, "2,9,34"), (2, "x,y,z"), (3, "one")], "id int, s string")
-    return rows.select("id", F.array_join(X.listed(F.col("s")), "/").alias("items"))
+    """Lists of names written with | or , and lists of codes, of every part."""
+    c, kind = F.col, F.col("p_partkey") % 3
+    written = F.when(kind == 0, F.concat_ws(",", c("p_partkey").cast("string"), c("p_size").cast("string"))).when(kind == 1, F.concat_ws("|", "p_name", "p_type", "p_brand")).otherwise(F.concat_ws(",", "p_name", "p_type", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", X.listed(written).alias("l")).select("p_partkey", F.array_join("l", "/").alias("items"), F.size("l").alias("n"))
+
+
+@query("""WITH w AS (SELECT c_custkey, c_name || CASE c_custkey % 4 WHEN 0 THEN ' ' || c_mktsegment WHEN 1 THEN '시' WHEN 2 THEN '군)' ELSE '' END AS w FROM customer), e AS (SELECT *, regexp_replace(w, '[^가-힣0-9A-Za-z]', '', 'g') AS t FROM w)
+SELECT c_custkey, w || CASE WHEN right(t, 1) IN ('군', '0', '1', '3', '6', '7', '8', 'l', 'm', 'n', 'r', 'L', 'M', 'N', 'R') THEN '은' ELSE '는' END AS said FROM e""")
+def q_particle(spark, d):
+    """Names that end with digits, Latin letters or Hangul, with the particle that fits."""
+    kind = F.col("c_custkey") % 4
+    tail = F.when(kind == 0, F.concat(F.lit(" "), "c_mktsegment")).when(kind == 1, "시").when(kind == 2, "군)").otherwise("")
+    return table(spark, d, "customer").select("c_custkey", X.particle(F.concat("c_name", tail), "은", "는").alias("said"))
 
 
 @query("SELECT doc_id, a || '-' || b AS parts, CAST(doc_id % 24 AS INTEGER) AS hour FROM (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS a, split_part(source, 'c', 2) AS b FROM documents)")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tables import shared_dir
+
 
 def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared one; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def read_feed(spark: SparkSession, path: str, per_batch: int = 4) -> DataFrame:
