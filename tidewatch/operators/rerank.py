@@ -58,7 +58,7 @@ def pair_features(rules: Mapping[str, str], specific: str) -> dict[str, Column]:
     vows = F.filter(F.array_distinct(F.coalesce("promise_terms", F.array().cast("array<string>"))), lambda t: F.length(t) >= 2)
 
     def reason(name: str) -> Column:
-        own = F.element_at(F.filter(reasons, lambda r: (r == name) | r.startswith(name + "=")), 1)
+        own = F.get(F.filter(reasons, lambda r: (r == name) | r.startswith(name + "=")), 0)
         return F.when(own.isNull(), 0.0).otherwise(F.coalesce(F.substring_index(own, "=", -1).try_cast("double"), F.lit(1.0)))
 
     out = {name: c(name) for name in ("cos", "overlap", "strong", "other_hit")}
@@ -106,13 +106,16 @@ def probability(models: list, rows: DataFrame) -> DataFrame:
 
 
 def cross_fit(rows: DataFrame, key: str, features: list[str], folds: int = 5, kind: str = "avg", **options) -> DataFrame:
-    """``rows`` with fold and p, by a model that was fitted to the rows of other folds; all rows of a key are in one fold. Rows without a label are scored, not learnt from."""
+    """``rows`` with fold and p, by a model that was fitted to the rows of other folds; all rows of a key are in one fold. Rows without a label are scored, not learnt from; p is null where the other folds don't have both labels."""
     rows = rows.withColumn("fold", F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds)).cast("int"))
     labelled = rows.where("label IS NOT NULL")
     out = None
     for f in range(folds):
-        models = [p.fit(labelled.where(F.col("fold") != f)) for p in classifier(features, kind, **options)]
-        scored = probability(models, rows.where(F.col("fold") == f))
+        own, rest = rows.where(F.col("fold") == f), labelled.where(F.col("fold") != f)
+        if rest.select("label").distinct().count() < 2:
+            scored = own.withColumn("p", F.lit(None).cast("double"))
+        else:
+            scored = probability([p.fit(rest) for p in classifier(features, kind, **options)], own)
         out = scored if out is None else out.unionAll(scored)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
 from tidewatch.operators import rerank as R
-from tidewatch.sources.tables import documents, table
+from tidewatch.sources.tables import table, title
 
 from .catalogue import query
 from .linking import WEIGHTS_SQL, checkpoints, weights
@@ -48,14 +48,15 @@ FEATURE_SQL = {
 
 def pairs(spark, d):
     """Every document with its source, as article and case; the columns that ``rerank.pair_features`` takes."""
-    w = weights(spark, d)
+    checkpoints(spark)
+    w = weights(spark, d).checkpoint()  # at most forty rows for each source
     of = lambda cond: F.collect_list(F.when(cond, F.col("word")))
     case = w.groupBy(F.col("key").alias("source")).agg(
         F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"), of(F.col("weight") >= 0.6).alias("unique"), of(F.col("rn") <= 3).alias("facility_terms"), of(F.col("rn").between(4, 8)).alias("promise_terms"), F.count("*").alias("n_candidates"))
     c, n = F.col, F.col("n_chars")
     names = lambda *xs: F.array(*(F.lit(x) for x in xs))
     reasons = F.array_compact(F.array(F.when(c("lang") == "en", "region"), F.when(c("text").contains("mente"), "facility"), F.concat(F.lit("kw="), (n % 5).cast("string")), F.when(n % 3 == 0, "cap-recur"), F.when(n % 4 == 0, "cap-place:x")))
-    docs = documents(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(case, "source")
+    docs = table(spark, d, "documents").withColumn("title", title()).join(case, "source")
     days = n - 500
     return docs.select(
         "doc_id", "source", "lang", "title", F.split_part("text", F.lit("."), F.lit(2)).alias("head"), F.array("lang", "source").alias("keywords"), "text", "weights", "unique", "facility_terms", "promise_terms", "n_candidates",
@@ -70,10 +71,10 @@ def q_link_features(spark, d):
 
 
 def cross_fitted(spark, d):
-    """Scores of every pair by models that saw no document of its group (a hundred identifiers); the label is a document's quality."""
+    """Scores of every pair by models that saw no document of its group (ten identifiers); the label is a document's quality."""
     features = R.pair_features(RULES, SPECIFIC)
     label = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).cast("double").alias("label"))
-    rows = pairs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 100).alias("group"), X.tokens(F.col("title")).alias("title_words"), F.transform(X.tokens(F.col("head")), lambda w: F.concat(F.lit("h:"), w)).alias("head_words"), *(x.alias(k) for k, x in features.items()))
+    rows = pairs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 10).alias("group"), X.tokens(F.col("title")).alias("title_words"), F.transform(X.tokens(F.col("head")), lambda w: F.concat(F.lit("h:"), w)).alias("head_words"), *(x.alias(k) for k, x in features.items()))
     rows = rows.join(label, "doc_id", "left").checkpoint()
     return R.cross_fit(rows, "group", list(features), folds=3, kind="avg", rounds=5)
 
