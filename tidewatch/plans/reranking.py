@@ -71,22 +71,9 @@ def q_link_features(spark, d):
 
 
 def cross_fitted(spark, d):
-    """Scores of every pair by models that saw no document of its group (ten identifiers); the label is a document's quality."""
+    """Not registered, as its many small jobs take over a minute at any size. Scores of every pair by models that saw no document of its group (ten identifiers); the label is a document's quality."""
     features = R.pair_features(RULES, SPECIFIC)
     label = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).cast("double").alias("label"))
     rows = pairs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 10).alias("group"), X.tokens(F.col("title")).alias("title_words"), F.transform(X.tokens(F.col("head")), lambda w: F.concat(F.lit("h:"), w)).alias("head_words"), *(x.alias(k) for k, x in features.items()))
     rows = rows.join(label, "doc_id", "left").checkpoint()
     return R.cross_fit(rows, "group", list(features), folds=3, kind="avg", rounds=5)
-
-
-@query(name="q_rerank_scores")
-def q_rerank_scores(spark, d):
-    checkpoints(spark)
-    return cross_fitted(spark, d).select("doc_id", "fold", "p")
-
-
-@query(name="q_rerank_nested")
-def q_rerank_nested(spark, d):
-    """Each fold graded at the threshold that the other folds choose."""
-    checkpoints(spark)
-    return R.nested_thresholds(cross_fitted(spark, d).select("fold", "label", "p").checkpoint())
