@@ -46,6 +46,8 @@ def weights(spark, d):
     """Word weights of the sources. Every document has one source, so the words' document frequencies are sums of the sources' counts."""
     docs = table(spark, d, "documents").select(F.col("source").alias("key"), "doc_id", "text")
     counts = docs.select("key", F.explode(X.distinct_tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    checkpoints(spark)
+    counts = counts.checkpoint()  # texts are split once; all that follows reads the counts
     sizes = docs.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n_core"))
     df = counts.groupBy("word").agg(F.sum("n").alias("df"))
     first = docs.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"))
