@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chosenpath, compaction, curriculum, langid, latent, pseudonyms, sstable, tokencount, topk, toxicity
+from . import chat, chosenpath, compaction, curriculum, langid, latent, pseudonyms, sstable, tokencount, topk, toxicity, whitening
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
     "op9_grammar_round_trip": chat.op9_grammar_round_trip,
     "op10_feistel_pseudonyms": pseudonyms.op10_feistel_pseudonyms,
+    "op12_lobpcg_whitening": whitening.op12_lobpcg_whitening,
     "op13_rank_synchronous_counts": tokencount.op13_rank_synchronous_counts,
 }
 
