@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chosenpath, compaction, curriculum, langid, latent, pseudonyms, sstable, tokencount, topk, toxicity, whitening
+from . import chat, chosenpath, compaction, curriculum, langid, latent, prefixtrie, pseudonyms, sstable, tokencount, topk, toxicity, whitening
 
 QUERIES = {
     "op1_sstable_tokens": sstable.op1_sstable_tokens,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_uniform_threshold_topk": topk.op8_uniform_threshold_topk,
     "op9_grammar_round_trip": chat.op9_grammar_round_trip,
     "op10_feistel_pseudonyms": pseudonyms.op10_feistel_pseudonyms,
+    "op11_prefix_trie": prefixtrie.op11_prefix_trie,
     "op12_lobpcg_whitening": whitening.op12_lobpcg_whitening,
     "op13_rank_synchronous_counts": tokencount.op13_rank_synchronous_counts,
 }
 
-ORACLES: dict[str, str] = {"op4_size_tiered_compaction": compaction.OP4_SQL, "op7_curriculum_mix": curriculum.OP7_SQL, "op8_uniform_threshold_topk": topk.OP8_SQL, "op9_grammar_round_trip": chat.OP9_SQL}
+ORACLES: dict[str, str] = {"op4_size_tiered_compaction": compaction.OP4_SQL, "op7_curriculum_mix": curriculum.OP7_SQL, "op8_uniform_threshold_topk": topk.OP8_SQL, "op9_grammar_round_trip": chat.OP9_SQL, "op11_prefix_trie": prefixtrie.OP11_SQL}
