@@ -4,10 +4,11 @@ A score is an inner product, a sum of one partial score for each slice of the
 dimensions. Candidates are dealt to blocks, queries to groups of about
 ``GROUP_BYTES``; a task holds one group and streams blocks past it:
 
-1. One block in ``LOOK`` lists, for every query and slice, its best partial
-   scores, and sums those candidates up in full. The k-th best of the gathered
-   lists is a safe cutoff: k candidates reach it. (Fewer candidates make a lower
-   cutoff, never a wrong one; without k of them all entries are collected.)
+1. The first of a length's blocks and every ``look``-th one list, for every
+   query and slice, their best partial scores, and sum those candidates up in
+   full. The k-th best of the gathered lists is a safe cutoff: k candidates
+   reach it. (Fewer candidates make a lower cutoff, never a wrong one; only a
+   query with less than k candidates in these blocks collects all its entries.)
 2. The cutoff goes to every block. Above the slices' least partial scores a
    total can reach the cutoff only if some slice has its uniform share of it,
    so every entry from that share on is collected and no other is needed.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, small_batches, table
 
-SLICES, BLOCK, LOOK, GROUP_BYTES = 2, 1024, 8, 4 << 20
+#: Slices of the dimensions; queries scored at once; one block in ``LOOK`` is looked at first; bytes of a block and of a group of queries.
+SLICES, ROWS, LOOK, BLOCK_BYTES, GROUP_BYTES = 2, 1024, 8, 512 << 10, 4 << 20
 
 
 def _matmul(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def _block(column: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Phase 1: the k best totals that each task's blocks show for each query."""
-    best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    best: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
     low = np.iinfo(np.int64).min
 
     def out() -> pa.RecordBatch:
@@ -71,20 +73,20 @@ def local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(tops[real])], names=["query_id", "score"])
 
     for batch in batches:
-        for row, qb in enumerate(batch.column("qb").to_pylist()):
+        for row, (dim, qb) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("qb").to_pylist(), strict=True)):
             (q_ids, q), (c_ids, c) = _block(batch.column("q"), row), _block(batch.column("c"), row)
             n = min(k + 1, len(c_ids))  # one more: the query itself may be among them
-            for a in range(0, len(q_ids), BLOCK):
-                w = slice(a, a + BLOCK)
+            for a in range(0, len(q_ids), ROWS):
+                w, key = slice(a, a + ROWS), (dim, qb, a)
                 parts = _parts(q[w], c)
                 total, own = sum(parts), q_ids[w, None] == c_ids[None, :]
                 seen = np.concatenate([np.argpartition(p, len(c_ids) - n, axis=1)[:, len(c_ids) - n :] for p in parts], axis=1)
                 seen.sort(axis=1)
                 got = np.take_along_axis(np.where(own, low, total), seen, 1)
                 got[:, 1:][seen[:, 1:] == seen[:, :-1]] = low  # in more than one slice's list
-                before = best[qb, a][1] if (qb, a) in best else np.full((len(own), k), low)
+                before = best[key][1] if key in best else np.full((len(own), k), low)
                 merged = np.concatenate([before, got], axis=1)
-                best[qb, a] = q_ids[w], np.partition(merged, merged.shape[1] - k, axis=1)[:, merged.shape[1] - k :]
+                best[key] = q_ids[w], np.partition(merged, merged.shape[1] - k, axis=1)[:, merged.shape[1] - k :]
                 if len(best) > 64:
                     yield out()
                     best.clear()
@@ -98,8 +100,8 @@ def collect_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             (q_ids, q), (c_ids, c) = _block(batch.column("q"), row), _block(batch.column("c"), row)
             cuts = batch.column("cuts")[row].values
             at = dict(zip(cuts.field("query_id").to_pylist(), cuts.field("cutoff").to_pylist(), strict=True))
-            for first in range(0, len(q_ids), BLOCK):
-                yield from _entries(q_ids[first : first + BLOCK], q[first : first + BLOCK], c_ids, c, at)
+            for first in range(0, len(q_ids), ROWS):
+                yield from _entries(q_ids[first : first + ROWS], q[first : first + ROWS], c_ids, c, at)
 
 
 def _entries(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, at: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +122,8 @@ def _entries(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[w]]), pa.array(c_ids[b[w]]), pa.array(scores[w])], names=["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of integer vectors for every query row."""
+def reaching(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", vector_col: str = "v", look: int = LOOK, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """query_id, vec_id, score: every entry that reaches its query's cutoff, the k highest inner products among them."""
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("asks"))
@@ -136,8 +138,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
         b = df.join(size, "dim").withColumn(key, F.pmod(F.xxhash64("vec_id", "v"), F.col("g")))
         return b.groupBy("dim", key).agg(F.collect_list(F.struct("vec_id", "v")).alias(column))
 
-    asked = materialize(blocks(rows.where("asks"), "qb", "q", GROUP_BYTES), "topk-queries")
-    held = materialize(blocks(rows, "cb", "c", BLOCK * 512), "topk-candidates")
+    asked = materialize(blocks(rows.where("asks"), "qb", "q", group_bytes), "topk-queries")
+    held = materialize(blocks(rows, "cb", "c", block_bytes), "topk-candidates")
     # the stated query set against all rows: a cell of the grid has one group of queries and every lanes-th block
     groups = asked.groupBy("dim").agg(F.sort_array(F.collect_list("qb")).alias("qbs"))
     lanes = max(1, -(-n // max(1, asked.count())))
@@ -149,8 +151,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
         cells = some.join(groups, "dim").select("dim", "cb", "c", lane, F.explode("qbs").alias("qb"))
         return cells.join(with_them.select("*", every).hint("shuffle_hash"), ["dim", "qb", "lane"])
 
-    pairs = met(held.where(F.pmod(F.xxhash64("cb", F.lit(1)), F.lit(LOOK)) == 0), asked)
-    scores = pairs.select("qb", "q", "c").mapInArrow(lambda it: local_lists(it, k), "query_id long, score long")
+    first = held.groupBy("dim").agg(F.min("cb").alias("first"))  # a hash may leave any block empty
+    looked = held.join(first, "dim").where((F.col("cb") - F.col("first")) % look == 0).drop("first")
+    scores = met(looked, asked).select("dim", "qb", "q", "c").mapInArrow(lambda it: local_lists(it, k), "query_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoffs = scores.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     cutoffs = cutoffs.where(F.col("n") == k).select("query_id", "cutoff")  # with fewer candidates than k all are wanted
@@ -158,7 +161,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id
     # a cutoff is a row for each query, dealt by the query's block
     cuts = asked_ids.join(cutoffs, "query_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-(2**63)))).groupBy("dim", "qb").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cuts"))
     cuts = materialize(cuts, "topk-cutoffs")
-    entries = met(held, asked.join(cuts, ["dim", "qb"])).select("q", "c", "cuts").mapInArrow(collect_entries, "query_id long, vec_id long, score long")
+    return met(held, asked.join(cuts, ["dim", "qb"])).select("q", "c", "cuts").mapInArrow(collect_entries, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest inner products of integer vectors for every query row; options as of ``reaching``."""
+    entries = reaching(vectors, is_query, k, **options)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
