@@ -48,22 +48,22 @@ def term_weights(counts: DataFrame, sizes: DataFrame, df: DataFrame, n_docs: Dat
     return kept.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "word"))).where(F.col("rn") <= top)
 
 
+#: Words of all items up to which they are broadcast (some 60 bytes each); beyond it they are joined by a shuffle.
+MOST_ITEM_WORDS = 500_000
+
+
 def sharing(items: DataFrame, docs: DataFrame, least: int, long: int, bonus: int = 0) -> DataFrame:
     """item, doc, n, n_long: words that (item, words) and (doc, words) share and how many of them have ``long`` characters, where n + bonus * n_long >= least.
 
-    Not every common word is joined on: of an item's words the most frequent
-    ones are left out as long as they alone can't reach ``least``, so each pair
-    that does shares one of the rest. What is found is then counted in full.
+    Documents are split once. The items' side is word -> its items, so a
+    document's words meet it inside the task that split them, and what is
+    shuffled are counts of (item, doc), already added up for each task.
     """
-    df = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    worth = lambda w: F.when(F.length(w) >= long, 1 + bonus).otherwise(1)
-    often = Window.partitionBy("item").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = items.select("item", F.explode("words").alias("word")).join(df, "word").withColumn("reach", F.sum(worth(F.col("word"))).over(often))
-    index = own.where(F.col("reach") >= least).select("item", "word")
-    found = docs.select("doc", F.explode("words").alias("word")).join(index, "word").select("item", "doc").distinct()
-    both = F.array_intersect("i_words", "d_words")
-    pairs = found.join(docs.withColumnRenamed("words", "d_words"), "doc").join(items.withColumnRenamed("words", "i_words"), "item").select("item", "doc", both.alias("both"))
-    counted = pairs.select("item", "doc", F.size("both").alias("n"), F.size(F.filter("both", lambda w: F.length(w) >= long)).alias("n_long"))
+    own = items.select("item", F.explode("words").alias("word"))
+    n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    index = F.broadcast(own) if n_words <= MOST_ITEM_WORDS else own
+    met = docs.select("doc", F.explode("words").alias("word")).join(index, "word")
+    counted = met.groupBy("item", "doc").agg(F.count("*").alias("n"), F.count_if(F.length("word") >= long).alias("n_long"))
     return counted.where(F.col("n") + bonus * F.col("n_long") >= least)
 
 
