@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("extracting", "files", "judging", "linking", "reporting", "reranking", "search")
+MODULES: tuple[str, ...] = ("extracting", "files", "judging", "linking", "rejudging", "reporting", "reranking", "search")
 
 
 def load() -> None:

@@ -68,9 +68,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def promises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A promise for each link of line 1: its deadline, strength and action come from the part."""
-    first = links(spark, sf_dir).where("line = 1")
+def promises(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """A promise for each link of line 1 (of the links ``of``, if given): its deadline, strength and action come from the part."""
+    first = (links(spark, sf_dir) if of is None else of).where("line = 1")
     p, c = table(spark, sf_dir, "part"), case_days(spark, sf_dir)
     joined = first.join(p, first.part == p.p_partkey).join(c, "case_id")
     return joined.select(
