@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewatch.sources import files as S
+from tidewatch.sources.recordings import Recordings, check_of
 from tidewatch.sources.tables import CASES_SQL, cases, shared_dir, table
 
 from .catalogue import query
@@ -60,3 +61,22 @@ def q_seed_check(spark, d):
     path = _folder(spark, "seeds")
     S.write_json(table(spark, d, "customer").select(seed.alias("s")).select("s.*"), path)
     return S.read_seeds(spark, path).select(F.col("summary").cast("long").alias("c_custkey"), "key", "problem")
+
+
+@query("""WITH r AS (SELECT event_type AS endpoint, '{"day":"' || CAST(CAST(ts AS DATE) AS VARCHAR) || '","user":"' || CAST(user_id AS VARCHAR) || '"}' AS argument, event_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL),
+k AS (SELECT substr(sha1(endpoint || chr(10) || argument), 1, 16) AS key, endpoint, argument, bool_or(event_id % 2 = 0) AS recorded FROM r GROUP BY endpoint, argument)
+SELECT key, endpoint, CASE WHEN NOT recorded THEN 'miss' WHEN left(key, 1) IN ('0', '1') THEN 'damaged' ELSE 'hit' END AS before, '{"said":"' || md5(argument) || '"}' AS answer, true AS good FROM k""")
+def q_record_replay(spark, d):
+    """Requests of all events: half of them are recorded, some recordings damaged, then all replayed; each one's state before and answer after."""
+    e = table(spark, d, "events").where("ts IS NOT NULL AND user_id IS NOT NULL")
+    asked = e.select("event_id", F.col("event_type").alias("endpoint"), F.create_map(F.lit("day"), F.to_date("ts").cast("string"), F.lit("user"), F.col("user_id").cast("string")).alias("argument"))
+    answered = lambda df: df.withColumn("answer", F.to_json(F.struct(F.md5("argument").alias("said"))))
+    store = Recordings(spark, _folder(spark, "recordings"))
+    half = answered(store.requests(asked.where("event_id % 2 = 0"))).withColumn("check", check_of())
+    store.add(half.withColumn("answer", F.when(F.left("key", F.lit(1)).isin("0", "1"), F.expr("left(answer, 12)")).otherwise(F.col("answer"))))
+    requests = store.requests(asked)
+    before = store.state(requests).select("key", "endpoint", F.col("state").alias("before"))
+    path = _folder(spark, "states")
+    before.write.parquet(path)  # of the store as it was
+    after = store.replay(requests, answered).select("key", "answer")
+    return spark.read.parquet(path).join(after, "key").select("key", "endpoint", "before", "answer", F.col("answer").isNotNull().alias("good"))
