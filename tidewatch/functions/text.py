@@ -62,6 +62,18 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.array_compact(runs))
 
 
+def bigrams(text: Column) -> Column:
+    """All runs of two characters, repeated ones too, in lower case."""
+    chars = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)."), 0)
+    return F.array_compact(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)))
+
+
+def hash_counts(text: Column, cells: int = 64) -> Column:
+    """A text as counts of its character pairs in ``cells`` cells, by four hexadecimal digits of their MD5; zeros for a text of one character or none."""
+    at = F.transform(bigrams(text), lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % cells)
+    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
