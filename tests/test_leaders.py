@@ -69,11 +69,13 @@ def test_titles_in_blocks_equal_difflib(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, source string, title string, day int")
     want = fold([(i, s, t) for i, s, t, _ in sorted(rows, key=lambda x: x[3])])
     monkeypatch.setattr(L, "BLOCK", 25)
+    monkeypatch.setattr(L, "SMALL", 40)
     got = L.kept_titles(df, ["source"], ["day"]).collect()
     assert {x.id: x.leader for x in got} == want and {x.id for x in got if x.kept} == {i for i, k in want.items() if i == k}
 
 
-def test_promises_equal_a_fold(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1, 8, 64])
+def test_promises_equal_a_fold(spark, monkeypatch, small):
     r = random.Random(9)
     words = ["build", "repair", "inspect", "the", "dam", "dams", "bridge", "quickly", "soon"]
     rows = []
@@ -101,6 +103,7 @@ def test_promises_equal_a_fold(spark, monkeypatch):
         elif p[8] != hit[8]:
             merged[hit[0]].add(p[8])
     monkeypatch.setattr(L, "BLOCK", 16)
+    monkeypatch.setattr(L, "SMALL", small)
     led = L.merge_same_promises(df).checkpoint()
     assert {x.id: x.leader for x in led.collect()} == want
     assert {x.id: set(x.merged) for x in L.with_evidence(df, led).collect()} == merged

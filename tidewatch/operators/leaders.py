@@ -10,11 +10,15 @@ as many as the longest chain of matches that alternates, a few in practice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import difflib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side that are compared at once in a task.
-BLOCK = 2048
+#: Rows of a side that are compared at once in a task; rows of a key up to which they are joined with each other instead.
+BLOCK, SMALL = 2048, 64
 
 
 def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,8 +34,11 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # only rows with a match have anything to decide
     shared = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
     open_ = nodes.join(ids(edges, "early").union(ids(edges, "late")).distinct(), "id", "left_semi").unionByName(nodes.join(shared, "grp", "left_semi").select("id", "ord", "grp")).distinct().checkpoint()
-    left, dropped = edges, None
-    while not open_.isEmpty():
+    left, dropped, before = edges, None, -1
+    while n := open_.count():
+        if n == before:
+            raise ValueError("ids are not unique, or an edge leads from a later row to an earlier one")
+        before = n
         first = open_.where("grp IS NOT NULL").groupBy("grp").agg(F.min("ord").alias("first"))
         behind = open_.join(first, "grp").where("ord > first")
         free = open_.join(ids(left, "late").union(behind.select("id")).distinct(), "id", "left_anti").checkpoint()
@@ -51,12 +58,23 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.select("id", F.col("id").alias("leader")).unionByName(to)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of a ``key`` dealt to blocks of about ``BLOCK``, once for each two blocks: lo, hi, and i, the row's own. No key is ever whole in one task."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    rows = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    return rows.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("g", "j")
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, ord and more) of keys with several rows, in two ways: pairs (columns with _a for the earlier row, _b for the later one) of small keys, and blocks of large ones.
+
+    Keys of up to ``SMALL`` rows are joined with themselves. A larger key's rows
+    are dealt to blocks of about ``BLOCK``, each two of which are one task's work:
+    lo, hi, and i, the row's own. So no key is ever whole in one task.
+    """
+    per = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(per, "key").checkpoint()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
+    few = rows.where(F.col("_n") <= SMALL).withColumn("ord", place).drop("_n")
+    other = [c for c in few.columns if c != "key"]
+    pairs = few.withColumnsRenamed({c: f"{c}_a" for c in other}).join(few.withColumnsRenamed({c: f"{c}_b" for c in other}), "key").where("ord_a < ord_b")
+    g = F.ceil(F.col("_n") / BLOCK).cast("int")
+    many = rows.where(F.col("_n") > SMALL).withColumn("i", F.pmod(F.xxhash64("id"), g).cast("int"))
+    many = many.withColumn("j", F.explode(F.sequence(F.lit(0), g - 1)))
+    return pairs, many.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("_n", "j")
 
 
 def _sorted(pdf):
@@ -78,14 +96,9 @@ def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
     band = F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(step)) + 1e-9).cast("int")
     rows = titles.select("key", "id", "ord", "t").withColumn("own", band)
     rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
-    rows = dealt(rows.withColumn("key", F.struct("key", "band")).drop("band"))
-
-    def compare(pdf):
-        import difflib
-
-        import numpy as np
-        import pandas as pd
+    pairs, blocks = dealt(rows.withColumn("key", F.struct("key", "band")).drop("band"))
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf)
         n, texts = len(pdf), pdf.t.tolist()
         size, part, own, band = np.array([len(t) for t in texts]), pdf.i.to_numpy(), pdf.own.to_numpy(), pdf.key.iloc[0]["band"]
@@ -110,8 +123,15 @@ def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
                     out.append((pdf.id.iloc[k], pdf.id.iloc[x]))
         return pd.DataFrame(out, columns=["early", "late"])
 
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    near = F.abs(F.length("t_a") - F.length("t_b")) <= F.floor((1 - least) * (F.length("t_a") + F.length("t_b")) + 1e-9)
+    small = pairs.where(((F.col("own_a") == F.col("key.band")) | (F.col("own_b") == F.col("key.band"))) & near).select("id_a", "id_b", "t_a", "t_b").distinct()
+    small = small.where(alike("t_a", "t_b")).select(F.col("id_a").alias("early"), F.col("id_b").alias("late"))
     kind = titles.schema["id"].dataType.simpleString()
-    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").distinct()
+    return blocks.groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").unionByName(small).distinct()
 
 
 def kept_titles(docs: DataFrame, by: list[str], order: list[str], least: float = 0.9) -> DataFrame:
@@ -132,10 +152,7 @@ def kept_titles(docs: DataFrame, by: list[str], order: list[str], least: float =
 def cosine_matches(rows: DataFrame, percent: int) -> DataFrame:
     """early, late: rows (key, id, ord, v) of a key whose count vectors have a cosine of ``percent`` hundredths or more; exact, in integers."""
 
-    def compare(pdf):
-        import numpy as np
-        import pandas as pd
-
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf)
         v = np.stack(pdf.v.to_numpy()).astype(np.int64)
         dot, part = v @ v.T, pdf.i.to_numpy()
@@ -146,8 +163,12 @@ def cosine_matches(rows: DataFrame, percent: int) -> DataFrame:
         a, b = np.nonzero(np.triu(near, 1))
         return pd.DataFrame({"early": pdf.id.to_numpy()[a], "late": pdf.id.to_numpy()[b]})
 
+    pairs, blocks = dealt(rows.select("key", "id", "ord", "v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    pairs = pairs.select(F.col("id_a").alias("early"), F.col("id_b").alias("late"), dot("v_a", "v_b").alias("ab"), dot("v_a", "v_a").alias("aa"), dot("v_b", "v_b").alias("bb"))
+    small = pairs.where((F.col("ab") > 0) & (10_000 * F.col("ab") * F.col("ab") >= percent * percent * F.col("aa") * F.col("bb"))).select("early", "late")
     kind = rows.schema["id"].dataType.simpleString()
-    return dealt(rows.select("key", "id", "ord", "v")).groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").distinct()
+    return blocks.groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").unionByName(small).distinct()
 
 
 def merge_same_promises(promises: DataFrame, vector: str = "v", percent: int = 85) -> DataFrame:
