@@ -35,6 +35,11 @@ def promise_digest(promises: DataFrame) -> DataFrame:
     return kept.groupBy("case_id").agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(bits).cast("string")).alias("promise_set"))
 
 
+def buckets_for(rows: int, each: int = 200_000) -> int:
+    """Buckets of about ``each`` rows, 8 at least: what a batch reads of a log follows from the cases it touches, not from the log."""
+    return max(8, -(-rows // each))
+
+
 class JudgedCases:
     """A table of judgements under ``path`` and the logs it is made from.
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators.rejudging import JudgedCases, upsert_links
+from tidewatch.operators.rejudging import JudgedCases, buckets_for, upsert_links
 from tidewatch.sources.tables import AS_OF, case_days, links, promises, shared_dir
 
 from .catalogue import query
@@ -25,7 +25,7 @@ def judged_in_batches(spark, d) -> JudgedCases:
     """The table after its first load and three batches of arrivals and rejections."""
     all_links = links(spark, d).withColumn("wave", wave("pub"))
     told = F.least(F.col("wave") + 1, F.lit(3))  # when a rejection is known
-    table = JudgedCases(spark, f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}", AS_OF)
+    table = JudgedCases(spark, f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}", AS_OF, buckets=buckets_for(all_links.count()))
     for k in range(4):
         new = all_links.where(F.col("wave") == k).withColumn("rejected", F.col("rejected") & (told <= k))
         changed = all_links.where((told == k) & (F.col("wave") < k) & F.col("rejected"))
