@@ -68,10 +68,26 @@ def bigrams(text: Column) -> Column:
     return F.array_compact(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)))
 
 
+def hashed_pairs(text: Column, cells: int = 64) -> Column:
+    """The cell of each of a text's character pairs, by four hexadecimal digits of its MD5."""
+    return F.transform(bigrams(text), lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % cells)
+
+
 def hash_counts(text: Column, cells: int = 64) -> Column:
-    """A text as counts of its character pairs in ``cells`` cells, by four hexadecimal digits of their MD5; zeros for a text of one character or none."""
-    at = F.transform(bigrams(text), lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % cells)
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)))
+    """A text as counts of its character pairs in ``cells`` cells; zeros for a text of one character or none."""
+    # bound to a variable, so that pairs are hashed once and not for each cell
+    return F.get(F.transform(F.array(hashed_pairs(text, cells)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: F.size(F.filter(a, lambda x: x == k)))), F.lit(0))
+
+
+def sum_of_squares(cells: Column) -> Column:
+    """Of how often each value is in an array of numbers: the sum over its sorted values of 2 r - 1, r the place in a run of equal ones."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s.last, s.run + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), (s.total + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.array_sort(cells), start, step, lambda s: s.total)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import dates as D
 from tidewatch.functions import text as X
 from tidewatch.operators import extraction as E
+from tidewatch.operators import relevance as R
 from tidewatch.sources.tables import CASES_SQL, LINKS_SQL, cases, documents, links, table
 
 from .catalogue import query
@@ -36,6 +37,34 @@ def q_signal_classify(spark, d):
     return E.classify(docs, WORDS, lambda s: F.least(F.lit(1000), F.length(s) * 4))
 
 
+GRAMS_SQL = "CASE WHEN length({t}) >= 2 THEN list_transform(range(1, length({t})), lambda i: CAST('0x' || substr(md5(substr(lower({t}), i, 2)), 1, 4) AS INTEGER) % 64) ELSE [] END"
+
+
+@query(f"""WITH pw AS (SELECT item_id, 'src' || item_id % 20 AS source, lower(split_part(text, '.', 1)) AS action, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}]+'), lambda x: length(x) >= 4)[:3] AS terms FROM benchmark),
+raw AS ({SENTENCES.format(key="doc_id, source", text="lower(text)", table="documents")}),
+s AS (SELECT doc_id, source, s, i, least(1000, length(s) * 4) AS w, CASE WHEN {_has("s", WORDS.problem)} THEN 3 WHEN {_has("s", WORDS.done)} THEN CASE WHEN {_has("s", WORDS.partial)} AND NOT {_has("s", WORDS.whole)} THEN 1 ELSE 2 END WHEN {_has("s", WORDS.progress)} THEN 1 ELSE 0 END AS k FROM raw),
+sv AS (SELECT s, b, count(*) AS n FROM (SELECT s, unnest({GRAMS_SQL.format(t="s")}) AS b FROM (SELECT DISTINCT s FROM s)) GROUP BY 1, 2), sn AS (SELECT s, sum(n * n) AS q FROM sv GROUP BY 1),
+pv AS (SELECT item_id, b, count(*) AS n FROM (SELECT item_id, unnest({GRAMS_SQL.format(t="action")}) AS b FROM pw) GROUP BY 1, 2), pn AS (SELECT item_id, sum(n * n) AS q FROM pv GROUP BY 1),
+pairs AS (SELECT s.*, p.item_id, p.terms FROM s JOIN pw p ON s.source = p.source),
+dots AS (SELECT x.s, x.item_id, sum(sv.n * pv.n) AS d FROM (SELECT DISTINCT s, item_id FROM pairs) x JOIN sv ON sv.s = x.s JOIN pv ON pv.item_id = x.item_id AND pv.b = sv.b GROUP BY 1, 2),
+c AS (SELECT pairs.doc_id, pairs.i, pairs.item_id, CAST(coalesce(floor(1000 * d / sqrt(CAST(sn.q * pn.q AS DOUBLE)) + 0.5), 0) AS INTEGER) AS cos, len(list_filter(terms, lambda t: contains(pairs.s, t))) AS hits
+  FROM pairs LEFT JOIN dots ON dots.s = pairs.s AND dots.item_id = pairs.item_id LEFT JOIN sn ON sn.s = pairs.s LEFT JOIN pn ON pn.item_id = pairs.item_id),
+m AS (SELECT doc_id, i, max(cos) AS near, max(hits) AS hits, arg_max(item_id, {{'c': cos, 'p': -item_id}}) AS nearest, arg_max(item_id, {{'h': hits, 'p': -item_id}}) AS most FROM c GROUP BY 1, 2),
+r AS (SELECT s.doc_id, s.i, s.s, s.w, s.k, coalesce(near, 0) AS near, coalesce(hits, 0) AS hits, nearest, most, coalesce(near, 0) + w AS rel FROM s LEFT JOIN m ON m.doc_id = s.doc_id AND m.i = s.i),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, i) AS place, max(k) OVER (PARTITION BY doc_id) AS seen FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY least(hits, 2) DESC, k DESC, rel DESC, i) AS n FROM o WHERE place <= 3 AND k > 0 AND (hits > 0 OR (w >= 800 AND nearest IS NOT NULL)))
+SELECT d.doc_id, CASE WHEN b.k = 3 THEN 'problem' WHEN b.k = 2 THEN 'done' WHEN b.k = 1 THEN 'progress' WHEN o.seen > 0 THEN 'unclear' ELSE 'unrelated' END AS signal, CASE WHEN b.hits > 0 THEN b.most ELSE b.nearest END AS promise,
+  CAST(CASE WHEN b.k IS NOT NULL THEN greatest(300, least(900, CASE least(hits, 2) WHEN 2 THEN 750 WHEN 1 THEN 650 ELSE 600 END + floor((2 * w + near - 1495) / 10))) WHEN o.seen > 0 THEN 400 ELSE 600 END AS INTEGER) AS conf,
+  CAST(CASE WHEN b.k IS NULL THEN 0 ELSE least(hits, 2) END AS INTEGER) AS overlap, CAST(coalesce(near, 0) AS INTEGER) AS near, coalesce(substr(s, 1, 100), '') AS span
+FROM documents d LEFT JOIN (SELECT doc_id, max(seen) AS seen FROM o GROUP BY doc_id) o USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (doc_id)""")
+def q_sentence_relevance(spark, d):
+    """Documents against the promises of their source: items stand for promises, their first sentence for the action."""
+    terms = F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), 0), lambda x: F.length(x) >= 4), 1, 3)
+    p = table(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("case"), F.col("item_id").alias("promise"), F.substring_index("text", ".", 1).alias("action"), terms.alias("terms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("case"), "text")
+    return R.sentence_signals(docs, p, WORDS, lambda s: F.least(F.lit(1000), F.length(s) * 4)).withColumnRenamed("id", "doc_id")
+
+
 @query(rf"""WITH v AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'problem' ELSE 'unrelated' END AS signal, CAST(50 + doc_id % 40 AS INTEGER) AS conf,
   CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not in any text' WHEN 2 THEN substr(text, 1, 120) ELSE substr(text, 3, 60) END AS raw FROM documents),
 t AS (SELECT *, trim(raw, ' ') AS span FROM v),
