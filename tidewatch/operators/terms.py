@@ -9,6 +9,8 @@ term with which it has not that pair in common.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ def holds(term: Column, plain: Column, with_spaces: Column) -> Column:
     return F.when((F.size(words) == 1) & (F.length(joined(term)) <= SHORT), F.contains(with_spaces, joined(term))).otherwise(every)
 
 
-def find_terms(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """All columns of ``terms`` (with term) and id, for each text (id, text) that holds the term. Blank terms are in no text."""
+def stands(term: Column, plain: Column, with_spaces: Column) -> Column:
+    """Whether a text has the term as it is written, whatever the case and the width of spaces."""
+    return F.contains(with_spaces, spaced(term))
+
+
+def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Column, Column], Column] = holds) -> DataFrame:
+    """All columns of ``terms`` (with term) and id, for each text (id, text) that has the term by ``check``. Blank terms are in no text."""
     t = terms.withColumn("_n", F.monotonically_increasing_id()).where(joined(F.col("term")) != "").checkpoint()
     x = texts.select("id", joined(F.col("text")).alias("_plain"), spaced(F.col("text")).alias("_spaced"))
     alone = F.regexp_extract_all("_plain", F.lit("(?s)."), 0)
@@ -57,7 +64,7 @@ def find_terms(terms: DataFrame, texts: DataFrame) -> DataFrame:
     rarest = own.join(df, "_g", "left").groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_g"))
     index = rarest.join(t.select("_n", "term"), "_n")
     texts_with = x.select("id", "_plain", "_spaced", F.explode(grams).alias("_g"))
-    hits = texts_with.join(hint(index), "_g").where(holds(F.col("term"), F.col("_plain"), F.col("_spaced"))).select("_n", "id")
+    hits = texts_with.join(hint(index), "_g").where(check(F.col("term"), F.col("_plain"), F.col("_spaced"))).select("_n", "id")
     return hits.join(hint(t), "_n").drop("_n")
 
 

@@ -3,7 +3,7 @@
 import importlib
 
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("extracting", "files", "grouping", "judging", "linking", "ranges", "rejudging", "reporting", "reranking", "search")
+MODULES: tuple[str, ...] = ("extracting", "files", "gating", "grouping", "judging", "linking", "ranges", "rejudging", "reporting", "reranking", "search")
 
 
 def load() -> None:
