@@ -79,7 +79,7 @@ def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of:
     of_done = lambda strong, all_: F.when(n("n_strong") > 0, n(strong)).otherwise(n(all_))
     counted = F.when(F.col("code") == "R1", n("n_problem")).when(F.col("code") == "R2", of_done("n_strong", "n_done")).when(F.col("code") == "R3", n("n_progress")).otherwise(0)
     total = F.when(F.col("code") == "R1", n("conf_problem")).when(F.col("code") == "R2", of_done("conf_strong", "conf_done")).when(F.col("code") == "R3", n("conf_progress"))
-    why = F.when(n("n_trackable") == 0, "no trackable promise").when(n("n_done") > 0, "weak done").when(n("n_problem") > 0, "weak problem").otherwise("no valid signal")
+    why = F.when(n("n_trackable") == 0, "no trackable promise").when(n("n_done") > 0, "weak done").when(F.coalesce(F.col("latest.p"), F.lit(False)), "weak problem").otherwise("no valid signal")
     return joined.withColumns({
         "n_counted": counted,
         "n_prior": F.when((F.col("code") == "R1") & done, of_done("n_strong", "n_done")).otherwise(0),

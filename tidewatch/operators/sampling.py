@@ -47,9 +47,9 @@ def capped(df: DataFrame, key: str, text: str, order: list[str], cap: int) -> Da
     return first.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rn") <= cap)
 
 
-def calendar(first: str, last: str) -> Column:
-    """Rows (kind, start, end) of months, quarters and thirds of months; ends are exclusive."""
-    a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
+def calendar(first: Column, last: Column) -> Column:
+    """Rows (kind, start, end) of the months from that of ``first`` to that of ``last``, of quarters that begin in one, and of thirds of months; ends are exclusive."""
+    a, b = F.trunc(first, "month"), F.trunc(last, "month")
     part = lambda kind, start, end: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
     months = F.transform(F.sequence(a, b, F.expr("interval 1 month")), lambda m: m.cast("date"))
     month = F.transform(months, lambda m: part("month", m, F.add_months(m, 1)))

@@ -70,12 +70,12 @@ def q_status_distribution(spark, d):
 
 
 @query(f"""WITH {RULES_SQL}, p AS (SELECT j.case_id, j.code, count(*) FILTER (signal = 'problem') AS problems, count(*) FILTER (signal = 'done') AS dones, count(*) FILTER (signal = 'done' AND conf >= 70) AS strong, count(*) FILTER (signal = 'progress') AS progress,
-  count(DISTINCT (part, pub)) FILTER (signal = 'done') >= 2 AS two, avg(conf) FILTER (signal = 'problem') AS a_problem, avg(conf) FILTER (signal = 'done') AS a_done, avg(conf) FILTER (signal = 'done' AND conf >= 70) AS a_strong, avg(conf) FILTER (signal = 'progress') AS a_progress
+  arg_max(signal, {{'d': pub, 'p': signal = 'problem', 'c': conf, 's': signal}}) AS last_signal, count(DISTINCT (part, pub)) FILTER (signal = 'done') >= 2 AS two, avg(conf) FILTER (signal = 'problem') AS a_problem, avg(conf) FILTER (signal = 'done') AS a_done, avg(conf) FILTER (signal = 'done' AND conf >= 70) AS a_strong, avg(conf) FILTER (signal = 'progress') AS a_progress
   FROM judged j LEFT JOIN valid v ON j.case_id = v.case_id GROUP BY 1, 2)
 SELECT case_id, code, CAST(CASE code WHEN 'R1' THEN problems WHEN 'R2' THEN CASE WHEN strong > 0 THEN strong ELSE dones END WHEN 'R3' THEN progress ELSE 0 END AS INTEGER) AS n_counted,
   CAST(CASE WHEN code = 'R1' AND (strong > 0 OR two) THEN CASE WHEN strong > 0 THEN strong ELSE dones END ELSE 0 END AS INTEGER) AS n_prior,
   CAST(CASE code WHEN 'R1' THEN floor(10 * a_problem + 0.5) WHEN 'R2' THEN floor(10 * coalesce(a_strong, a_done) + 0.5) WHEN 'R3' THEN floor(10 * a_progress + 0.5) ELSE 500 END AS INTEGER) AS confidence,
-  CASE WHEN code = 'R5' THEN CASE WHEN case_id NOT IN (SELECT case_id FROM due) THEN 'no trackable promise' WHEN dones > 0 THEN 'weak done' WHEN problems > 0 THEN 'weak problem' ELSE 'no valid signal' END END AS why FROM p""")
+  CASE WHEN code = 'R5' THEN CASE WHEN case_id NOT IN (SELECT case_id FROM due) THEN 'no trackable promise' WHEN dones > 0 THEN 'weak done' WHEN last_signal = 'problem' THEN 'weak problem' ELSE 'no valid signal' END END AS why FROM p""")
 def q_status_evidence(spark, d):
     """What each decision rests on."""
     return judged(spark, d).select("case_id", "code", F.col("n_counted").cast("int").alias("n_counted"), F.col("n_prior").cast("int").alias("n_prior"), "confidence", "why")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,18 @@ def n_docs(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("n_docs"))
 
 
-def weights(spark, d):
+def split(spark, d):
+    """key, doc_id, word of all documents, split once and written; null keys too."""
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select(F.col("source").alias("key"), "doc_id", F.explode(X.distinct_tokens(F.col("text"))).alias("word")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def weights(spark, d, words=None):
     """Word weights of the sources. Every document has one source, so the words' document frequencies are sums of the sources' counts."""
     docs = table(spark, d, "documents").select(F.col("source").alias("key"), "doc_id", "text")
-    counts = docs.select("key", F.explode(X.distinct_tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    words = docs.select("key", F.explode(X.distinct_tokens(F.col("text"))).alias("word")) if words is None else words
+    counts = words.groupBy("key", "word").agg(F.count("*").alias("n"))
     checkpoints(spark)
     counts = counts.checkpoint()  # texts are split once; all that follows reads the counts
     sizes = docs.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n_core"))
@@ -135,16 +145,18 @@ def q_map_topk(spark, d):
 @query(f"""WITH {WEIGHTS_SQL}, k AS (SELECT key, word, CAST(round(weight * 1000) AS BIGINT) AS w, rn FROM weights WHERE rn <= 40), b AS (SELECT key, CAST(sum(w) AS BIGINT) AS top10 FROM k WHERE rn <= 10 GROUP BY key)
 SELECT k.key, count(DISTINCT doc_id) AS n_docs, CAST(sum(w) AS BIGINT) AS hits, max(top10) AS top10 FROM k JOIN words ON k.word = words.word JOIN b ON k.key = b.key GROUP BY k.key""")
 def q_weighted_overlap(spark, d):
-    w = weights(spark, d).select("key", "word", F.round(F.col("weight") * 1000).cast("long").alias("w"), "rn")
+    own = split(spark, d)
+    w = weights(spark, d, own).select("key", "word", F.round(F.col("weight") * 1000).cast("long").alias("w"), "rn")
     best = w.where("rn <= 10").groupBy("key").agg(F.sum("w").alias("top10"))
-    per_doc = w.join(words(spark, d), "word").groupBy("key", "doc_id").agg(F.sum("w").alias("w"))
+    per_doc = w.join(own.select("doc_id", "word"), "word").groupBy("key", "doc_id").agg(F.sum("w").alias("w"))
     return per_doc.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum("w").alias("hits")).join(best, "key").select("key", "n_docs", "hits", "top10")
 
 
 @query(f"WITH {WEIGHTS_SQL} SELECT key, doc_id, CAST(least(1000, 1000 * max(w) + 500 * (sum(w) - max(w))) AS INTEGER) AS sentence FROM (SELECT k.key, words.doc_id, CAST(round(weight * 1000) AS BIGINT) / 1000.0 AS w FROM weights k JOIN words ON k.word = words.word WHERE rn <= 3) GROUP BY 1, 2 HAVING max(w) > 0.9")
 def q_sentence_weight(spark, d):
     """The largest weight and half of the rest, 1 at most, in thousandths."""
-    hits = weights(spark, d).where("rn <= 3").select("key", "word", (F.round(F.col("weight") * 1000).cast("long")).alias("w")).join(words(spark, d), "word")
+    own = split(spark, d)
+    hits = weights(spark, d, own).where("rn <= 3").select("key", "word", (F.round(F.col("weight") * 1000).cast("long")).alias("w")).join(own.select("doc_id", "word"), "word")
     per = hits.groupBy("key", "doc_id").agg(F.max("w").alias("m"), F.sum("w").alias("s")).where("m > 900")
     half = F.round(F.col("m") + (F.col("s") - F.col("m")) / 2)
     return per.select("key", "doc_id", F.least(F.lit(1000), half.cast("int")).alias("sentence"))

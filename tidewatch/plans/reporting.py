@@ -219,11 +219,16 @@ def q_balanced_sample(spark, d):
     return S.quota_rows(rows, filled(spark, d), "key", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "key")
 
 
-@query("""WITH m AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) AS DATE) AS s)
-SELECT 'month' AS kind, s AS start, CAST(s + INTERVAL 1 MONTH AS DATE) AS "end" FROM m UNION ALL SELECT 'quarter', s, CAST(s + INTERVAL 3 MONTH AS DATE) FROM m WHERE month(s) % 3 = 1
-UNION ALL SELECT 'third', s, s + 10 FROM m UNION ALL SELECT 'third', s + 10, s + 20 FROM m UNION ALL SELECT 'third', s + 20, CAST(s + INTERVAL 1 MONTH AS DATE) FROM m""")
+@query("""WITH e AS (SELECT date_trunc('month', min(ts)) AS a, date_trunc('month', max(ts)) AS b FROM events), m AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS s FROM e),
+w AS (SELECT 'month' AS kind, s AS start, CAST(s + INTERVAL 1 MONTH AS DATE) AS "end" FROM m UNION ALL SELECT 'quarter', s, CAST(s + INTERVAL 3 MONTH AS DATE) FROM m WHERE month(s) % 3 = 1
+UNION ALL SELECT 'third', s, s + 10 FROM m UNION ALL SELECT 'third', s + 10, s + 20 FROM m UNION ALL SELECT 'third', s + 20, CAST(s + INTERVAL 1 MONTH AS DATE) FROM m)
+SELECT kind, start, "end", count(ts) AS n FROM w LEFT JOIN events ON CAST(ts AS DATE) >= start AND CAST(ts AS DATE) < "end" GROUP BY ALL""")
 def q_calendar_windows(spark, d):
-    return spark.range(1).select(F.inline(S.calendar("2024-01-01", "2024-12-01")))
+    """The windows between the first and the last event, and how many events each has: counts of days meet windows, events don't."""
+    days = table(spark, d, "events").where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    windows = ends.select(F.inline(S.calendar(F.col("a"), F.col("b"))))
+    return windows.join(days, (F.col("day") >= F.col("start")) & (F.col("day") < F.col("end")), "left").groupBy("kind", "start", "end").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
 
 
 @query(f"WITH {LINKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY md5(concat_ws('|', CAST(case_id AS VARCHAR), CAST(part AS VARCHAR), CAST(supp AS VARCHAR), CAST(line AS VARCHAR)))) AS rn FROM links) SELECT case_id, part, supp, line FROM r WHERE rn <= 3")
