@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import judging as J
-from tidewatch.sources.tables import AS_OF, CASES_SQL, LINKS_SQL, PROMISES_SQL, case_days, cases, links, promises
+from tidewatch.operators import notices as N
+from tidewatch.sources.tables import AS_OF, CASES_SQL, FEED_SQL, LINKS_SQL, PROMISES_SQL, case_days, cases, feed, links, promises
 
 from .catalogue import query
 
@@ -255,3 +256,30 @@ def q_budget_newest_first(spark, d):
 def q_multi_key_sort(spark, d):
     w = Window.partitionBy("case_id").orderBy(~F.col("matches"), F.desc("pub"), F.desc("conf"), "part", "supp", "line")
     return links(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("case_id", "part", "supp", "line", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"""WITH {FEED_SQL}, c AS (SELECT user_id AS key, event_type AS org, count(*) AS n, bool_or((user_id + length(event_type)) % 3 = 0) AS local FROM feed WHERE k % 4 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS i, lead(n) OVER w AS second FROM c WINDOW w AS (PARTITION BY key ORDER BY n DESC, org)),
+t AS (SELECT key, org, n, second FROM r WHERE i = 1), o AS (SELECT key, arg_min(org, i) AS org, arg_min(n, i) AS n FROM r WHERE local AND n >= 3 GROUP BY key), x AS (SELECT key, max(n) AS rest FROM r WHERE NOT local GROUP BY key),
+d AS (SELECT t.*, o.org AS own, o.n AS own_n, coalesce(o.org = t.org OR coalesce(rest, 0) < 2 * o.n, false) AS wins FROM t LEFT JOIN o ON o.key = t.key LEFT JOIN x ON x.key = t.key)
+SELECT key, CASE WHEN wins THEN own WHEN n >= 3 AND NOT coalesce(n < 2 * second, false) THEN org END AS org, CASE WHEN wins THEN own_n ELSE n END AS n, CASE WHEN wins THEN 'local' WHEN n < 3 THEN 'few' WHEN n < 2 * second THEN 'contested' ELSE 'most' END AS reason FROM d""")
+def q_dominant_actor(spark, d):
+    """Users' kinds of events stand for names of actors; which of them are local follows from both."""
+    local = (F.col("user_id") + F.length("event_type")) % 3 == 0
+    c = feed(spark, d).where("k % 4 = 0").groupBy(F.col("user_id").alias("key"), F.col("event_type").alias("org")).agg(F.count("*").alias("n"), F.bool_or(local).alias("local"))
+    return N.dominant_actors(c)
+
+
+@query(f"""WITH {RULES_SQL}, nt AS (SELECT case_id, part * 1000 + line AS notice, pub AS published, conf AS score, supp % 2 = 0 AS own FROM links WHERE review AND part % 3 <> 0),
+f AS (SELECT case_id, min(pub) AS first, max(pub) AS last FROM valid GROUP BY 1),
+j AS (SELECT nt.*, occurred, starts_with(code, 'R4') OR code = 'R5' AS open, first, last FROM nt JOIN judged g ON g.case_id = nt.case_id LEFT JOIN f ON f.case_id = nt.case_id WHERE published >= occurred),
+a AS (SELECT 'unfollowed' AS kind, *, date_diff('day', occurred, published) AS gap, CAST(NULL AS DATE) AS next_day, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, NOT own, published DESC, notice) AS i FROM j WHERE open AND (last IS NULL OR last < published)),
+b AS (SELECT 'late' AS kind, *, date_diff('day', published, first) AS gap, first AS next_day, row_number() OVER (PARTITION BY case_id ORDER BY date_diff('day', published, first) DESC, notice) AS i FROM j WHERE first >= published AND date_diff('day', published, first) >= 30)
+SELECT kind, case_id, notice, score, published, CAST(gap AS INTEGER) AS gap, next_day FROM a WHERE i = 1 UNION ALL SELECT kind, case_id, notice, score, published, CAST(gap AS INTEGER), next_day FROM b WHERE i = 1""")
+def q_notice_cases(spark, d):
+    """Links under review stand for notices, valid follow-ups for what is confirmed."""
+    open_ = F.col("code").startswith("R4") | (F.col("code") == "R5")
+    of = judged(spark, d).select(F.col("case_id").alias("case"), "occurred", open_.alias("open"))
+    k = links(spark, d).where("review").select(F.col("case_id").alias("case"), (F.col("part") * 1000 + F.col("line")).alias("notice"), F.col("pub").alias("published"), F.col("conf").alias("score"), (F.col("supp") % 2 == 0).alias("own"), (F.col("part") % 3 != 0).alias("fits"))
+    found = N.notice_cases(of, k, valid(spark, d).select(F.col("case_id").alias("case"), F.col("pub").alias("day")))
+    return found.withColumnRenamed("case", "case_id")
