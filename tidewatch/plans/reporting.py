@@ -236,7 +236,10 @@ def q_hash_sample(spark, d):
     return S.hash_sample(links(spark, d), "case_id", ["part", "supp", "line"], 3).select("case_id", "part", "supp", "line")
 
 
-@query(name="q_group_folds")
+@query("""WITH RECURSIVE s AS (SELECT source AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, '' AS key, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS fold
+  UNION ALL SELECT s.i, list_transform(range(1, 6), lambda k: load[k] + CASE WHEN k = list_position(load, list_min(load)) THEN s.n ELSE 0 END), s.key, s.n, CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM f JOIN s ON s.i = f.i + 1)
+SELECT key, n, fold FROM f WHERE i > 0""")
 def q_group_folds(spark, d):
     return S.balanced_folds(table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n")), 5)
 
