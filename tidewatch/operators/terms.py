@@ -14,8 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text as X
+
 #: Terms up to which their side of a join is broadcast (some 100 bytes each).
 MOST_TERMS = 200_000
+#: Pairs of characters up to which a text is held against a list of them before it is taken apart.
+NAMED_PAIRS = 2_000
 #: Weights, bonuses and the penalty of a title in hundredths; characters up to which a word alone names nothing; days after an incident.
 FACILITY, PHRASE, SPECIFIC, GENERIC, BONUS, FOREIGN, SHORT, RECENT = 60, 40, 30, 20, 10, 30, 3, 7
 
@@ -31,7 +35,7 @@ def spaced(text: Column) -> Column:
 
 
 def _pairs(word: Column) -> Column:
-    """Its pairs of characters; of a single character that one."""
+    """A short word's pairs of characters; of a single character that one."""
     n = F.length(word)
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(2)))).when(n == 1, F.array(word)).otherwise(F.array().cast("array<string>"))
 
@@ -54,7 +58,7 @@ def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Colu
     x = texts.select("id", joined(F.col("text")).alias("_plain"), spaced(F.col("text")).alias("_spaced"))
     alone = F.regexp_extract_all("_plain", F.lit("(?s)."), 0)
     short = t.where(F.exists(F.split(spaced(F.col("term")), " "), lambda w: F.length(w) == 1)).limit(1).count() > 0  # only then single characters are an index
-    grams = F.array_distinct(F.concat(_pairs(F.col("_plain")), alone) if short else _pairs(F.col("_plain")))
+    grams = F.array_distinct(F.concat(X.grams(F.col("_plain"), 2), alone)) if short else X.grams(F.col("_plain"), 2)
     own = t.select("_n", F.explode(F.array_distinct(F.flatten(F.transform(F.split(spaced(F.col("term")), " "), _pairs)))).alias("_g"))
     wanted = own.select("_g").distinct()
     few = t.count() <= MOST_TERMS
@@ -62,7 +66,10 @@ def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Colu
     met = x.select("id", F.explode(grams).alias("_g")).join(hint(wanted), "_g")
     df = met.groupBy("_g").agg(F.count("*").alias("_df"))
     rarest = own.join(df, "_g", "left").groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_g"))
-    index = rarest.join(t.select("_n", "term"), "_n")
+    index = rarest.join(t.select("_n", "term"), "_n").checkpoint()
+    if few:  # only pairs that some term is looked up under take their text along; as many as there are terms at most
+        used = [r._g for r in index.select("_g").distinct().limit(NAMED_PAIRS + 1).collect()]
+        grams = F.array_intersect(grams, F.array(*map(F.lit, used)).cast("array<string>")) if len(used) <= NAMED_PAIRS else grams
     texts_with = x.select("id", "_plain", "_spaced", F.explode(grams).alias("_g"))
     hits = texts_with.join(hint(index), "_g").where(check(F.col("term"), F.col("_plain"), F.col("_spaced"))).select("_n", "id")
     return hits.join(hint(t), "_n").drop("_n")

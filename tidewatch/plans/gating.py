@@ -11,7 +11,7 @@ from .catalogue import query
 from .linking import checkpoints
 
 #: Stand-ins for what a title tells, as regular expressions: a new incident, an act, a name of a place.
-FRESH, ACTS, PLACES = "tion|keit|ment", "ing|lich", r"\b[a-z]{4,}er\b"
+FRESH, ACTS, PLACES = "tion|keit|ment", "ing|lich", r"[a-z]{4,}er"
 #: Which words of an item (from 1) stand for which kind; facilities are two words.
 ROLES = {"region": [1], "org": [4], "alias": [5], "keyword": [6, 7], "expansion": [8], "promise": [9, 10], "exclude": [11], "occurrence": [2], "incident": [3], "near": [1, 12], "parent": [8], "unique": [6, 13]}
 
