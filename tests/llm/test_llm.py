@@ -278,6 +278,14 @@ def test_join_of_odd_rows(odd, none):
     assert chosenpath.document_links(none).count() == 0
 
 
+def test_tokens_of_a_batch_without_texts_asked_for(spark):
+    texts = spark.createDataFrame([(0, "a b c"), (64, "d e")], "cell long, text string")
+    ask = np.zeros(chosenpath.CELLS >> 6, np.uint64)
+    assert chosenpath.run_tokens(texts, ask, 0, 12).count() == chosenpath.whole_sets(texts, ask).count() == 0
+    ask[0] = 1
+    assert chosenpath.run_tokens(texts, ask, 0, 12).count() == 12
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(200)] + [(None, "x")], "u string, v string")
     assert {r.component for r in components(e).collect()} == {"000"}

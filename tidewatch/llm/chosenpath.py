@@ -281,7 +281,7 @@ def run_tokens(texts: DataFrame, ask: np.ndarray, first: int, last: int) -> Data
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _asked(batches, shared.value):
             h, bounds = plain_hashes(batch.column("text"))
-            sig = signatures(*shingles(h, bounds), mul, add).astype(np.uint16).reshape(len(bounds) - 1, last - first, -1)
+            sig = signatures(*shingles(h, bounds), mul, add).astype(np.uint16).reshape(len(bounds) - 1, last - first, (DEPTH - 1) * POOL)  # a batch may be left without rows
             rows = [(key, first + r, sig[i, r].tobytes()) for i, key in enumerate(_class_keys(h, bounds)) if key for r in range(last - first)]
             yield _batch(rows, ["key", "run", "tokens"], [pa.binary(), pa.int32(), pa.binary()])
 
