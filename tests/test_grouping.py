@@ -98,3 +98,12 @@ def test_turns_over_strata(spark, limit):
                 break
     got = G.select_groups(spark.createDataFrame(rows, "rep long, kind string, day date, score int"), limit)
     assert sorted(x.rep for x in got.collect()) == sorted(picked)
+
+
+def test_what_is_linked_are_runs_and_not_quotations(spark, monkeypatch):
+    sizes, real = [], G.components
+    monkeypatch.setattr(G, "components", lambda edges: (sizes.append(edges.count()), real(edges))[1])
+    day = datetime.date(2024, 1, 1)
+    rows = [(i, day, None, f"q{i}", "dam", None, None, None, "n", None, "k", None, None, None) for i in range(500)]
+    rows += [(500, day, None, "q", "dam", ["A"], ["fire"], None, "n", None, "k", None, None, None), (501, day, None, "r", None, ["A"], ["fire"], None, "n", None, "k", None, None, None)]
+    assert {r.grp for r in G.event_groups(spark.createDataFrame(rows, QUOTE)).collect()} == {0} and sizes == [1]

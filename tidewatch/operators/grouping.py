@@ -20,7 +20,8 @@ def same_event_keys() -> Column:
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     regions, families = (F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "") for c in ("regions", "families"))
-    key = lambda kind, *parts: F.to_json(F.struct(F.lit(kind).alias("k"), *(p.alias(f"p{i}") for i, p in enumerate(parts))))
+    # the first part's length tells where it ends
+    key = lambda kind, first, *more: F.concat(F.lit(kind), F.length(first).cast("string"), F.lit(" "), first, *more)
     said = F.array(key("said", text("speaker"), F.left(text("quotation"), F.lit(OPENING))))
     place = F.when(text("facility") != "", F.array(key("place", text("facility"))))
     region = F.flatten(F.transform(regions, lambda r: F.transform(families, lambda f: key("region", r, f))))
@@ -38,21 +39,28 @@ def event_groups(quotes: DataFrame, days: int = DAYS) -> DataFrame:
     share a quotation hang together. A quotation without a day is a group alone.
     """
     keyed = quotes.where("day IS NOT NULL").select("id", "day", F.explode(same_event_keys()).alias("key")).checkpoint()
-    per_day = keyed.groupBy("key", "day").agg(F.min("id").alias("least"))
+    per_day = keyed.groupBy("key", "day").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     order = Window.partitionBy("key").orderBy("day")
     gap = F.datediff("day", F.lag("day").over(order)) <= days
     runs = per_day.withColumn("begins", F.when(gap, 0).otherwise(1)).withColumn("run", F.sum("begins").over(order))
-    first = runs.groupBy("key", "run").agg(F.min("least").alias("v"))
+    first = runs.groupBy("key", "run").agg(F.min("least").alias("v"), F.sum("n").alias("n")).where("n > 1")  # the others link nothing
     to = runs.join(first, ["key", "run"]).select("key", "day", "v")
-    edges = keyed.join(to, ["key", "day"]).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    found = components(edges)
-    return quotes.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+    # what is linked are runs, by quotations that lie in several: far fewer than quotations
+    own = keyed.join(to, ["key", "day"]).groupBy("id").agg(F.min("v").alias("v"), F.collect_set("v").alias("vs")).checkpoint()
+    edges = own.where(F.size("vs") > 1).select(F.explode("vs").alias("u"), "v").where("u <> v").distinct()
+    found = own.select("id", "v").join(components(edges).withColumnRenamed("node", "v"), "v", "left").select("id", F.coalesce("component", "v").alias("grp"))
+    return quotes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("grp", "id").alias("grp"))
 
 
-def _most(rows: DataFrame, value: str, as_: str) -> DataFrame:
-    """grp and its most frequent value by weight, ties by the first one; counts are added up before a group's values meet."""
-    per = rows.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy("grp", value).agg(F.sum("weight").alias("w"), F.min("place").alias("place"))
-    return per.groupBy("grp").agg(F.min_by(value, F.struct(-F.col("w"), "place")).alias(as_))
+def _most(q: DataFrame, rep: DataFrame) -> DataFrame:
+    """grp and its most frequent org, region, facility and kind, ties by the first one; the organisation of the representative counts twice. Counts are added up before a group's values meet."""
+    one = lambda name, value, i=F.lit(0): F.struct(F.lit(name).alias("name"), value.alias("value"), i.alias("i"))
+    regions = F.transform(F.coalesce("regions", F.array().cast("array<string>")), lambda r, i: one("region", r, i))
+    names = F.concat(regions, F.array(*(one(c, F.col(c)) for c in ("org", "facility", "kind"))))
+    rows = q.select("grp", "day", "id", F.inline(names)).unionByName(rep.select("grp", "r.day", "r.id", F.lit("org").alias("name"), F.col("r.org").alias("value"), F.lit(0).alias("i")))
+    per = rows.where(F.coalesce("value", F.lit("")) != "").groupBy("grp", "name", "value").agg(F.count("*").alias("w"), F.min(F.struct("day", "id", "i")).alias("place"))
+    order = F.struct(-F.col("w"), "place")
+    return per.groupBy("grp").agg(*(F.min_by(F.when(F.col("name") == c, F.col("value")), F.when(F.col("name") == c, order)).alias(c) for c in ("org", "region", "facility", "kind")))
 
 
 def describe_groups(quotes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -66,16 +74,12 @@ def describe_groups(quotes: DataFrame, groups: DataFrame) -> DataFrame:
     region 20, a firm promise 10, casualties 10, organisation 10 or else -10, and
     3 for each article up to six.
     """
-    q = quotes.join(groups, "id")
+    q = quotes.join(groups, "id").checkpoint()  # read twice
     binding = F.when(F.col("strength") == "firm", 0).when(F.col("strength") == "plan", 1).otherwise(2)
     place = F.struct(F.col("day"), binding.alias("b"), "news_id", "id")
-    rep = q.groupBy("grp").agg(F.min_by(F.struct("id", "day", "news_id", "occurred", "preventive"), place).alias("r"), F.count_distinct("news_id").alias("n"), F.bool_or(F.coalesce("facility", F.lit("")) != "").alias("any_place"), F.bool_or(F.col("strength") == "firm").alias("firm"), F.bool_or(F.coalesce("casualties", F.lit(0)) > 0).alias("hurt"))
-    q = q.join(rep.select("grp", F.col("r.id").alias("rep")), "grp").withColumns({"place": F.struct("day", "id"), "weight": F.lit(1)})
-    own = q.withColumn("weight", F.when(F.col("id") == F.col("rep"), 2).otherwise(1))
-    region = q.select("grp", "place", "weight", F.posexplode("regions").alias("i", "region")).withColumn("place", F.struct("place", "i"))
-    out = rep
-    for names in (_most(own, "org", "org"), _most(region, "region", "region"), _most(q, "facility", "facility"), _most(q, "kind", "kind")):
-        out = out.join(names, "grp", "left")
+    rep = q.groupBy("grp").agg(F.min_by(F.struct("id", "day", "news_id", "occurred", "preventive", "org"), place).alias("r"), F.count_distinct("news_id").alias("n"), F.bool_or(F.coalesce("facility", F.lit("")) != "").alias("any_place"), F.bool_or(F.col("strength") == "firm").alias("firm"), F.bool_or(F.coalesce("casualties", F.lit(0)) > 0).alias("hurt"))
+    rep = rep.checkpoint()
+    out = rep.join(_most(q, rep), "grp", "left")
     b = lambda c: F.coalesce(c, F.lit(False))
     points = lambda c, yes, no=0: F.when(b(c), yes).otherwise(no)
     prevention = b(F.col("r.preventive"))
