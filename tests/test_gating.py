@@ -5,6 +5,7 @@ import datetime
 import pytest
 from tidewatch.operators import gating as G
 from tidewatch.plans.linking import checkpoints
+from tidewatch.plans.gating import cases_and_terms, gate_articles
 
 DAY = datetime.date
 
@@ -43,3 +44,10 @@ def test_out_of_scope_recurrence_and_nulls(result):
     assert (1, 7) not in result and (1, 8) not in result and not any(c == 3 for c, _ in result)
     assert result[1, 11].passed and result[1, 11].capped and result[1, 11].reasons.endswith("cap-recur")
     assert result[2, 1].reasons == "region" and not result[2, 1].passed
+
+
+def test_different_terms_are_counted_without_copies_of_their_rows(spark):
+    checkpoints(spark)
+    cases, terms, regions = cases_and_terms(spark, "/root/testdata/sf0.001")
+    plan = G.gate(cases, terms, gate_articles(spark, "/root/testdata/sf0.001"), regions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Expand" not in plan

@@ -112,3 +112,17 @@ def test_longest_matches(spark):
     rows = T.longest_matches(d, spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
     assert {(x.id, x.start, x["size"], x.term) for x in rows} == want and len(rows) == len(want)
     assert T.longest_matches(d.limit(0), spark.createDataFrame(list(enumerate(texts)), "id long, text string")).count() == 0
+
+
+def test_hits_of_parts_dealt_by_a_column(spark):
+    terms = spark.createDataFrame([(1, "dam"), (2, "dam"), (2, "old mill")], "case long, term string")
+    texts = spark.createDataFrame([(7, "t", "The old  mill"), (7, "b", "a dam"), (8, "b", "Dams")], "id long, part string, text string")
+    found = T.find_terms(terms, texts, T.stands, by="id").groupBy("case", "id").count()
+    assert {tuple(x) for x in found.collect()} == {(1, 7, 1), (2, 7, 2), (1, 8, 1), (2, 8, 1)}
+
+
+def test_runs_of_all_lengths_in_odd_texts(spark):
+    wanted = ["a", "ab", "abc", "abcd", "bcde", "\U0001f600x", "ß"]
+    texts = ["", "a", "xabcde", "ab\U0001f600xa", "a", "bcd", "aß"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.runs_in(wanted)("t").alias("g")).collect()
+    assert {r.i: sorted(r.g) for r in got} == {i: sorted(w for w in wanted if w in t) for i, t in enumerate(texts)}

@@ -13,6 +13,8 @@ alone) and place (names of its facility).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,13 @@ def gate(cases: DataFrame, terms: DataFrame, articles: DataFrame, regions: DataF
     and cap-place (only cap). Null dates are rejected; null texts name nothing.
     """
     parts = F.inline(F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).alias("text")) for p, c in (("t", "title"), ("h", "highlight"), ("k", "keywords"), ("b", "body")))))
-    texts = articles.select("article", parts).where("text <> ''").select(F.struct("article", "part").alias("id"), "text")
+    texts = articles.select("article", parts).where("text <> ''")
     # an organisation that has the region in its name says no more than the region
     own = terms.where("kind = 'region'").select("case", joined(F.col("term")).alias("_r")).distinct()
     wanted = terms.join(own, "case", "left").where(~(F.col("kind").isin("org", "alias") & F.coalesce(F.contains(joined(F.col("term")), F.col("_r")) & (F.col("_r") != ""), F.lit(False)))).drop("_r").distinct()
-    hits = find_terms(wanted, texts, stands).select("case", "kind", "term", "id.article", "id.part")
+    hits = find_terms(wanted, texts, stands, by="article")
     kind, part = F.col("kind"), F.col("part")
-    found = lambda kinds, where: F.count_distinct(F.when(kind.isin(*kinds) & part.isin(*where), F.lower("term")))
+    found = lambda kinds, where: kind.isin(*kinds) & part.isin(*where)
     every, head, title = "thkb", "thk", "t"
     counts = {
         "n_region": (("region",), every), "n_facility": (("facility",), every), "n_facility_t": (("facility",), title), "n_org": (("org", "alias"), every), "n_seed": (("facility", "keyword"), every),
@@ -53,7 +55,10 @@ def gate(cases: DataFrame, terms: DataFrame, articles: DataFrame, regions: DataF
         "n_place_head": (("place",), head), "n_place_t": (("place",), title), "n_unique": (("unique",), every), "n_unique_th": (("unique",), "th"), "n_unique_t": (("unique",), title), "n_parent_head": (("parent",), head), "n_incident_t": (("incident",), title),
         "n_promise_head": (("promise",), head), "n_promise_t": (("promise",), title),
     }
-    pairs = hits.groupBy("case", "article").agg(*(found(kinds, tuple(where)).alias(n) for n, (kinds, where) in counts.items()))
+    # a term's row says which numbers it counts in, so different terms are counted by sums
+    bits = reduce(Column.bitwiseOR, (F.when(found(kinds, tuple(where)), 1 << i).otherwise(0) for i, (kinds, where) in enumerate(counts.values())))
+    terms_found = hits.groupBy("case", "article", F.lower("term").alias("t")).agg(F.bit_or(bits).alias("bits"))
+    pairs = terms_found.groupBy("case", "article").agg(*(F.sum(F.shiftright("bits", i).bitwiseAND(1)).alias(n) for i, n in enumerate(counts)))
     pairs = pairs.where("n_region + n_facility + n_org > 0")
     told = find_terms(regions.select("term", "parent").distinct(), articles.select(F.col("article").alias("id"), F.col("title").alias("text")), stands)
     told = told.groupBy(F.col("id").alias("article")).agg(F.collect_set(F.struct(F.lower("term").alias("term"), F.lower("parent").alias("parent"))).alias("named"))

@@ -2,24 +2,26 @@
 
 A term is any string, of one word or several, and is found wherever its
 characters are (names run on into endings in many languages), so words can't be
-the index. Each term is looked up under the rarest of its pairs of characters,
-by the texts' own counts; what meets there is checked in full. No text meets a
-term with which it has not that pair in common.
+the index. Each term is looked up under the rarest of its runs of four characters
+(or a shorter word), by the texts' own counts; what meets there is checked in full.
+No text meets a term with which it has not that run in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
 
-#: Terms up to which their side of a join is broadcast (some 100 bytes each).
+#: Terms, and runs of characters of them, up to which their side of a join is broadcast (some 100 bytes each).
 MOST_TERMS = 200_000
-#: Pairs of characters up to which a text is held against a list of them before it is taken apart.
-NAMED_PAIRS = 2_000
+#: Characters of a run that a term is looked up under.
+RUN = 4
 #: Weights, bonuses and the penalty of a title in hundredths; characters up to which a word alone names nothing; days after an incident.
 FACILITY, PHRASE, SPECIFIC, GENERIC, BONUS, FOREIGN, SHORT, RECENT = 60, 40, 30, 20, 10, 30, 3, 7
 
@@ -34,45 +36,96 @@ def spaced(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
-def _pairs(word: Column) -> Column:
-    """A short word's pairs of characters; of a single character that one."""
-    n = F.length(word)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(2)))).when(n == 1, F.array(word)).otherwise(F.array().cast("array<string>"))
+def _runs(word: Column) -> Column:
+    """A short word's runs of ``RUN`` characters; of a shorter word that one."""
+    n, size = F.length(word), F.least(F.length(word), F.lit(RUN))
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substr(word, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+def runs_in(wanted: list[str]) -> Callable[[Column], Column]:
+    """Which of some runs of up to ``RUN`` characters a text has. All runs of a batch are looked up at once by their hashes, so a text costs its length, however many runs are wanted."""
+
+    def mixed(chars: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(max(0, len(chars) - size + 1), size, np.uint64)
+        for k in range(size):
+            h = (h + chars[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    tables = []
+    for size in sorted({len(w) for w in wanted}):
+        own = sorted(w for w in wanted if len(w) == size)
+        h = mixed(np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), size)[::size]
+        order = np.argsort(h, kind="stable")
+        bits = np.zeros(1 << 20, bool)
+        bits[h & np.uint64(len(bits) - 1)] = True
+        tables.append((size, h[order], np.array(own, object)[order], bits))
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(texts))]
+        size_of = texts.str.len().to_numpy()
+        ends = np.cumsum(size_of)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for size, hashes, runs, bits in tables:
+            h = mixed(chars, size)
+            at = np.flatnonzero(bits[h & np.uint64(len(bits) - 1)])
+            place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+            at, place = at[hashes[place] == h[at]], place[hashes[place] == h[at]]
+            row = np.searchsorted(ends, at, "right")
+            inside = at + size <= ends[row]
+            for code in np.unique(row[inside] * len(hashes) + place[inside]).tolist():
+                r, p = divmod(code, len(hashes))
+                same = p  # runs whose hashes are equal count as found together; the check of terms tells them apart
+                while same < len(hashes) and hashes[same] == hashes[p]:
+                    out[r].append(runs[same])
+                    same += 1
+        return pd.Series(out)
+
+    return find
+
+
+def prepared(term: Column) -> Column:
+    """What a check reads of a term, made once and not for each text: its words, without spaces, and with single ones."""
+    return F.struct(F.split(spaced(term), " ").alias("words"), joined(term).alias("plain"), spaced(term).alias("spaced"))
 
 
 def holds(term: Column, plain: Column, with_spaces: Column) -> Column:
-    """Whether a text has the term: all its words, wherever; a single word of up to ``SHORT`` characters must stand there without a space in it."""
-    words = F.split(spaced(term), " ")
-    every = F.forall(words, lambda w: F.contains(plain, w))
-    return F.when((F.size(words) == 1) & (F.length(joined(term)) <= SHORT), F.contains(with_spaces, joined(term))).otherwise(every)
+    """Whether a text has the ``prepared`` term: all its words, wherever; a single word of up to ``SHORT`` characters must stand there without a space in it."""
+    every = F.forall(term["words"], lambda w: F.contains(plain, w))
+    return F.when((F.size(term["words"]) == 1) & (F.length(term["plain"]) <= SHORT), F.contains(with_spaces, term["plain"])).otherwise(every)
 
 
 def stands(term: Column, plain: Column, with_spaces: Column) -> Column:
-    """Whether a text has the term as it is written, whatever the case and the width of spaces."""
-    return F.contains(with_spaces, spaced(term))
+    """Whether a text has the ``prepared`` term as it is written, whatever the case and the width of spaces."""
+    return F.contains(with_spaces, term["spaced"])
 
 
-def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Column, Column], Column] = holds) -> DataFrame:
-    """All columns of ``terms`` (with term) and id, for each text (id, text) that has the term by ``check``. Blank terms are in no text."""
+def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Column, Column], Column] = holds, by: str | None = None) -> DataFrame:
+    """All columns of ``terms`` (with term) and of ``texts`` but text (id and more), for each text that has the term by ``check``. Blank terms are in no text.
+
+    With ``by``, a column of ``texts``, these are dealt by it before their hits
+    are made, so that grouping hits by it and others moves none of them.
+    """
     t = terms.withColumn("_n", F.monotonically_increasing_id()).where(joined(F.col("term")) != "").checkpoint()
-    x = texts.select("id", joined(F.col("text")).alias("_plain"), spaced(F.col("text")).alias("_spaced"))
-    alone = F.regexp_extract_all("_plain", F.lit("(?s)."), 0)
-    short = t.where(F.exists(F.split(spaced(F.col("term")), " "), lambda w: F.length(w) == 1)).limit(1).count() > 0  # only then single characters are an index
-    grams = F.array_distinct(F.concat(X.grams(F.col("_plain"), 2), alone)) if short else X.grams(F.col("_plain"), 2)
-    own = t.select("_n", F.explode(F.array_distinct(F.flatten(F.transform(F.split(spaced(F.col("term")), " "), _pairs)))).alias("_g"))
-    wanted = own.select("_g").distinct()
-    few = t.count() <= MOST_TERMS
+    # each text's hits are made where it lies
+    ids = [c for c in texts.columns if c != "text"]
+    x = texts.select(*ids, joined(F.col("text")).alias("_plain"), spaced(F.col("text")).alias("_spaced"))
+    same = t.select("term").distinct().withColumn("_t", F.monotonically_increasing_id()).checkpoint()  # a term of several cases is looked for once
+    own = same.select("_t", F.explode(F.array_distinct(F.flatten(F.transform(F.split(spaced(F.col("term")), " "), _runs)))).alias("_g"))
+    wanted = own.select("_g").distinct().checkpoint()
+    few = max(t.count(), wanted.count()) <= MOST_TERMS
     hint = F.broadcast if few else (lambda df: df)
-    met = x.select("id", F.explode(grams).alias("_g")).join(hint(wanted), "_g")
+    sizes = [] if few else [r.n for r in wanted.select(F.length("_g").alias("n")).distinct().collect()]
+    grams = lambda of: runs_in([r._g for r in of.select("_g").distinct().collect()])(F.col("_plain")) if few else F.concat(*(X.grams(F.col("_plain"), n) for n in sizes))
+    met = x.select(F.explode(grams(wanted)).alias("_g")).join(hint(wanted), "_g")
     df = met.groupBy("_g").agg(F.count("*").alias("_df"))
-    rarest = own.join(df, "_g", "left").groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_g"))
-    index = rarest.join(t.select("_n", "term"), "_n").checkpoint()
-    if few:  # only pairs that some term is looked up under take their text along; as many as there are terms at most
-        used = [r._g for r in index.select("_g").distinct().limit(NAMED_PAIRS + 1).collect()]
-        grams = F.array_intersect(grams, F.array(*map(F.lit, used)).cast("array<string>")) if len(used) <= NAMED_PAIRS else grams
-    texts_with = x.select("id", "_plain", "_spaced", F.explode(grams).alias("_g"))
-    hits = texts_with.join(hint(index), "_g").where(check(F.col("term"), F.col("_plain"), F.col("_spaced"))).select("_n", "id")
-    return hits.join(hint(t), "_n").drop("_n")
+    rarest = own.join(df, "_g", "left").groupBy("_t").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_g"))
+    index = rarest.join(same, "_t").select("_g", "term", prepared(F.col("term")).alias("_p")).checkpoint()
+    x = x if by is None else x.repartition(by)
+    hits = x.select(*ids, "_plain", "_spaced", F.explode(grams(index)).alias("_g")).join(hint(index), "_g")
+    hits = hits.where(check(F.col("_p"), F.col("_plain"), F.col("_spaced"))).select("term", *ids)
+    return hits.join(hint(t), "term").select(*terms.columns, *ids)
 
 
 def case_terms(cases: DataFrame, generic: list[str]) -> DataFrame:
@@ -109,25 +162,30 @@ def title_scores(cases: DataFrame, notices: DataFrame, regions: DataFrame, actio
     wanted = case_terms(cases, generic)
     titles = notices.select("id", F.col("title").alias("text"))
     hit = F.struct(joined(F.col("term")).alias("n"), "place", "term", "kind", "weight", "common")
-    found = find_terms(wanted, titles).groupBy("case", "id").agg(F.collect_list(hit).alias("hits"))  # at most the terms of a case
-    longest = F.array_sort("hits", lambda a, b: F.when(F.length(a.n) != F.length(b.n), F.length(b.n) - F.length(a.n)).otherwise(a.place - b.place))
-    found = found.withColumn("hits", longest).withColumn("kept", F.filter("hits", lambda a: ~F.exists("hits", lambda b: (b.n != a.n) & F.contains(b.n, a.n))))
+    tying = F.col("kind").isin("facility", "region") | ~F.col("common")
+    found = find_terms(wanted, titles, by="id").groupBy("case", "id").agg(F.collect_list(hit).alias("hits"), F.sum("weight").alias("most"), F.bool_or(tying).alias("tying"))  # at most the terms of a case
+    found = found.where(F.col("most") + 3 * BONUS >= least)
     named = find_terms(regions.select("term").distinct(), titles).groupBy("id").agg(F.collect_set(joined(F.col("term"))).alias("regions"))
-    tied = wanted.where("kind = 'region' OR kind = 'facility' AND NOT common").groupBy("case").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("tied"))
-    j = found.join(notices, "id").join(cases.select("case", "occurred", "own"), "case").join(named, "id", "left").join(tied, "case", "left")
+    tied = wanted.where("kind = 'region' OR kind = 'facility' AND NOT common").groupBy("case").agg(F.array_sort(F.collect_list(F.struct("place", prepared(F.col("term")).alias("p")))).alias("tied"))
     none = F.array().cast("array<string>")
-    plain, snippet, snippet_spaced = joined(F.col("title")), joined(F.col("snippet")), spaced(F.col("snippet"))
-    j = j.withColumns({"own": F.transform(F.coalesce("own", none), joined), "regions": F.coalesce("regions", none)})
+    # texts are cleaned once, not for each case
+    clean = notices.repartition("id").select("id", "published", joined(F.col("title")).alias("_plain"), joined(F.col("snippet")).alias("_snippet"), spaced(F.col("snippet")).alias("_spaced"))
+    j = found.join(clean, "id").join(cases.select("case", "occurred", F.transform(F.coalesce("own", none), joined).alias("own")), "case")
+    plain, snippet, snippet_spaced = F.col("_plain"), F.col("_snippet"), F.col("_spaced")
+    within = lambda text: F.exists("own", lambda o: (o != "") & F.contains(text, o))
+    in_title, in_snippet = within(plain), within(snippet)
+    j = j.where((F.col("most") >= least) | F.col("tying") | in_title | in_snippet)  # nothing else can have a bonus
+    j = j.join(named, "id", "left").join(tied, "case", "left").withColumn("regions", F.coalesce("regions", none))
+    longest = F.array_sort("hits", lambda a, b: F.when(F.length(a.n) != F.length(b.n), F.length(b.n) - F.length(a.n)).otherwise(a.place - b.place))
+    j = j.withColumn("hits", longest).withColumn("kept", F.filter("hits", lambda a: ~F.exists("hits", lambda b: (b.n != a.n) & F.contains(b.n, a.n))))
     any_ = lambda f: F.exists("kept", f)
     foreign = F.filter("regions", lambda r: ~F.array_contains("own", r) & ~F.exists("own", lambda o: F.contains(o, r)))
     foreign = F.array_sort(foreign, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     counts = F.col("own").isNotNull() & ~any_(lambda t: (t.kind == "facility") & ~t.common)
-    within = lambda text: F.exists("own", lambda o: (o != "") & F.contains(text, o))
-    in_title, in_snippet = within(plain), within(snippet)
     tie = any_(lambda t: t.kind.isin("facility", "region") | ~t.common) | in_title | in_snippet
     action = F.get(F.filter(F.array(*map(F.lit, actions)), lambda a: F.contains(plain, a)), F.lit(0)) if actions else F.lit(None).cast("string")
     recent = F.coalesce(F.datediff("published", "occurred").between(-1, RECENT), F.lit(False))
-    beside = F.exists(F.coalesce("tied", F.array().cast("array<struct<place:int,term:string>>")), lambda t: ~F.exists("kept", lambda k: k.n == joined(t.term)) & holds(t.term, snippet, snippet_spaced))
+    beside = F.exists(F.coalesce("tied", F.array().cast(tied.schema["tied"].dataType)), lambda t: ~F.exists("kept", lambda k: k.n == t.p.plain) & holds(t.p, snippet, snippet_spaced))
     beside = (snippet != "") & (beside | (in_snippet & ~in_title))
     j = j.withColumns({"foreign": F.when(counts, F.get(foreign, F.lit(0))), "tie": tie, "action": F.when(tie, action), "recent": tie & recent, "beside": tie & beside})
     total = F.aggregate(F.transform("kept", lambda t: t.weight), F.lit(0), lambda a, x: a + x)
