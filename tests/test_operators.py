@@ -193,3 +193,17 @@ def test_band_pairs_equal_a_plain_range_join(spark):
     l, r = spark.createDataFrame(rows, "k string, l_day date, l_id long"), spark.createDataFrame(rows, "k string, r_day date, r_id long")
     got = {(x.l_id, x.r_id) for x in linking.band_pairs(l, r, ["k"], 4).collect()}
     assert got == {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] == "k" and abs((a[1] - b[1]).days) <= 4}
+
+
+def test_chains_count_seconds_of_the_clock_as_sql_does(spark, tmp_path):
+    """Half a day and a fraction of a second: linked only where the clock shows no second more."""
+    import duckdb
+    from tidewatch.plans.catalogue import ORACLES
+
+    con = duckdb.connect()
+    stamps = ["00:00:00.900000", "12:00:01.100000", "00:00:00.100000", "12:00:00.900000", "00:00:00.000000", "12:00:00.000000", "00:00:00.999999", "12:00:01.000000"]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01 {t}', {i // 2}, 'error', 1.0, '{{\"k\": 1}}')" for i, t in enumerate(stamps))
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {tuple(r) for r in QUERIES["q_components"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(ORACLES["q_components"]).fetchall()) == {(2, 2), (3, 2), (4, 4), (5, 4)}
