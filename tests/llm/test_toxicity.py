@@ -60,3 +60,21 @@ def test_an_identifier_that_repeats_teaches_once(spark):
         X.train = train
     (texts, y), = seen
     assert len(texts) == 29 and sum(y) == 1
+
+
+def test_all_labelled_texts_teach(spark):
+    """More labels than the driver learns from: a word that only texts beyond them have tells, and all that are kept back set the thresholds."""
+    marks = ["", " zarrok"]
+    rows = [(i, f"plain words of text number {i % 17}{marks[i % 4 == 0]}", "en") for i in range(2000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    seen, train = [], X.train
+    settle, X.settle = X.settle, lambda m, z, y, langs, times: (seen.append(int(times.sum())), settle(m, z, y, langs, times))
+    # what the driver learns has the word in both classes
+    X.train = lambda texts, y, langs: train([t.replace(" zarrok", "") for t in texts], y, langs)
+    try:
+        model = X.learn(docs, labels, F.lit(True), per_class=60)
+    finally:
+        X.train, X.settle = train, settle
+    got = {r.row.doc_id: r.score for r in X.score_texts(docs, model, keep=["doc_id"]).collect()}
+    assert all((s >= 0.5) == (i % 4 == 0) for i, s in got.items())
+    assert 150 < seen[-1] < 250
