@@ -207,3 +207,25 @@ def test_chains_count_seconds_of_the_clock_as_sql_does(spark, tmp_path):
     con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got = {tuple(r) for r in QUERIES["q_components"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(ORACLES["q_components"]).fetchall()) == {(2, 2), (3, 2), (4, 4), (5, 4)}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_greedy_match_of_a_chain_takes_few_rounds(spark, tmp_path, monkeypatch, most):
+    """Each vector is nearest to the next one, so only the last two are best for both: with rounds alone, as many as pairs."""
+    import math
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(linking, "MOST_PAIRS", most, raising=False)
+    calls, kind = [], type(spark.range(1))
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: (calls.append(1), checkpoint(self, *a))[1])
+    angle = [sum(0.03 * 0.96**k for k in range(i)) for i in range(40)]
+    df = spark.createDataFrame([(i, 1, [math.cos(t), math.sin(t)]) for i, t in enumerate(angle)], "id long, key int, v array<double>")
+    got = linking.greedy_match(df.where("id % 2 = 0").selectExpr("key", "id a", "v x"), df.where("id % 2 = 1").selectExpr("key", "id b", "v y"), 0.5).collect()
+    want, used = set(), set()
+    for _, a, b in sorted((abs(angle[a] - angle[b]), a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    assert {(r.a, r.b) for r in got} == want and len(want) == 20
+    assert len(calls) <= 16
