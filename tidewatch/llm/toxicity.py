@@ -9,7 +9,7 @@ each text. Up to ``PER_CLASS`` of each class are learned in the driver. Where
 there are more, that model is only the start: all labelled texts are dealt to
 shards of about ``PER_SHARD`` by their identifiers, each shard's stream of texts
 moves a copy of the model, and the moves are averaged (a word's over the shards
-that have it), ``ROUNDS`` times. A tenth of all labelled texts is kept back to
+that have it), ``ROUNDS`` times. A fifth of all labelled texts (a tenth of few) is kept back to
 calibrate the score (Platt) and to choose a threshold for each language, by
 counts of their logits in steps of 1/``STEPS``. The score depends on the text
 alone: language only selects which threshold ``toxic_by_lang`` is held against.
@@ -43,6 +43,8 @@ from .langid import remainder
 BUCKETS, DIM, WIDTHS, FILTERS, GRAMS = 1 << 16, 16, (1, 2, 3), 8, (4, 5)
 PER_CLASS, EPOCHS, BATCH = 1500, 8, 32
 PER_SHARD, ROUNDS, STEPS, BLOCK = 4096, 2, 256, 4096
+#: Labelled identifiers up to which they are broadcast (some 40 MB); beyond it the join shuffles.
+MOST_IDS = 1_000_000
 MARKS = ".,;:!?\"'()[]{}<>|*_-«»“”„…"
 ANSWER = 0.7
 
@@ -278,8 +280,8 @@ def moved(rows: DataFrame, model: Model, pace: float, shards: int) -> Model:
         if last is not None:
             yield row()
 
-    moves = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "i").mapInArrow(tidy(walk), "block int, shard long, x binary, n binary")
-    sums = moves.repartition(BUCKETS // BLOCK, "block").sortWithinPartitions("block", "shard").mapInArrow(add, "block int, x binary, n binary")
+    moves = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "i").mapInArrow(tidy(walk), "block int, shard long, x binary, n binary")
+    sums = moves.repartitionById(BUCKETS // BLOCK + 1, F.col("block") + 1).sortWithinPartitions("block", "shard").mapInArrow(add, "block int, x binary, n binary")
     m, old = deepcopy(model), rest(model)
     for r in sums.collect():  # as many numbers as the model has, whatever the corpus
         x, n = np.frombuffer(r.x), np.maximum(1, np.frombuffer(r.n, np.int64))
@@ -340,7 +342,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, *, per_class: i
     """Train on all labelled documents. If a class has more than ``per_class``, those whose hashes come first only make the model that all are then learned from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(may_learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
-    known = known.select(F.col("doc_id").alias("i"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 9).alias("back"))
+    known = known.select(F.col("doc_id").alias("i"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 4).alias("back"))
     own = docs.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("t"), "lang")
 
     def with_texts(ids: DataFrame) -> DataFrame:
@@ -363,8 +365,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, *, per_class: i
     if model is None or all_fit:
         return model
     small_batches(spark)
-    shards = -(-(of(0) + of(1)) // PER_SHARD)
-    rows = with_texts(known).withColumns({"shard": F.pmod(F.xxhash64("i", F.lit(2)), F.lit(shards)), "h": F.xxhash64("i", F.lit(3))})
+    n = of(0) + of(1)
+    shards = -(-n // PER_SHARD)
+    rows = with_texts(F.broadcast(known) if n <= MOST_IDS else known).withColumns({"shard": F.pmod(F.xxhash64("i", F.lit(2)), F.lit(shards)), "h": F.xxhash64("i", F.lit(3))})
     rows = materialize(rows, "toxicity-labelled")
     for k in range(ROUNDS):
         model = moved(rows.where(~F.col("back") | F.lit(not keeps)).select("shard", "h", "i", "toxic", "t"), model, 0.5 ** (k + 1), shards)
