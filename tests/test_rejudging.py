@@ -103,3 +103,24 @@ def test_promise_digest_in_any_order(spark):
     one = promise_digest(spark.createDataFrame(rows, PROMISE)).collect()
     two = promise_digest(spark.createDataFrame(rows[::-1], PROMISE).repartition(3)).collect()
     assert len(one) == 1 and one == two and one[0].promise_set.startswith("2-")
+
+
+def test_evidence_is_added_up_without_sorting(spark):
+    """No sort for different done signals or the latest one, and the same decisions: by day, article (also an unknown one), and a day's problem first."""
+    two = lambda *parts, days=((2024, 3, 1), (2024, 3, 1)): [(case, part, 1, k, DAY(*day), "done", 65, True, True) for k, (case, part, day) in enumerate((c, p, d) for c, p, d in zip([next(ids)] * 2, parts, days, strict=True))]
+    ids = iter(range(10))
+    rows = [*two(7, 7), *two(7, 8), *two(7, 7, days=((2024, 3, 1), (2024, 3, 2))), *two(7, None), *two(None, None)]
+    rows += [(5, 1, 1, 1, DAY(2024, 3, 1), "problem", 90, True, True), (5, 2, 1, 2, DAY(2024, 3, 1), "progress", 99, True, True), (6, 1, 1, 1, DAY(2024, 3, 1), "problem", 90, True, True), (6, 2, 1, 2, DAY(2024, 3, 2), "progress", 60, True, True)]
+    links, cases = spark.createDataFrame(rows, LINK), case_rows(spark, range(7))
+    per = J.evidence(J.follow_ups(links, cases, AS_OF))
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Expand" not in plan and "HashAggregate" in plan
+    assert {r.case_id: r.several_done for r in per.collect() if r.case_id < 5} == {0: False, 1: True, 2: True, 3: True, 4: False}
+    code = {r.case_id: r.code for r in J.status_rules(cases, links, spark.createDataFrame([], PROMISE), AS_OF).collect()}
+    assert [code[c] == "R2" for c in range(5)] == [False, True, True, True, False] and code[5] == "R1" and code[6] == "R3"
+
+
+def test_a_batch_lists_its_files_once(spark, store):
+    assert store._read("links", [0]) is not None and store._part("links", 0) is store._part("links", 0)
+    store._append("links", spark.createDataFrame([link(3, 1)], LINK), 0)  # written again, so read again
+    assert store._read("links", [0]).count() == 1

@@ -33,21 +33,36 @@ def is_valid(t: Thresholds = T) -> Column:
 
 
 def evidence(follow: DataFrame, t: Thresholds = T) -> DataFrame:
-    """One row for each case with follow-ups: what the rules look at, in one aggregation."""
+    """One row for each case with follow-ups: what the rules look at, in one aggregation.
+
+    ``latest_problem`` and ``latest_conf`` are those of the latest valid signal (of
+    a day's, problems first, then the surest), ``several_done`` tells whether the
+    valid done signals are of different articles or days. All is kept as numbers,
+    so that nothing is sorted: day, problem and confidence are one of them.
+    """
     valid, signal = is_valid(t), F.col("signal")
-    rank = F.struct("pub", (signal == "problem").alias("p"), "conf", "signal")
-    return follow.groupBy("case_id").agg(
+    rank = F.shiftleft(2 * F.unix_date("pub").cast("long") + (signal == "problem").cast("long"), 32) + F.col("conf").cast("long") + (1 << 31)
+    of_done = lambda c: F.when(valid & (signal == "done"), F.col(c))
+    per = follow.groupBy("case_id").agg(
         F.max("pub").alias("last_follow"),
         F.count("*").alias("n_follow"),
         F.max(F.when(valid, rank)).alias("latest"),
+        F.min(of_done("part")).alias("_part"),
+        F.max(of_done("part")).alias("_part_to"),
+        F.count(of_done("part")).alias("_parts"),
+        F.min(of_done("pub")).alias("_pub"),
+        F.max(of_done("pub")).alias("_pub_to"),
         F.count_if(valid & (signal == "done")).alias("n_done"),
         F.count_if(valid & (signal == "done") & (F.col("conf") >= t.completion)).alias("n_strong"),
-        F.count_distinct(F.when(valid & (signal == "done"), F.struct("part", "pub"))).alias("n_distinct_done"),
         F.count_if(valid & (signal == "progress")).alias("n_progress"),
         F.count_if(valid & (signal == "problem")).alias("n_problem"),
         *(F.sum(F.when(valid & (signal == x), F.col("conf"))).alias(f"conf_{x}") for x in ("done", "progress", "problem")),
         F.sum(F.when(valid & (signal == "done") & (F.col("conf") >= t.completion), F.col("conf"))).alias("conf_strong"),
     )
+    differ = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    several = differ("_part", "_part_to") | differ("_pub", "_pub_to") | F.col("_parts").between(1, F.col("n_done") - 1)  # one without a part is another article
+    problem, conf = F.shiftright("latest", 32).bitwiseAND(1) == 1, (F.col("latest").bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
+    return per.withColumns({"several_done": several, "latest_problem": problem, "latest_conf": conf}).drop("latest", "_part", "_part_to", "_parts", "_pub", "_pub_to")
 
 
 def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of: str, t: Thresholds = T) -> DataFrame:
@@ -63,10 +78,10 @@ def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of:
     held = F.col("trackable") & F.col("active")
     due = promises.groupBy("case_id").agg(F.min(F.when(held, F.col("deadline"))).alias("first_deadline"), F.max(F.when(held, F.col("firm"))).alias("firm"), F.count_if(held).alias("n_trackable"), F.min("deadline").alias("first_promise"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    done = (n("n_strong") > 0) | (n("n_distinct_done") >= 2)
+    done = (n("n_strong") > 0) | F.coalesce("several_done", F.lit(False))
     passed = F.coalesce(F.col("first_deadline") < day, F.lit(False))
     code = (
-        F.when(F.coalesce(F.col("latest.p") & (F.col("latest.conf") >= t.completion), F.lit(False)), "R1")
+        F.when(F.coalesce(F.col("latest_problem") & (F.col("latest_conf") >= t.completion), F.lit(False)), "R1")
         .when(done, "R2")
         .when(n("n_progress") > 0, "R3")
         .when(F.col("last_follow").isNull(), "R4-none")
@@ -79,7 +94,7 @@ def status_rules(cases: DataFrame, links: DataFrame, promises: DataFrame, as_of:
     of_done = lambda strong, all_: F.when(n("n_strong") > 0, n(strong)).otherwise(n(all_))
     counted = F.when(F.col("code") == "R1", n("n_problem")).when(F.col("code") == "R2", of_done("n_strong", "n_done")).when(F.col("code") == "R3", n("n_progress")).otherwise(0)
     total = F.when(F.col("code") == "R1", n("conf_problem")).when(F.col("code") == "R2", of_done("conf_strong", "conf_done")).when(F.col("code") == "R3", n("conf_progress"))
-    why = F.when(n("n_trackable") == 0, "no trackable promise").when(n("n_done") > 0, "weak done").when(F.coalesce(F.col("latest.p"), F.lit(False)), "weak problem").otherwise("no valid signal")
+    why = F.when(n("n_trackable") == 0, "no trackable promise").when(n("n_done") > 0, "weak done").when(F.coalesce("latest_problem", F.lit(False)), "weak problem").otherwise("no valid signal")
     return joined.withColumns({
         "n_counted": counted,
         "n_prior": F.when((F.col("code") == "R1") & done, of_done("n_strong", "n_done")).otherwise(0),

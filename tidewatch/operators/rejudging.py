@@ -53,6 +53,7 @@ class JudgedCases:
 
     def __init__(self, spark: SparkSession, path: str, as_of: str, thresholds: Thresholds = Thresholds(), buckets: int = 64):
         self.spark, self.path, self.as_of, self.t, self.buckets = spark, path.rstrip("/"), as_of, thresholds, buckets
+        self._found: dict[tuple[str, int], DataFrame | None] = {}  # what is written doesn't change, so its files are listed once
         self.version = "-".join(str(getattr(thresholds, f)) for f in thresholds.__dataclass_fields__) + "@" + as_of
 
     # commits
@@ -80,19 +81,27 @@ class JudgedCases:
 
     def _write(self, name: str, rows: DataFrame, batch: int) -> None:
         # balanced by size, so a case with very many rows is more than one task's work
+        self._found.pop((name, batch), None)
         rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={batch}")
 
     def _append(self, name: str, rows: DataFrame, batch: int) -> None:
         gone = F.coalesce(F.col("gone"), F.lit(False)) if "gone" in rows.columns else F.lit(False)
         self._write(name, rows.withColumn("gone", gone), batch)
 
+    def _part(self, name: str, batch: int) -> DataFrame | None:
+        """A batch's rows of a log, None if it has none."""
+        if self._found.get((name, batch)) is None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={batch}")
+            there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+            self._found[name, batch] = self.spark.read.option("basePath", f"{self.path}/{name}/batch={batch}").parquet(f"{self.path}/{name}/batch={batch}").withColumn("batch", F.lit(batch)) if there else None
+        return self._found[name, batch]
+
     def _read(self, name: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame | None:
         """Rows of some batches, with ``batch``; only the named buckets are scanned."""
         out = None
         for b in batches:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={b}")
-            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-                rows = self.spark.read.option("basePath", f"{self.path}/{name}/batch={b}").parquet(f"{self.path}/{name}/batch={b}").withColumn("batch", F.lit(b))
+            rows = self._part(name, b)
+            if rows is not None:
                 out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if out is not None and buckets is not None and len(buckets) <= NAMED_BUCKETS:
             out = out.where(F.col("bucket").isin(buckets))
@@ -122,7 +131,9 @@ class JudgedCases:
                     own = own.where("case_id IS NOT NULL").select("case_id", "bucket")
                     touched = own if touched is None else touched.union(own)
         if touched is not None:
-            self._judge(touched.distinct(), batch)
+            # written, as it is read for the buckets and again for each log
+            touched.distinct().write.mode("overwrite").parquet(f"{self.path}/touched/batch={batch}")
+            self._judge(self.spark.read.parquet(f"{self.path}/touched/batch={batch}"), batch)
         self._commit(batch, "batch")
         return batch
 

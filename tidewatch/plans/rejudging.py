@@ -23,14 +23,25 @@ def wave(pub: str):
 
 def judged_in_batches(spark, d) -> JudgedCases:
     """The table after its first load and three batches of arrivals and rejections."""
-    all_links = links(spark, d).withColumn("wave", wave("pub"))
     told = F.least(F.col("wave") + 1, F.lit(3))  # when a rejection is known
-    table = JudgedCases(spark, f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}", AS_OF, buckets=buckets_for(all_links.count()))
+    path = f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}"
+
+    def by_wave(rows, name):
+        """Dealt to the waves once, so that a batch reads its own arrivals and the wave before."""
+        rows.write.partitionBy("wave").parquet(f"{path}/arrivals/{name}")
+        return spark.read.parquet(f"{path}/arrivals/{name}")
+
+    all_links = by_wave(links(spark, d).withColumn("wave", wave("pub")), "links")
+    all_promises = by_wave(promises(spark, d, all_links, "wave", "review", "rejected"), "promises")
+
+    def batch(rows, k):
+        new = rows.where(F.col("wave") == k).withColumn("rejected", F.col("rejected") & (told <= k))
+        changed = rows.where((told == k) & (F.col("wave") < k) & F.col("rejected"))
+        return new.unionByName(changed).withColumn("active", ~F.col("review") & ~F.col("rejected")).drop("wave", "review", "rejected")
+
+    table = JudgedCases(spark, path, AS_OF, buckets=buckets_for(all_links.count()))
     for k in range(4):
-        new = all_links.where(F.col("wave") == k).withColumn("rejected", F.col("rejected") & (told <= k))
-        changed = all_links.where((told == k) & (F.col("wave") < k) & F.col("rejected"))
-        batch = new.unionByName(changed).withColumn("active", ~F.col("review") & ~F.col("rejected")).select("case_id", "part", "supp", "line", "pub", "signal", "conf", "matches", "active")
-        table.apply(case_days(spark, d) if k == 0 else None, batch, promises(spark, d, batch))
+        table.apply(case_days(spark, d) if k == 0 else None, batch(all_links, k), batch(all_promises, k))
     return table
 
 
