@@ -115,3 +115,21 @@ def test_promises_are_kept_without_vectors(spark):
     sf = "/root/testdata/sf0.001"
     p = P.case_promises(spark, sf)
     assert "v" not in p.columns and P.with_vectors(p, sf).where("size(v) = 64").count() == p.count() > 0
+
+
+def test_small_keys_are_filtered_by_counts_and_dealt_by_number(spark, monkeypatch):
+    """Titles of a small key are matched in full only where their counts allow it, with the same result; tasks are not put together by bytes."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh éß\U0001f30a") for _ in range(rng.randrange(0, 60))) for _ in range(12)]
+    texts = base + ["".join(c if rng.random() > 0.06 else rng.choice("xyz") for c in t) for t in base] + ["a" * 40_000, "a" * 39_000]
+    a, b = [s for s in texts for _ in texts], texts * len(texts)
+    full = difflib.SequenceMatcher
+    want = [full(None, s, t).ratio() >= 0.9 for s, t in zip(a, b, strict=True) if len(s) < 100 and len(t) < 100]
+    calls = []
+    monkeypatch.setattr(L.difflib, "SequenceMatcher", lambda *x: calls.append(x) or full(*x))
+    short = [k for k in range(len(a)) if len(a[k]) < 100 and len(b[k]) < 100]
+    assert L._alike([a[k] for k in short], [b[k] for k in short], 0.9).tolist() == want and sum(want) > 30
+    assert len(calls) < len(want) / 3
+    assert L._apart(*(x[None] for x in L._bags(["a" * 40_000, "a" * 39_000])[0])).tolist() == [0]
+    rows = spark.createDataFrame([(1, k, k, t) for k, t in enumerate(dict.fromkeys(base))], "key int, id long, ord long, t string")
+    assert L.matching_titles(rows)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2

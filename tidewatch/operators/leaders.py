@@ -83,6 +83,33 @@ def _sorted(pdf):
     return pdf.iloc[sorted(range(len(pdf)), key=[plain(x) for x in pdf.ord].__getitem__)].reset_index(drop=True)
 
 
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each text's characters and of its pairs of characters in 64 cells; what is over 32,767 counts as that, which brings texts only nearer."""
+    one, two = np.zeros((len(texts), 64), np.int16), np.zeros((len(texts), 64), np.int16)
+    for k, t in enumerate(texts):
+        x = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        one[k] = np.minimum(np.bincount(x * np.uint32(2654435761) >> np.uint32(26), minlength=64), 32767)
+        two[k] = np.minimum(np.bincount((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(2654435761) >> np.uint32(26), minlength=64), 32767)
+    return one, two
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How much the counts of rows differ in all."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
+
+
+def _alike(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Whether the ratio of two texts is ``least`` or more, row by row; only pairs that their counts allow are matched in full."""
+    at = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    one, two = _bags(list(at))
+    x, y = (np.array([at[t] for t in ts], int) for ts in (a, b))
+    most = np.array([int((1 - least) * (len(s) + len(t)) + 1e-9) for s, t in zip(a, b, strict=True)], int)
+    may = (_apart(one[x], one[y]) <= most) & (_apart(two[x], two[y]) <= 3 * most)
+    for k in np.nonzero(may)[0]:
+        may[k] = difflib.SequenceMatcher(None, a[k], b[k]).ratio() >= least
+    return may
+
+
 def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
     """early, late: titles (key, id, ord, t; different t in a key) of a key whose longest matching blocks make up ``least`` of both, at least.
 
@@ -103,11 +130,7 @@ def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
         n, texts = len(pdf), pdf.t.tolist()
         size, part, own, band = np.array([len(t) for t in texts]), pdf.i.to_numpy(), pdf.own.to_numpy(), pdf.key.iloc[0]["band"]
         lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
-        one, two = np.zeros((n, 64), np.int32), np.zeros((n, 64), np.int32)
-        for k, t in enumerate(texts):
-            x = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-            one[k] = np.bincount(x * np.uint32(2654435761) >> np.uint32(26), minlength=64)
-            two[k] = np.bincount((x[:-1] * np.uint32(31) + x[1:]) * np.uint32(2654435761) >> np.uint32(26), minlength=64)
+        one, two = _bags(texts)
         out = []
         for k in range(n - 1):
             r = np.arange(k + 1, n)
@@ -115,9 +138,9 @@ def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
             most = ((1 - least) * (size[r] + size[k]) + 1e-9).astype(int)
             keep = np.abs(size[r] - size[k]) <= most
             r, most = r[keep], most[keep]
-            keep = np.abs(one[r] - one[k]).sum(1) <= most
+            keep = _apart(one[r], one[k]) <= most
             r, most = r[keep], most[keep]
-            r = r[np.abs(two[r] - two[k]).sum(1) <= 3 * most]
+            r = r[_apart(two[r], two[k]) <= 3 * most]
             for x in r:
                 if difflib.SequenceMatcher(None, texts[k], texts[x]).ratio() >= least:
                     out.append((pdf.id.iloc[k], pdf.id.iloc[x]))
@@ -125,10 +148,14 @@ def matching_titles(titles: DataFrame, least: float = 0.9) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series(_alike(a.tolist(), b.tolist(), least), dtype=bool)
 
     near = F.abs(F.length("t_a") - F.length("t_b")) <= F.floor((1 - least) * (F.length("t_a") + F.length("t_b")) + 1e-9)
-    small = pairs.where(((F.col("own_a") == F.col("key.band")) | (F.col("own_b") == F.col("key.band"))) & near).select("id_a", "id_b", "t_a", "t_b").distinct()
+    small = pairs.where(((F.col("own_a") == F.col("key.band")) | (F.col("own_b") == F.col("key.band"))) & near).select("id_a", "id_b", "t_a", "t_b")
+    # by number, as few bytes are much work here: partitions are not put together by size
+    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = small.repartition(n, "id_a", "id_b").dropDuplicates(["id_a", "id_b"])
+    blocks = blocks.repartition(n, "key", "lo", "hi")
     small = small.where(alike("t_a", "t_b")).select(F.col("id_a").alias("early"), F.col("id_b").alias("late"))
     kind = titles.schema["id"].dataType.simpleString()
     return blocks.groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").unionByName(small).distinct()
