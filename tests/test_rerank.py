@@ -69,3 +69,29 @@ def test_seeds_raise(spark, tmp_path):
     with pytest.raises(files.SeedError, match="b: no date; c: empty query"):
         files.checked_seeds(seeds)
     assert files.checked_seeds(seeds.where("key = 'a'")).count() == 1
+
+
+def test_words_that_cannot_get_a_weight_are_left_out_before_they_are_joined(spark, monkeypatch):
+    """The same weights of fewer rows, also where the most frequent words tell nothing, and for seeds, unknown keys and keys of one document."""
+    rng = random.Random(3)
+    rows = [(k, f"w{i}", min(40, 1 + int(40 * rng.random() ** 4))) for k in ("a", "b", None) for i in range(300)] + [(k, "the", 40) for k in ("a", "b", None)] + [("one", f"w{i}", 1) for i in range(5)] + [("all", "the", 9)]
+    counts = spark.createDataFrame(rows, "key string, word string, n long").checkpoint()
+    sizes = spark.createDataFrame([("a", 40), ("b", 40), ("one", 1), ("all", 9)], "key string, n_core long")
+    df, n = counts.groupBy("word").agg(F.sum("n").alias("df")), spark.createDataFrame([(130,)], "n_docs long")
+    seeds = spark.createDataFrame([("a", "unseen"), ("a", "w7"), ("all", "w9"), ("other", "w1")], "key string, word string")
+    generic = F.col("word") == "w3"
+    want = sorted(map(tuple, linking.term_weights(counts, sizes, df, n, seeds, generic).collect()))
+    for look, most in ((1, 10**6), (20, 10**6), (20, 0)):
+        monkeypatch.setattr(linking, "LOOK", look)
+        monkeypatch.setattr(linking, "MOST_WORDS", most)
+        less, size, own = linking.heavy_words(counts, sizes, n, seeds, generic)
+        assert sorted(map(tuple, linking.term_weights(less, size, own, n, seeds, generic).collect())) == want
+    assert len(want) > 50 and less.count() < 0.7 * counts.count()
+    assert sorted(map(tuple, linking.term_weights(*linking.heavy_words(counts, sizes, n)[:2], df, n).collect())) == sorted(map(tuple, linking.term_weights(counts, sizes, df, n).collect()))
+
+
+def test_words_of_texts_are_not_shuffled_to_the_weights(spark):
+    from tidewatch.plans.linking import q_sentence_weight
+
+    for df in (q_sentence_weight(spark, "/root/testdata/sf0.001"),):
+        assert "ResolvedHint (strategy=broadcast)" in (plan := df._jdf.queryExecution().toString()) or "strategy=broadcast" in plan
