@@ -92,6 +92,7 @@ def test_words_that_cannot_get_a_weight_are_left_out_before_they_are_joined(spar
 
 def test_words_of_texts_are_not_shuffled_to_the_weights(spark):
     from tidewatch.plans.linking import q_sentence_weight
+    from tidewatch.plans.reranking import pairs
 
-    for df in (q_sentence_weight(spark, "/root/testdata/sf0.001"),):
+    for df in (q_sentence_weight(spark, "/root/testdata/sf0.001"), pairs(spark, "/root/testdata/sf0.001")):
         assert "ResolvedHint (strategy=broadcast)" in (plan := df._jdf.queryExecution().toString()) or "strategy=broadcast" in plan

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as X
 from tidewatch.operators import rerank as R
+from tidewatch.operators.linking import small
 from tidewatch.sources.tables import table, title
 
 from .catalogue import query
@@ -13,6 +14,8 @@ from .linking import WEIGHTS_SQL, checkpoints, weights
 
 #: Stand-ins for the expressions that a user brings.
 RULES = {"new_incident": "the", "frame": "der|die", "action": "ing", "policy": "tion", "nationwide": "all", "weather": "ain", "politics": "keit", "quote": "[\"']", "natural": "^e", "traffic": "^f"}
+#: Sources with their words (some 3 KB each) up to which they are broadcast.
+MOST_CASES = 5_000
 SPECIFIC, INCIDENT = "^.{7,}$", ["the", "und", "que"]
 
 PAIR_SQL = f"""{WEIGHTS_SQL}, k AS (SELECT key, word, weight, rn FROM weights WHERE rn <= 40),
@@ -56,7 +59,7 @@ def pairs(spark, d):
     c, n = F.col, F.col("n_chars")
     names = lambda *xs: F.array(*(F.lit(x) for x in xs))
     reasons = F.array_compact(F.array(F.when(c("lang") == "en", "region"), F.when(c("text").contains("mente"), "facility"), F.concat(F.lit("kw="), (n % 5).cast("string")), F.when(n % 3 == 0, "cap-recur"), F.when(n % 4 == 0, "cap-place:x")))
-    docs = table(spark, d, "documents").withColumn("title", title()).join(case, "source")
+    docs = table(spark, d, "documents").withColumn("title", title()).join(small(case, MOST_CASES), "source")  # texts stay where they are read
     days = n - 500
     return docs.select(
         "doc_id", "source", "lang", "title", F.split_part("text", F.lit("."), F.lit(2)).alias("head"), F.array("lang", "source").alias("keywords"), "text", "weights", "unique", "facility_terms", "promise_terms", "n_candidates",
