@@ -96,3 +96,13 @@ def test_words_of_texts_are_not_shuffled_to_the_weights(spark):
 
     for df in (q_sentence_weight(spark, "/root/testdata/sf0.001"), pairs(spark, "/root/testdata/sf0.001")):
         assert "ResolvedHint (strategy=broadcast)" in (plan := df._jdf.queryExecution().toString()) or "strategy=broadcast" in plan
+
+
+def test_words_are_counted_in_small_splits(spark):
+    from tidewatch.plans.linking import small_splits
+
+    name, path = "spark.sql.files.maxPartitionBytes", "/root/testdata/sf0.1/lineitem.parquet"
+    before = spark.conf.get(name)
+    with small_splits(spark, "1m"):
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= 8
+    assert spark.conf.get(name) == before
