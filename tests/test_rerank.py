@@ -106,3 +106,26 @@ def test_words_are_counted_in_small_splits(spark):
     with small_splits(spark, "1m"):
         assert spark.read.parquet(path).rdd.getNumPartitions() >= 8
     assert spark.conf.get(name) == before
+
+
+def test_every_word_with_a_weight_counts(spark):
+    """No words of a key are left out, neither of its weights nor of a document's sum."""
+    n = 60
+    counts = spark.createDataFrame([("k", f"w{i:02}", 10) for i in range(n)], "key string, word string, n long")
+    one = lambda df, kind: spark.createDataFrame(df, kind)
+    df = counts.groupBy("word").agg(F.sum("n").alias("df"))
+    assert linking.term_weights(counts, one([("k", 10)], "key string, n_core long"), df, one([(100,)], "n_docs long")).count() == n
+    rng = random.Random(6)
+    weights = [(k, f"w{i}", rng.choice([20, 50, 51, 301, 905, 970, 1000])) for k in "abc" for i in range(40) if rng.random() < 0.4]
+    weights += [("d", "w0", 950)] + [("d", f"w{i}", 3) for i in range(1, 12)]
+    docs = {d: {f"w{i}" for i in range(45) if rng.random() < (d % 8 + 1) / 12} for d in range(60)} | {99: {f"w{i}" for i in range(12)}}
+    want = {}
+    for key in "abcd":
+        for d, ws in docs.items():
+            own = sorted((w for k, word, w in weights if k == key and word in ws), reverse=True)
+            if own and own[0] > 900:
+                want[key, d] = min(1000, round(own[0] + sum(own[1:]) / 2))
+    w = one(weights, "key string, word string, w long").checkpoint()
+    got = linking.sentence_weights(w, one([(d, x) for d, ws in docs.items() for x in ws], "doc_id long, word string"))
+    assert {(r.key, r.doc_id): r.sentence for r in got.collect()} == want
+    assert want["d", 99] == 966 and len({x for x in want.values() if x < 1000}) > 3
