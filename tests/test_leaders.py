@@ -109,6 +109,49 @@ def test_promises_equal_a_fold(spark, monkeypatch, small):
     assert {x.id: set(x.merged) for x in L.with_evidence(df, led).collect()} == merged
 
 
+@pytest.mark.parametrize("small", [0, 6, 64])
+def test_promises_of_small_and_large_cases_with_their_evidence(spark, monkeypatch, small):
+    """Cases that lie in several Arrow batches, of any size and without an identifier; vectors are made where actions are compared."""
+    r = random.Random(small)
+    words = ["build", "Repair", "repair", "the", "dam", "dams", "É", "quickly"]
+    rows = []
+    for i in range(300):
+        action = r.choice([None, "", *[" ".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(12)]])
+        rows.append((f"p{i:03}", r.choice([None, *range(60), *[7] * 15]), r.choice(["city", "", None]), r.choice(["mayor", None]), action, r.random() < 0.7, None, r.choice([None, datetime.date(2024, r.randint(1, 12), 1)]), r.choice([None, *range(8, 12)])))
+    df = spark.createDataFrame(rows, "id string, case_id long, org string, speaker string, action string, active boolean, firm boolean, deadline date, evidence long")
+    vec = {x.id: x.v for x in df.select("id", X.hash_counts(F.col("action")).alias("v")).collect()}
+    assert [list(v) for v in X.count_vectors([(p[4] or "").lower() for p in rows])] == [vec[p[0]] for p in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(vec[a[0]], vec[b[0]], strict=True))
+    kept, want, merged = [], {}, {}
+    for p in sorted(rows, key=lambda p: (not p[5], p[7] is None, p[7] or datetime.date.max, p[0])):
+        of, said = (p[1], p[2] or ""), p[4] or ""
+        near = [k for k in kept if (k[1], k[2] or "") == of and (said == (k[4] or "") or ((p[2] or k[3] == p[3]) and dot(k, p) > 0 and 10000 * dot(k, p) ** 2 >= 85 * 85 * dot(k, k) * dot(p, p)))]
+        hit = near[0] if near else p
+        want[p[0]] = hit[0]
+        if hit is p:
+            kept.append(p)
+        merged.setdefault(hit[0], set()).update({p[8]} - {None, hit[8]})
+    monkeypatch.setattr(L, "SMALL", small)
+    monkeypatch.setattr(L, "BLOCK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {x.id: x.leader for x in L.merge_same_promises(df, None).collect()} == want
+        assert {x.id: x.merged for x in L.merged_promises(df, None).collect()} == {k: sorted(v) for k, v in merged.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 20 < len(merged) < 280 and any(len(v) > 1 for v in merged.values())
+
+
+def test_promises_are_shuffled_once(spark):
+    """Cases meet in one shuffle, by their identifier, without vectors; nothing else of a promise is moved or written."""
+    from tidewatch.plans import grouping as P
+
+    sf = "/root/testdata/sf0.001"
+    for df in (P.q_promise_evidence(spark, sf),):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(case_id") == plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan
+
+
 def test_promises_are_kept_without_vectors(spark):
     from tidewatch.plans import grouping as P
 

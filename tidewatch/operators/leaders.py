@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import count_vectors, hash_counts
+
 #: Rows of a side that are compared at once in a task; rows of a key up to which they are joined with each other instead.
 BLOCK, SMALL = 2048, 64
 
@@ -198,21 +200,114 @@ def cosine_matches(rows: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("key", "lo", "hi").applyInPandas(compare, f"early {kind}, late {kind}").unionByName(small).distinct()
 
 
-def merge_same_promises(promises: DataFrame, vector: str = "v", percent: int = 85) -> DataFrame:
-    """id, leader: promises of a case that say the same go to the first of them that is kept.
+#: Pairs whose vectors are multiplied at once.
+PAIRS = 1 << 14
 
-    ``promises``: id, case_id, org ('' or null: unknown), speaker, action, active,
-    firm, deadline and a count vector of the action. The same organisation and
-    the same action, or actions whose vectors have a cosine of ``percent``
-    hundredths, are one promise; of an unknown organisation only the same action,
-    or near ones of the same speaker. Order: evidence that holds, firm, with a
-    deadline, the earlier deadline, id.
+
+def _codes(column) -> np.ndarray:
+    """Equal numbers for equal values of an Arrow column; a null is a value."""
+    return np.asarray(column.combine_chunks().dictionary_encode(null_encoding="encode").indices)
+
+
+def _near(a: np.ndarray, b: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows a and b of ``v`` have a cosine of ``percent`` hundredths or more, pair by pair; each two rows are multiplied once."""
+    pairs, back = np.unique(a.astype(np.int64) * len(v) + b, return_inverse=True)
+    norm, near = (v * v).sum(1), np.zeros(len(pairs), bool)
+    for k in range(0, len(pairs), PAIRS):
+        x, y = np.divmod(pairs[k : k + PAIRS], len(v))
+        dot = (v[x] * v[y]).sum(1)
+        near[k : k + PAIRS] = (dot > 0) & (10_000 * dot * dot >= percent * percent * norm[x] * norm[y])
+    return near[back]
+
+
+def _fold(t, percent: int) -> np.ndarray:
+    """The row that each row of whole cases goes to; an Arrow table with ``place`` in the case (from 1), by which cases are in order.
+
+    All cases take a step at once: their second promises, then their third
+    ones, and so on, each to the first kept one that it matches.
     """
-    order = F.struct((~F.coalesce("active", F.lit(False))).alias("a"), (~F.coalesce("firm", F.lit(False))).alias("f"), F.col("deadline").isNull().alias("n"), F.col("deadline").alias("d"), F.col("id").alias("i"))
-    org = F.coalesce("org", F.lit(""))
-    speaker = F.when(org == "", F.coalesce("speaker", F.lit("")))  # only then it counts
-    rows = promises.select("id", "case_id", org.alias("org"), speaker.alias("speaker"), F.coalesce("action", F.lit("")).alias("action"), order.alias("ord"), F.col(vector).alias("v"))
+    import pyarrow.compute as pc
+
+    n, place = len(t), np.asarray(t.column("place").combine_chunks())
+    case, (org, speaker, action) = np.cumsum(place == 1), (_codes(t.column(c)) for c in ("org", "speaker", "action"))
+    unknown = np.asarray(pc.equal(t.column("org"), "").combine_chunks())
+    # each two rows of a case and an organisation
+    group = case * (int(org.max()) + 1) + org
+    order = np.argsort(group, kind="stable")
+    new = np.r_[True, group[order][1:] != group[order][:-1]]
+    before = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    late = np.repeat(np.arange(n), before)
+    back = np.arange(len(late)) - np.repeat(np.cumsum(before) - before, before) + 1
+    early, late = order[late - back], order[late]
+    same = action[early] == action[late]
+    may = np.flatnonzero(~same & (~unknown[late] | (speaker[early] == speaker[late])))
+    if "v" in t.column_names:
+        vectors, row = np.stack(t.column("v").to_numpy()).astype(np.int64), np.arange(n)
+    else:
+        said = t.column("said").combine_chunks().dictionary_encode()
+        vectors, row = count_vectors(said.dictionary.to_pylist()), np.asarray(said.indices)
+    same[may] = _near(row[early[may]], row[late[may]], vectors, percent)
+    early, late = early[same], late[same]
+    order = np.lexsort((early, late, place[late]))
+    early, late = early[order], late[order]
+    lead, kept = np.arange(n), np.ones(n, bool)
+    steps = np.searchsorted(place[late], np.arange(2, place.max() + 2))
+    for i, j in zip(steps[:-1], steps[1:], strict=True):
+        ok = kept[early[i:j]]
+        to, first = np.unique(late[i:j][ok], return_index=True)
+        lead[to], kept[to] = early[i:j][ok][first], False
+    return lead
+
+
+def _merged(evidence, lead: np.ndarray):
+    """The kept rows, and for each an Arrow array of the sorted evidence of the rows that went to it; its own is not repeated."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    values = evidence.combine_chunks().dictionary_encode()
+    code, n = values.indices.fill_null(-1).to_numpy(zero_copy_only=False), max(1, len(values.dictionary))
+    order = np.asarray(pc.sort_indices(values.dictionary)).astype(np.int64)
+    rank = np.argsort(order)
+    kept = np.flatnonzero(lead == np.arange(len(lead)))
+    gone = np.flatnonzero((code >= 0) & (code != code[lead]))
+    pairs = np.unique(lead[gone] * n + rank[code[gone]])
+    ends = np.cumsum(np.bincount(pairs // n, minlength=len(lead))[kept])
+    return kept, pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), values.dictionary.take(pa.array(order[pairs % n])))
+
+
+def _folded(rows: DataFrame, percent: int, evidence: bool) -> DataFrame:
+    """id, leader of the promises of small cases, or with ``evidence`` id, merged of those that stand. Cases are decided in the task where they lie."""
+
+    def decide(batches):
+        import pyarrow as pa
+
+        def out(t):
+            lead, ids = _fold(t, percent), t.column("id").combine_chunks()
+            if evidence:
+                kept, merged = _merged(t.column("evidence"), lead)
+                return pa.table({"id": ids.take(pa.array(kept)), "merged": merged}).to_batches()
+            return pa.table({"id": ids, "leader": ids.take(pa.array(lead))}).to_batches()
+
+        left = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            starts = np.flatnonzero(np.asarray(t.column("place").combine_chunks()) == 1)
+            cut = int(starts[-1]) if len(starts) else 0  # the last case may go on in the next batch
+            if cut:
+                yield from out(t.slice(0, cut))
+            left = t.slice(cut)
+        if left is not None and len(left):
+            yield from out(left)
+
+    kind = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in rows.schema)}
+    return rows.mapInArrow(decide, f"id {kind['id']}, merged array<{kind['evidence']}>" if evidence else f"id {kind['id']}, leader {kind['id']}")
+
+
+def _in_rounds(rows: DataFrame, percent: int) -> DataFrame:
+    """id, leader of the promises of cases of any size: classes of what is alike, matched in blocks and decided in rounds."""
     kind = ["case_id", "org", "speaker", "action"]
+    rows = rows.select(*kind, "id", F.struct("a", "f", "n", "d", F.col("id").alias("i")).alias("ord"), "v")
     classes = rows.groupBy(*kind).agg(F.min(F.struct("ord", "id")).alias("first"), F.any_value("v").alias("v")).select(*kind, F.col("first.id").alias("id"), F.col("first.ord").alias("ord"), "v").checkpoint()
     unknown = F.when(F.col("org") == "", F.to_json(F.struct("case_id", "action")))
     near = cosine_matches(classes.select(F.struct("case_id", "org", "speaker").alias("key"), "id", "ord", "v"), percent)
@@ -222,6 +317,66 @@ def merge_same_promises(promises: DataFrame, vector: str = "v", percent: int = 8
     return rows.join(of, cond[0] & cond[1] & cond[2] & cond[3]).select(rows["id"], "leader")
 
 
+def _by_size(promises: DataFrame, sizes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The promises of cases of up to ``SMALL`` promises, and those of larger ones (None if there are none)."""
+    sizes = promises.groupBy("case_id").agg(F.count("*").alias("n")) if sizes is None else sizes
+    large = sizes.where(F.col("n") > SMALL).select(F.col("case_id").alias("_c")).checkpoint()
+    if large.isEmpty():
+        return promises, None
+    same = F.col("case_id").eqNullSafe(F.col("_c"))
+    return promises.join(large, same, "left_anti"), promises.join(large, same, "left_semi")
+
+
+def _prepared(promises: DataFrame, vector: str | None, *more: str) -> DataFrame:
+    """What decides of each promise; the speaker only where the organisation is unknown, v only if there is a ``vector``."""
+    org, action = F.coalesce("org", F.lit("")), F.coalesce("action", F.lit(""))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    vectors = [] if vector is None else [F.col(vector).alias("v")]
+    return promises.select("case_id", "id", org.alias("org"), F.when(org == "", F.coalesce("speaker", F.lit(""))).alias("speaker"), action.alias("action"), no("active").alias("a"), no("firm").alias("f"), F.col("deadline").isNull().alias("n"), F.col("deadline").alias("d"), *vectors, *more)
+
+
+def _in_order(rows: DataFrame, vector: str | None, *more: str) -> DataFrame:
+    """The rows of each case side by side, in order, numbered from 1; that is the one shuffle of them."""
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("a", "f", "n", "d", "id"))
+    read = F.lower("action").alias("said") if vector is None else F.col("v")
+    return rows.withColumn("place", place).select("place", "id", "org", "speaker", "action", read, *more)
+
+
+def merge_same_promises(promises: DataFrame, vector: str | None = "v", percent: int = 85, sizes: DataFrame | None = None) -> DataFrame:
+    """id, leader: promises of a case that say the same go to the first of them that is kept.
+
+    ``promises``: id, case_id, org ('' or null: unknown), speaker, action, active,
+    firm, deadline and a count vector of the action. The same organisation and
+    the same action, or actions whose vectors have a cosine of ``percent``
+    hundredths, are one promise; of an unknown organisation only the same action,
+    or near ones of the same speaker. Order: evidence that holds, firm, with a
+    deadline, the earlier deadline, id.
+
+    Cases of up to ``SMALL`` promises are decided in one task each, many at once,
+    after one shuffle; larger ones in blocks and rounds over all tasks. ``sizes``
+    (case_id, n: as many promises at most) spares the count. Without a ``vector``
+    that of ``hash_counts`` is made where actions are compared, so it isn't moved.
+    """
+    few, many = _by_size(promises, sizes)
+    led = _folded(_in_order(_prepared(few, vector), vector), percent, False)
+    return led if many is None else led.unionByName(_in_rounds(_with_vector(_prepared(many, vector), vector), percent))
+
+
+def merged_promises(promises: DataFrame, vector: str | None = "v", percent: int = 85, sizes: DataFrame | None = None) -> DataFrame:
+    """id, merged: the promises that ``merge_same_promises`` keeps, with the sorted evidence of those that went to them; their own is not repeated."""
+    few, many = _by_size(promises, sizes)
+    out = _folded(_in_order(_prepared(few, vector, "evidence"), vector, "evidence"), percent, True)
+    if many is None:
+        return out
+    many = many.checkpoint()
+    led = _in_rounds(_with_vector(_prepared(many, vector), vector), percent).checkpoint()
+    return out.unionByName(with_evidence(many, led).select("id", "merged"))
+
+
+def _with_vector(rows: DataFrame, vector: str | None) -> DataFrame:
+    return rows.withColumn("v", hash_counts(F.col("action"), 64)) if vector is None else rows
+
+
 def with_evidence(promises: DataFrame, led: DataFrame) -> DataFrame:
     """The kept promises with ``merged``: the sorted evidence of those that went to them (id, evidence); their own is not repeated."""
     own = promises.select(F.col("id").alias("leader"), F.col("evidence").alias("own"))
