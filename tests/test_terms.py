@@ -126,3 +126,30 @@ def test_runs_of_all_lengths_in_odd_texts(spark):
     texts = ["", "a", "xabcde", "ab\U0001f600xa", "a", "bcd", "aß"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.runs_in(wanted)("t").alias("g")).collect()
     assert {r.i: sorted(r.g) for r in got} == {i: sorted(w for w in wanted if w in t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_needles_of_all_lengths_in_odd_texts(spark, monkeypatch, chunk):
+    r = random.Random(chunk)
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    some = lambda k: "".join(r.choice("ab cß\U0001f600댐") for _ in range(k)).strip()
+    needles = sorted({" ".join(some(k).split()) for k in (1, 2, 3, 4, 5, 6, 7, 9) for _ in range(30)} - {""}) + ["a" * 30, "댐 ab"]
+    texts = [" ".join(some(r.randint(0, 60)).split()) for _ in range(120)] + ["", "a" * 31, "a" * 29, needles[-1], "xaaa" * 9]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1).select("i", T.needles_in(needles)("t").alias("g")).collect()
+    assert {r.i: sorted(r.g) for r in got} == {i: [k for k, w in enumerate(needles) if w in t] for i, t in enumerate(texts)}
+
+
+def test_terms_as_written_against_plain_python(spark):
+    """Also terms that differ in case or spaces only, and blank ones; texts are neither moved nor met by each term."""
+    r = random.Random(3)
+    terms = [words_of(r, r.randint(1, 2)) for _ in range(40)] + ["", " ", None, "Old  Mill", "old mill", "OLD mill"]
+    texts = [words_of(r, r.randint(0, 9)).replace(" ", r.choice([" ", "\n", "  "])) for _ in range(120)] + [None, ""]
+    t = spark.createDataFrame(list(enumerate(terms)), "k long, term string")
+    x = spark.createDataFrame([(i, i // 2, s) for i, s in enumerate(texts)], "id long, pair long, text string")
+    want = {(k, i) for k, term in enumerate(terms) for i, s in enumerate(texts) if flat(term) and flat(term) in flat(s)}
+    for by in (None, "pair"):
+        df = T.find_terms(t, x, T.stands, by=by)
+        rows = [(q.k, q.id) for q in df.collect()]
+        assert set(rows) == want and len(rows) == len(want) and len(want) > 100
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains" not in plan and "text" not in plan.split("ArrowEvalPython")[0]

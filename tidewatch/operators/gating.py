@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linking import small
 from .terms import find_terms, joined, stands
 
 #: Days before an incident that still count, and hits that make a topic.
@@ -45,9 +46,8 @@ def gate(cases: DataFrame, terms: DataFrame, articles: DataFrame, regions: DataF
     # an organisation that has the region in its name says no more than the region
     own = terms.where("kind = 'region'").select("case", joined(F.col("term")).alias("_r")).distinct()
     wanted = terms.join(own, "case", "left").where(~(F.col("kind").isin("org", "alias") & F.coalesce(F.contains(joined(F.col("term")), F.col("_r")) & (F.col("_r") != ""), F.lit(False)))).drop("_r").distinct()
-    hits = find_terms(wanted, texts, stands, by="article")
-    kind, part = F.col("kind"), F.col("part")
-    found = lambda kinds, where: kind.isin(*kinds) & part.isin(*where)
+    same = wanted.select(F.lower("term").alias("term")).distinct().withColumn("_k", F.monotonically_increasing_id()).checkpoint()
+    hits = find_terms(same, texts, stands, by="article")
     every, head, title = "thkb", "thk", "t"
     counts = {
         "n_region": (("region",), every), "n_facility": (("facility",), every), "n_facility_t": (("facility",), title), "n_org": (("org", "alias"), every), "n_seed": (("facility", "keyword"), every),
@@ -55,10 +55,13 @@ def gate(cases: DataFrame, terms: DataFrame, articles: DataFrame, regions: DataF
         "n_place_head": (("place",), head), "n_place_t": (("place",), title), "n_unique": (("unique",), every), "n_unique_th": (("unique",), "th"), "n_unique_t": (("unique",), title), "n_parent_head": (("parent",), head), "n_incident_t": (("incident",), title),
         "n_promise_head": (("promise",), head), "n_promise_t": (("promise",), title),
     }
-    # a term's row says which numbers it counts in, so different terms are counted by sums
-    bits = reduce(Column.bitwiseOR, (F.when(found(kinds, tuple(where)), 1 << i).otherwise(0) for i, (kinds, where) in enumerate(counts.values())))
-    terms_found = hits.groupBy("case", "article", F.lower("term").alias("t")).agg(F.bit_or(bits).alias("bits"))
-    pairs = terms_found.groupBy("case", "article").agg(*(F.sum(F.shiftright("bits", i).bitwiseAND(1)).alias(n) for i, n in enumerate(counts)))
+    # a case's different terms say which numbers they count in by the part where they are found; an article's terms meet them once, so sums count different ones
+    either = lambda bits: reduce(Column.bitwiseOR, bits, F.lit(0))
+    told_by = wanted.groupBy("case", F.lower("term").alias("term")).agg(*(F.bit_or(either(F.when(F.col("kind").isin(*kinds), 1 << i).otherwise(0) for i, (kinds, where) in enumerate(counts.values()) if p in where)).alias(f"_bits_{p}") for p in every))
+    told_by = small(told_by.join(same, "term").drop("term").checkpoint())
+    terms_found = hits.groupBy("article", "_k").agg(F.bit_or(either(F.when(F.col("part") == p, 1 << i).otherwise(0) for i, p in enumerate(every))).alias("_in"))
+    met = terms_found.join(told_by, "_k").select("case", "article", either(F.when(F.col("_in").bitwiseAND(1 << i) != 0, F.col(f"_bits_{p}")).otherwise(0) for i, p in enumerate(every)).alias("bits"))
+    pairs = met.groupBy("case", "article").agg(*(F.sum(F.shiftright("bits", i).bitwiseAND(1)).alias(n) for i, n in enumerate(counts)))
     pairs = pairs.where("n_region + n_facility + n_org > 0")
     told = find_terms(regions.select("term", "parent").distinct(), articles.select(F.col("article").alias("id"), F.col("title").alias("text")), stands)
     told = told.groupBy(F.col("id").alias("article")).agg(F.collect_set(F.struct(F.lower("term").alias("term"), F.lower("parent").alias("parent"))).alias("named"))

@@ -2,9 +2,10 @@
 
 A term is any string, of one word or several, and is found wherever its
 characters are (names run on into endings in many languages), so words can't be
-the index. Each term is looked up under the rarest of its runs of four characters
-(or a shorter word), by the texts' own counts; what meets there is checked in full.
-No text meets a term with which it has not that run in common.
+the index. Terms that must stand as they are written are compared where a text has
+their first characters (``needles_in``). Where words may stand apart, each term is looked up under
+the rarest of its runs of four characters (or a shorter word), by the texts' own counts;
+what meets there is checked in full. No text meets a term with which it has not that run in common.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidewatch.functions import text as X
 MOST_TERMS = 200_000
 #: Characters of a run that a term is looked up under.
 RUN = 4
+#: Characters of texts that are searched at once (a longer text alone).
+CHUNK = 1 << 20
 #: Weights, bonuses and the penalty of a title in hundredths; characters up to which a word alone names nothing; days after an incident.
 FACILITY, PHRASE, SPECIFIC, GENERIC, BONUS, FOREIGN, SHORT, RECENT = 60, 40, 30, 20, 10, 30, 3, 7
 
@@ -85,6 +88,76 @@ def runs_in(wanted: list[str]) -> Callable[[Column], Column]:
     return find
 
 
+def needles_in(needles: list[str]) -> Callable[[Column], Column]:
+    """Which of different ``needles`` (by their places in the list) each text has, both ``spaced``.
+
+    Where a text has the first characters of a needle (up to ``RUN``, by their
+    hash), it is followed character by character as long as any needle goes on so.
+    That is done for all places of ``CHUNK`` characters of texts at once, so a
+    text costs its length, however many needles there are.
+    """
+    as_numbers = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def hashes(chars: np.ndarray, size: int) -> np.ndarray:
+        h = chars[: max(0, len(chars) - size + 1)].copy()
+        for k in range(1, size):
+            h *= np.uint32(0x9E3779B1)
+            h += chars[k : k + len(h)]
+        return h * np.uint32(0x85EBCA6B)
+
+    # beginnings of needles, from RUN characters on: a number each, the needle that ends there, and the next one by each character
+    node = {w: k for k, w in enumerate(dict.fromkeys(w[:n] for w in needles for n in range(min(len(w), RUN), len(w) + 1)))}
+    ends_here = np.full(len(node), -1, np.int64)
+    ends_here[[node[w] for w in needles]] = np.arange(len(needles))
+    steps = sorted((node[w[:-1]] << 21 | ord(w[-1]), k) for w, k in node.items() if len(w) > RUN)
+    steps, goes_to = (np.array([x[i] for x in steps] + [1 << 62], np.int64) for i in (0, 1))
+    heads = []
+    for size in range(1, RUN + 1):
+        own = [w for w in node if len(w) == size]
+        if own:
+            chars = as_numbers("".join(own))
+            h = hashes(chars, size)[::size]
+            bits = np.zeros(1 << 20, bool)
+            bits[h >> np.uint32(12)] = True
+            order = np.argsort(h, kind="stable")
+            values, first, count = np.unique(h[order], return_index=True, return_counts=True)
+            heads.append((size, bits, values, first, count, chars.reshape(-1, size)[order], np.array([node[w] for w in own], np.int64)[order]))
+
+    def search(texts: list[str]) -> list[np.ndarray]:
+        """A line break is in no needle, so none reaches over the end of a text."""
+        chars = as_numbers("\n".join([*texts, ""]))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        found = [np.zeros(0, np.int64)]
+        for size, bits, values, first, count, letters, nodes in heads:
+            h = hashes(chars, size)
+            at = np.flatnonzero(bits[h >> np.uint32(12)])
+            place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
+            at, place = at[same := values[place] == h[at]], place[same]
+            if count.max() > 1:  # different characters of one hash
+                many = count[place]
+                at, place = np.repeat(at, many), np.repeat(first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            for k in range(size):
+                at, place = at[same := chars[at + k] == letters[place, k]], place[same]
+            now, depth = nodes[place], size
+            while len(at):
+                whole = ends_here[now] >= 0
+                found.append(np.searchsorted(ends, at[whole], "right") * len(needles) + ends_here[now[whole]])
+                key = now << 21 | chars[at + depth]
+                step = np.searchsorted(steps, key)
+                at, now = at[same := steps[step] == key], goes_to[step[same]]
+                depth += 1
+        row, which = np.divmod(np.unique(np.concatenate(found)), len(needles))
+        return np.split(which.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
+
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series) -> pd.Series:
+        chunk = np.cumsum(texts.str.len().to_numpy()) // CHUNK
+        out = [x for _, some in texts.groupby(chunk, sort=False) for x in search(some.tolist())]
+        return pd.Series(out, dtype=object)
+
+    return find.asNondeterministic()  # or a filter on what is found would look for it again
+
+
 def prepared(term: Column) -> Column:
     """What a check reads of a term, made once and not for each text: its words, without spaces, and with single ones."""
     return F.struct(F.split(spaced(term), " ").alias("words"), joined(term).alias("plain"), spaced(term).alias("spaced"))
@@ -111,6 +184,16 @@ def find_terms(terms: DataFrame, texts: DataFrame, check: Callable[[Column, Colu
     # each text's hits are made where it lies
     ids = [c for c in texts.columns if c != "text"]
     x = texts.select(*ids, joined(F.col("text")).alias("_plain"), spaced(F.col("text")).alias("_spaced"))
+    if check is stands and (needles := t.select(spaced(F.col("term")).alias("w")).distinct().limit(MOST_TERMS + 1).collect()) and len(needles) <= MOST_TERMS:
+        needles = sorted(r.w for r in needles)
+        code = terms.sparkSession.createDataFrame(list(enumerate(needles)), "_t int, _w string")
+        own = t.join(F.broadcast(code), spaced(F.col("term")) == F.col("_w")).drop("_w", "_n").checkpoint()
+        # texts stay where they are read; what moves are numbers of terms
+        x = texts.select(*ids, needles_in(needles)(spaced(F.col("text"))).alias("_ts")).where(F.size("_ts") > 0)
+        if by is not None:  # in numbers that grow with the texts, as few bytes become many hits
+            n = max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * texts.rdd.getNumPartitions())
+            x = x.repartition(n, by)
+        return x.select(*ids, F.explode("_ts").alias("_t")).join(F.broadcast(own) if own.count() <= MOST_TERMS else own, "_t").select(*terms.columns, *ids)
     same = t.select("term").distinct().withColumn("_t", F.monotonically_increasing_id()).checkpoint()  # a term of several cases is looked for once
     own = same.select("_t", F.explode(F.array_distinct(F.flatten(F.transform(F.split(spaced(F.col("term")), " "), _runs)))).alias("_g"))
     wanted = own.select("_g").distinct().checkpoint()
